@@ -5,10 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prism.llm import overlap, packing, reading, splits
+from prism.llm import docpairs, overlap, packing, reading, secrets, splits
 from prism.session import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = docpairs.doc_pairs(table(spark, sf_dir, "symbols"))
+    return pairs.where("doc_id = id").select("id").distinct()
+
+
+def p2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docpairs.doc_pairs(table(spark, sf_dir, "symbols"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = secrets.fields(table(spark, sf_dir, "cards"), table(spark, sf_dir, "symbols"))
+    return secrets.scan(texts).select("field", "id").distinct()
+
+
+def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = secrets.fields(table(spark, sf_dir, "cards"), table(spark, sf_dir, "symbols"))
+    return secrets.scan(texts, redacted=True).select("field", "id", F.array_join("kinds", ", ").alias("kinds"), "redacted").distinct()
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = overlap.cross_split_overlaps(table(spark, sf_dir, "pairs"))
     return o.select(F.least("train_id", "held_id").alias("pair_id_a"), F.greatest("train_id", "held_id").alias("pair_id_b")).distinct()
@@ -50,7 +69,7 @@ def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "level_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_overlaps_by_split, p5_found, p5_splits, p8_found, p8_containers, p10_found, p10_levels)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p6_found, p6_redacted, p4_found, p4_overlaps_by_split, p5_found, p5_splits, p8_found, p8_containers, p10_found, p10_levels)}
 
 _SPLIT = """case when regexp_replace(lower({0}), '[^a-z]', '', 'g') in ('train', 'training') then 'train'
  when regexp_replace(lower({0}), '[^a-z]', '', 'g') in ('val', 'valid', 'validation', 'dev') then 'val'
