@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prism.llm import docpairs, overlap, packing, reading, secrets, splits
+from prism.llm import docpairs, leaks, neighbours, overlap, packing, reading, secrets, splits
 from prism.session import table
 
 
@@ -46,6 +46,14 @@ def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.assign_splits(table(spark, sf_dir, "repos"), table(spark, sf_dir, "pairs"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.similar_pairs(table(spark, sf_dir, "card_vectors")).select("id_a", "id_b")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, sf_dir, "eval_items"), table(spark, sf_dir, "documents"))
+
+
 #: Containers of p8_found, in tokens of the built-in tokenizer; of p8_containers, in those of a public one.
 P8_CAPACITY = 1024
 P8_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -69,7 +77,7 @@ def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "level_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p6_found, p6_redacted, p4_found, p4_overlaps_by_split, p5_found, p5_splits, p8_found, p8_containers, p10_found, p10_levels)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p6_found, p6_redacted, p4_found, p4_overlaps_by_split, p5_found, p5_splits, p7_found, p8_found, p8_containers, p9_found, p10_found, p10_levels)}
 
 _SPLIT = """case when regexp_replace(lower({0}), '[^a-z]', '', 'g') in ('train', 'training') then 'train'
  when regexp_replace(lower({0}), '[^a-z]', '', 'g') in ('val', 'valid', 'validation', 'dev') then 'val'
@@ -87,5 +95,13 @@ f as (select distinct train_id, held_id, held_split, source from o where c >= 0.
 ORACLE = {
     "p4_found": _OVERLAPS + "select distinct least(train_id, held_id) as pair_id_a, greatest(train_id, held_id) as pair_id_b from f",
     "p4_overlaps_by_split": _OVERLAPS + "select held_split, source, count(*) as overlaps, count(distinct held_id) as held_records, count(distinct train_id) as train_records from f group by 1, 2",
+    "p7_found": """
+with v as (select distinct id, model, dims, vector from card_vectors where vector is not null and len(vector) = dims
+  and len(list_filter(vector, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(vector, lambda x: x <> 0)) > 0),
+u as (select id, model, dims, list_transform(vector, lambda x: x::double) as w from v),
+s as (select a.id as x, b.id as y, list_dot_product(a.w, b.w) / sqrt(list_dot_product(a.w, a.w) * list_dot_product(b.w, b.w)) as c
+  from u a join u b on a.model = b.model and a.dims = b.dims and a.id <> b.id),
+r as (select x, y, row_number() over (partition by x order by round(c, 9) desc, y) as n from s where c >= 0.85 - 1e-9)
+select distinct least(x, y) as id_a, greatest(x, y) as id_b from r where n <= 5""",
     "p8_found": "select doc_id from documents where len(regexp_extract_all(text, '[\\pL\\pN_]+|[^\\pL\\pN_\\pZ\\s]')) > 1024",
 }
