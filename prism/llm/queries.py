@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prism.llm import docpairs, leaks, neighbours, overlap, packing, reading, secrets, splits
+from prism.llm import docpairs, leaks, neighbours, overlap, packing, reading, secrets, splits, syntax
 from prism.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checked = syntax.check_files(table(spark, sf_dir, "file_texts"), table(spark, sf_dir, "files"))
+    return checked.where("valid = false").select("path")
+
+
+def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.rates(syntax.check_files(table(spark, sf_dir, "file_texts"), table(spark, sf_dir, "files")))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = docpairs.doc_pairs(table(spark, sf_dir, "symbols"))
     return pairs.where("doc_id = id").select("id").distinct()
@@ -77,7 +86,7 @@ def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "level_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p6_found, p6_redacted, p4_found, p4_overlaps_by_split, p5_found, p5_splits, p7_found, p8_found, p8_containers, p9_found, p10_found, p10_levels)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_pairs, p6_found, p6_redacted, p4_found, p4_overlaps_by_split, p5_found, p5_splits, p7_found, p8_found, p8_containers, p9_found, p10_found, p10_levels)}
 
 _SPLIT = """case when regexp_replace(lower({0}), '[^a-z]', '', 'g') in ('train', 'training') then 'train'
  when regexp_replace(lower({0}), '[^a-z]', '', 'g') in ('val', 'valid', 'validation', 'dev') then 'val'
