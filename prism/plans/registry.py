@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from prism.plans import increments
+from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = (increments,)
+from prism.plans import graphs, increments, retrieval, structural, upkeep
+
+_MODULES = (increments, structural, retrieval, graphs, upkeep)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
 
 
-def flagship(spark, sf_dir):
-    return QUERIES["p3_found"](spark, sf_dir)
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A structural path query: exported classes' documented methods."""
+    return QUERIES["j1_child_step"](spark, sf_dir)
