@@ -1,12 +1,13 @@
 """Same or near-same records across splits: an exact prefix-filter bipartite join on rare shingles.
 
-Records with the same set of words are one class. The words of a class are put in one global order, rarest
-first, and its shingles are the runs of three words in that order; so shingles are ordered too. Two classes
-of n and m words with a Jaccard similarity of t or more differ in few words, each of which breaks at most three
-shingles of its own side and two of the other; so at most 0.6 n of the n - 2 shingles are broken (for t >= 0.8),
-and the first common shingle lies among the first floor(0.6 n) + 1 of either side. Short classes use single
-words, whose prefix is n - ceil(t n) + 1. Prefixes of evaluation classes are indexed, those of training classes
-probe them with length and position filters, and candidates are verified on the word sets. Nothing is lost.
+Records with the same set of words are one class. The words of a class are put in one global order, rarest first by
+order of magnitude and by hash within one, so that words that always occur together do not stand together; its
+shingles are the runs of q words in that order, so shingles are ordered too. If two classes of n and m words have a
+Jaccard similarity of t or more, they differ in at most (n + m) / 9 words (at t = 0.8). A word of n's own breaks at
+most q of its shingles, one of the other's at most q - 1; the rest are common, and the first common shingle lies within
+that many places plus one on either side. Long classes use q = 4, shorter ones q = 3, the shortest single words,
+whose prefix is n - ceil(t n) + 1. Prefixes of evaluation classes are indexed, those of training classes probe them
+with length and position filters, and candidates are verified on the word sets. Nothing is lost.
 """
 
 from __future__ import annotations
@@ -17,15 +18,16 @@ from pyspark.sql import functions as F
 from prism.llm.splits import split_name
 from prism.session import cut
 
-#: Classes of at most so many words also use single words; those of at least so many use shingles.
-SHORT, LONG = 7, 6
+#: (q, least and most words of a class that uses shingles of q words, most shingles broken by the word). A pair of
+#: classes uses the longest shingles that both have; lengths of such a pair differ by a quarter at most.
+SHINGLES = ((4, 20, None, 0.8), (3, 6, 24, 0.6), (1, 1, 7, None))
 
 
 def _classes(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     text = F.lower(F.concat_ws(" ", "query", "positive"))
     words = F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))))
     r = pairs.where("pair_id is not null").select("pair_id", "source", split_name("split").alias("split"), words.alias("words")).where("split is not null and size(words) > 0")
-    members = cut(r.withColumn("cid", F.md5(F.concat_ws(" ", "words"))).distinct())
+    members = cut(r.withColumn("cid", F.unhex(F.md5(F.concat_ws(" ", "words")))).distinct())
     classes = members.groupBy("cid").agg(
         F.first("words").alias("words"), F.max(F.col("split") == "train").alias("train"), F.max(F.col("split") != "train").alias("held")
     )
@@ -38,36 +40,38 @@ def overlapping_classes(classes: DataFrame, t: float = 0.8) -> DataFrame:
         raise ValueError("the shingle bound is made for similarities of 0.8 or more")
     exploded = classes.select("cid", F.explode("words").alias("w"))
     df = exploded.groupBy("w").agg(F.count("*").alias("df"))
-    ranked = exploded.join(df, "w").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("r"))
-    sides = cut(
-        ranked.join(classes.select("cid", "train", "held"), "cid").select("cid", "train", "held", F.col("r.w").alias("ws"), F.size("r").alias("n"))
-    )
-    broken = F.floor(0.6 * F.col("n") + 1e-9)
-    triple = F.when(
-        F.col("n") >= LONG,
-        F.transform(
-            F.sequence(F.lit(1), F.least(F.col("n") - 2, (broken + 1).cast("int"))),
-            lambda i: F.struct(F.xxhash64(F.element_at("ws", i), F.element_at("ws", i + 1), F.element_at("ws", i + 2)).alias("k"), i.alias("pos"), F.lit(3).alias("q")),
-        ),
-    ).otherwise(F.array())
-    single = F.when(
-        F.col("n") <= SHORT,
-        F.transform(F.sequence(F.lit(1), (F.col("n") - F.ceil(t * F.col("n") - 1e-9) + 1).cast("int")), lambda i: F.struct(F.xxhash64(F.element_at("ws", i)).alias("k"), i.alias("pos"), F.lit(1).alias("q"))),
-    ).otherwise(F.array())
-    keyed = lambda side: sides.where(side).select("cid", "n", F.explode(F.concat(triple, single)).alias("x")).select(F.col("cid").alias(f"{side}_cid"), F.col("n").alias(f"{side}_n"), F.col("x.k").alias("k"), F.col("x.q").alias("q"), F.col("x.pos").alias(f"{side}_pos"))
-    a, b = keyed("train"), keyed("held")
-    shingles = lambda s: F.col(f"{s}_n") - F.col("q") + 1
-    need = F.greatest(*[F.when(F.col("q") == 3, F.col(f"{s}_n") - 2 - F.floor(0.6 * F.col(f"{s}_n") + 1e-9)).otherwise(F.ceil(t * F.col(f"{s}_n") - 1e-9)) for s in ("train", "held")])
-    lengths = (F.col("train_n") >= t * F.col("held_n") - 1e-9) & (F.col("held_n") >= t * F.col("train_n") - 1e-9)
-    places = 1 + F.least(shingles("train") - F.col("train_pos"), shingles("held") - F.col("held_pos")) >= need
-    # a common key need not be the first common one; the position bound holds for the first, so it is asked of any
-    near = a.join(b, ["k", "q"]).where(lengths & (F.col("train_cid") != F.col("held_cid"))).groupBy("train_cid", "held_cid").agg(F.max(places).alias("ok")).where("ok").drop("ok")
+    order = F.struct(F.floor(F.log2("df") / 3).alias("m"), F.xxhash64("w").alias("h"), "w")
+    ranked = exploded.join(df, "w").groupBy("cid").agg(F.array_sort(F.collect_list(order)).alias("r"))
+    sides = cut(ranked.join(classes.select("cid", "train", "held"), "cid").select("cid", "train", "held", F.col("r.w").alias("ws"), F.size("r").alias("n")))
+    n = F.col("n")
+    keys = []
+    for q, least, most, broken in SHINGLES:
+        prefix = F.floor(broken * n + 1e-9) + 1 if broken else n - F.ceil(t * n - 1e-9) + 1
+        places = F.sequence(F.lit(1), F.least(n - q + 1, prefix).cast("int"))
+        key = lambda i, q=q: F.struct(F.xxhash64(*[F.element_at("ws", i + j) for j in range(q)]).alias("k"), i.alias("pos"), F.lit(q).alias("q"))
+        mine = (n >= least) & (n <= most) if most else n >= least
+        keys.append(F.when(mine, F.transform(places, _one(key))).otherwise(F.array()))
+    keyed = lambda side: sides.where(side).select(F.col("cid").alias(f"{side}_cid"), n.alias(f"{side}_n"), F.explode(F.concat(*keys)).alias("x")).select(f"{side}_cid", f"{side}_n", F.col("x.k").alias("k"), F.col("x.q").alias("q"), F.col("x.pos").alias(f"{side}_pos"))
+    x, y, q = F.col("train_n"), F.col("held_n"), F.col("q")
+    lengths = (x >= t * y - 1e-9) & (y >= t * x - 1e-9)
+    differ = F.floor((x + y) * (1 - t) / (1 + t) + 1e-9)
+    own_x, own_y = F.floor((differ + x - y) / 2), F.floor((differ + y - x) / 2)  # words of one side only, at most
+    broken_x, broken_y = q * own_x + (q - 1) * own_y, q * own_y + (q - 1) * own_x
+    need = F.greatest(x - q + 1 - broken_x, y - q + 1 - broken_y)
+    places = (F.col("train_pos") <= broken_x + 1) & (F.col("held_pos") <= broken_y + 1) & (1 + F.least(x - q + 1 - F.col("train_pos"), y - q + 1 - F.col("held_pos")) >= need)
+    # the bounds hold for the first common shingle; other common ones may be dropped
+    near = keyed("train").join(keyed("held"), ["k", "q"]).where(lengths & places & (F.col("train_cid") != F.col("held_cid"))).select("train_cid", "held_cid").distinct()
     ws = sides.select("cid", "ws")
     full = near.join(ws.select(F.col("cid").alias("train_cid"), F.col("ws").alias("x")), "train_cid").join(ws.select(F.col("cid").alias("held_cid"), F.col("ws").alias("y")), "held_cid")
     common = F.size(F.array_intersect("x", "y"))
     return full.select("train_cid", "held_cid", (common / (F.size("x") + F.size("y") - common)).alias("similarity")).where(F.col("similarity") >= t - 1e-12)
 
 
+def _one(f):
+    """A function of one argument only, as the higher-order functions ask for."""
+    return lambda i: f(i)
+
+
 def cross_split_overlaps(pairs: DataFrame, t: float = 0.8) -> DataFrame:
     """(train_id, held_id, held_split, source, similarity) of every overlap of a held-out record with a training record.
 
