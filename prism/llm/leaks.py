@@ -163,16 +163,18 @@ class ItemIndex:
 
 def holds(item: np.ndarray, doc: np.ndarray, passage: int = PASSAGE, errors: int = ERRORS) -> bool:
     """Whether doc holds at least ``passage`` consecutive words of item in order with at most one in ``errors`` of them
-    replaced, dropped or added. best[e][j]: the most item words that end here with e errors."""
+    replaced, dropped or added; words missing at the ends count as dropped. best[e][j]: the most item words that end
+    here with e errors."""
     top = len(item) // errors
     n = len(doc)
     none = -(10**6)
     best = np.full((top + 1, n + 1), none, dtype=np.int64)
     for w in item:
         now = np.full_like(best, none)
+        np.maximum(best[0], 0, out=best[0])  # a passage may begin at any word of either
         same = doc == w
         for e in range(top + 1):
-            now[e, 1:] = np.where(same, np.maximum(best[e, :-1] + 1, 1 if e == 0 else none), none)
+            now[e, 1:] = np.where(same, best[e, :-1] + 1, none)
             if e:
                 np.maximum(now[e, 1:], best[e - 1, :-1] + 1, out=now[e, 1:])  # replaced
                 np.maximum(now[e], best[e - 1] + 1, out=now[e])  # dropped from the item

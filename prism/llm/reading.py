@@ -17,8 +17,9 @@ from pyspark.sql import types as T
 
 from prism.session import cut
 
-#: Size of the familiar list; the only thing that is sent to every task.
-FAMILIAR = 3000
+#: A word is familiar if it stands in at least this share of the texts that have prose. The list is the only thing that
+#: goes to every task; it holds at most (mean number of distinct words of a text) / FAMILIAR words at any size of corpus.
+FAMILIAR = 0.2
 #: Fixed weights of the published familiar-word formula (share in per cent, words a sentence, constant).
 WEIGHTS = (0.1579, 0.0496, 3.6365)
 
@@ -136,27 +137,28 @@ def measure(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, _STATS)
 
 
-def familiar_words(measured: DataFrame, size: int = FAMILIAR) -> list[str]:
-    """The ``size`` words of the highest document frequency over all texts; ties by the word."""
+def familiar_words(measured: DataFrame, share: float = FAMILIAR) -> list[str]:
+    """The words that stand in at least ``share`` of the texts with prose."""
+    texts = measured.where("n_words > 0").count()
     df = measured.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    return [r["w"] for r in df.orderBy(F.desc("n"), "w").limit(size).collect()]
+    return [r["w"] for r in df.where(F.col("n") >= share * texts).orderBy("w").collect()]
 
 
-def reading_level(docs: DataFrame, size: int = FAMILIAR) -> DataFrame:
+def reading_level(docs: DataFrame, share: float = FAMILIAR) -> DataFrame:
     """(doc_id, n_words, n_sentences, words_per_sentence, letters_per_word, unfamiliar_share, score) of every text.
 
     Texts without prose (null, blank, only code) have null averages and score. Repeated ids give as many rows.
     """
     measured = cut(measure(docs))
-    known = frozenset(familiar_words(measured, size))
+    known = frozenset(familiar_words(measured, share))
 
     @F.pandas_udf(T.LongType())
     def strange(words: pd.Series, counts: pd.Series) -> pd.Series:
         return pd.Series([sum(int(c) for w, c in zip(ws, cs, strict=True) if w not in known) for ws, cs in zip(words, counts, strict=True)])
 
-    share = F.col("_strange") / F.col("n_words")
+    strange_share = F.col("_strange") / F.col("n_words")
     per = F.col("n_words") / F.greatest("n_sentences", F.lit(1))
-    score = WEIGHTS[0] * 100 * share + WEIGHTS[1] * per + F.when(share > 0.05, WEIGHTS[2]).otherwise(0.0)
+    score = WEIGHTS[0] * 100 * strange_share + WEIGHTS[1] * per + F.when(strange_share > 0.05, WEIGHTS[2]).otherwise(0.0)
     some = F.col("n_words") > 0
     return measured.withColumn("_strange", strange("words", "counts")).select(
         "doc_id",
@@ -164,7 +166,7 @@ def reading_level(docs: DataFrame, size: int = FAMILIAR) -> DataFrame:
         "n_sentences",
         F.when(some, per).alias("words_per_sentence"),
         F.when(some, F.col("n_letters") / F.col("n_words")).alias("letters_per_word"),
-        F.when(some, share).alias("unfamiliar_share"),
+        F.when(some, strange_share).alias("unfamiliar_share"),
         F.when(some, score).alias("score"),
     )
 

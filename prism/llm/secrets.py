@@ -133,7 +133,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
                 ok = False
             if not ok or placeholder(v.rsplit(".", 1)[1]):
                 continue
-        elif placeholder(v) or not random_enough(core, 0.75) or not re.search(r"\d|[A-Z].*[a-z]|[a-z].*[A-Z]", core):
+        elif placeholder(v) or not random_enough(core, 0.75) or not (core.isupper() and len(core) == 16 or re.search(r"\d|[A-Z].*[a-z]|[a-z].*[A-Z]", core)):
             continue
         found.append((m.start(), m.end(), "issued token"))
     for m in URL.finditer(text):
