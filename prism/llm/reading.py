@@ -190,5 +190,5 @@ def levels(docs: DataFrame, labels: DataFrame) -> DataFrame:
     base = cut(reading_level(docs))
     c, a, b = fit_levels(base, labels)
     raw = F.round(c + a * F.col("unfamiliar_share") + b * F.least(F.col("words_per_sentence"), F.lit(60.0)))
-    return base.withColumn("level", F.greatest(F.lit(1), F.least(F.lit(5), raw.cast("int"))))
+    return base.withColumn("level", F.when(raw.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(5), raw.cast("int")))))
 
