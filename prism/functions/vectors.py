@@ -16,5 +16,6 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """The vector at length one; null where it is zero or not finite."""
-    n = norm(a)
-    return F.when((n > 0) & (n < float("inf")), F.transform(a, lambda x: x.cast("double") / n))
+    # the norm is bound once: inside the inner lambda it would be computed anew for each element
+    scaled = F.transform(F.array(norm(a)), lambda n: F.when((n > 0) & (n < float("inf")), F.transform(a, lambda x: x.cast("double") / n)))
+    return F.element_at(scaled, 1)
