@@ -70,7 +70,7 @@ def difference(before: DataFrame, after: DataFrame, key: list[str], order: list[
 
 def decayed(events: DataFrame, key: str, ts: str, now: Column, half_life_days: float = 14.0) -> DataFrame:
     """(key, score, runs): a count that halves every half life."""
-    age = (F.unix_millis(now) - F.unix_millis(F.col(ts).cast("timestamp"))) / (86_400_000.0 * half_life_days)
+    age = (F.unix_micros(now) - F.unix_micros(F.col(ts).cast("timestamp"))) / (86_400_000_000.0 * half_life_days)
     return events.groupBy(key).agg(F.sum(F.pow(F.lit(2.0), -age)).alias("score"), F.count("*").alias("runs"))
 
 

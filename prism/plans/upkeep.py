@@ -133,7 +133,7 @@ b as {_CUR.format("and loaded_at <= (select started_at from r where n = 1)")}, a
 select coalesce(a.path, b.path) as path, case when a.path is null then 'remove' when b.path is null then 'extract' when a.size = b.size and a.mtime_ms = b.mtime_ms and a.mtime_ms < (select epoch_us(started_at) / 1000.0 from r where n = 1) - 2000 then 'unchanged'
  when {_DIG.format("a")} = {_DIG.format("b")} then 'touch' else 'extract' end as action from a full join b on a.path = b.path""",
     "a26_main_language": "select repo, lang, n from (select repo, lang, count(*) as n, row_number() over (partition by repo order by count(*) desc, min(doc_id)) as r from (select repo, lower(lang[1:2]) as lang, doc_id from documents where lang is not null and repo is not null) group by 1, 2) where r = 1",
-    "a27_decayed_use": "select event_type, round(sum(pow(2.0, -(epoch_ms(timestamp '2024-02-01') - epoch_ms(ts)) / (86400000.0 * 14))), 6) as score, count(*) as runs from events group by 1",
+    "a27_decayed_use": "select event_type, round(sum(pow(2.0, -(epoch_us(timestamp '2024-02-01') - epoch_us(ts)) / (86400000000.0 * 14))), 6) as score, count(*) as runs from events group by 1",
     "a29_movements": """with e as (select event_type, ts::date as day, count(*)::double as n from events group by 1, 2), m as (select *, avg(n) over (partition by event_type order by day rows between 3 preceding and 1 preceding) as mean from e)
 select event_type, day, n, round(mean, 6) as mean, case when mean is null then 'new' when n - mean > abs(mean) * 0.25 then 'up' when n - mean < -abs(mean) * 0.25 then 'down' else 'same' end as moved from m""",
     "a32_buckets": "select case when value is null then null when value < 10 then '<10' when value < 50 then '10-50' when value < 200 then '50-200' when value < 1000 then '200-1000' when value < 5000 then '1000-5000' when value < 30000 then '5000-30000' when value < 120000 then '30000-120000' else '120000+' end as bucket, count(*) as n from events group by 1",
