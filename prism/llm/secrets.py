@@ -1,8 +1,9 @@
 """Live credentials in text: quoted strings and long tokens of high entropy, by alphabet and length.
 
-Candidates are tokens in the forms of known issuers, private keys, passwords in urls, authorisation headers and
-values given to a name that speaks of a credential. Each must reach a share, by alphabet, of the entropy a random
-string of its length would have. Digests, commit ids, public keys, masks, references and placeholders are left out.
+Candidates are all quoted strings and long tokens, and beside them, for what is too short or too plain to tell by
+itself, tokens in the forms of known issuers, private keys, passwords in urls, authorisation headers and values given
+to a name that speaks of a credential. Each must reach a share, by alphabet, of the entropy a random string of its
+length would have. Digests, commit ids, public keys, masks, references and placeholders are left out.
 Redaction replaces only the value, with a mask that needs no escape in JSON, a comment or a quoted string.
 """
 
@@ -24,7 +25,7 @@ MASK = "REDACTED"
 
 # Forms of issued tokens. The value is group 1 where there is one.
 ISSUED = re.compile(
-    r"(?<![A-Za-z0-9_+/=.-])(?:"
+    r"(?<![A-Za-z0-9_+/.-])(?:"
     r"(?:AKIA|ASIA|AGPA|AIDA|AROA|ANPA)[A-Z0-9]{16}(?![A-Za-z0-9])"
     r"|gh[pousr]_[A-Za-z0-9]{36,251}(?![A-Za-z0-9])|github_pat_[A-Za-z0-9_]{22,255}"
     r"|gl(?:pat|ptt|dt|rt|cbt|soat)-[A-Za-z0-9_-]{20,64}"
@@ -40,9 +41,9 @@ ISSUED = re.compile(
 PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(.*?)-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----", re.S)
 URL = re.compile(r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{1,20}://([^\s:/@'\"<>`]*):([^\s/@'\"<>`]+)@[A-Za-z0-9\[]")
 HEADER = re.compile(r"\bAuthorization\b[\"']?\s*[:=]\s*[\"']?\s*(Bearer|Basic|Token|ApiKey)\s+([^\s\"'`<>,;)\\]+)", re.I)
-_NAMES = r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[ _-]?key|apikey|access[ _-]?key|auth(?:orization|[ _-]?(?:key|token))?|credentials?|dsn|private[ _-]?key|signing[ _-]?key|encryption[ _-]?key|client[ _-]?secret|master[ _-]?key|webhook[ _-]?secret|login|bearer|connection[ _-]?string)"
+_NAMES = r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[ _-]?key|apikey|access[ _-]?key|secret[ _-]?key(?:[ _-]?base)?|auth(?:orization|[ _-]?(?:key|token))?|credentials?|dsn|private[ _-]?key|signing[ _-]?key|encryption[ _-]?key|client[ _-]?secret|master[ _-]?key|webhook[ _-]?secret|login|bearer|connection[ _-]?string)"
 KEYED = re.compile(
-    r"(?<![A-Za-z])((?:[A-Za-z][A-Za-z0-9]*[_.-])*" + _NAMES + r"\d*)(?![A-Za-z-])"
+    r"(?<![A-Za-z])((?:[A-Za-z][A-Za-z0-9]*[_.-])*(?-i:[a-z][A-Za-z0-9]*?(?=[A-Z]))?" + _NAMES + r"\d*)(?![A-Za-z-])"
     r"[\"'`]?[ \t]*(?::[ \t]*[A-Za-z_][\w.\[\]| ]{0,30}=|(?::=|=>|[:=]))[ \t]*"
     r"(?:\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|(?!(?:Bearer|Basic)\b)([^\s\"'`,;(){}\[\]<>]+))",
     re.I,
@@ -50,6 +51,14 @@ KEYED = re.compile(
 LOGIN = re.compile(r"\b(?:login|credentials?|account|user(?:name)?)\b\s*[:=]\s*[\"']?[\w.@-]+[\"']?\s*(?:/|:|\||,\s*(?:password|pw|pass)\b\s*[:=]?)\s*[\"']?([^\s\"'`<>,;()]+)", re.I)
 PROSE = re.compile(r"\b(?:pass(?:word|phrase|code|wd)|secret|token|api[ -]?key|access key|pin|credentials?)\s+(?:(?:is|was|are|of|to|as|being|set to|currently|now)\s+){0,2}[\"'`]?([^\s\"'`<>,;(){}=:]+)", re.I)
 FLAG = re.compile(r"(?<!\S)(?:--?(?:[A-Za-z0-9]+[-_])*" + _NAMES + r"|-p|-u[ \t]+[\w.-]+:)(?:=|[ \t]+|(?<=:))[\"']?((?!-)[^\s\"'`<>]{6,})", re.I)
+QUOTED = re.compile(r"\"([^\"\\\s]{16,512})\"|'([^'\\\s]{16,512})'|`([^`\\\s]{16,512})`")
+LONG = re.compile(r"(?<![A-Za-z0-9+/_=.@#:-])(?:[A-Za-z_][A-Za-z0-9_]*=)?([A-Za-z0-9+/_-]{20,512}={0,2})(?![A-Za-z0-9+/_=@#-])")
+# Names and calls built of words, each with a number at most behind it; other strings that only look random.
+_NAME = re.compile(r"[$@#./_-]*(?:[A-Za-z]+\d{0,4}|\d{1,4})(?:[_./#:@-]+(?:[A-Za-z]+\d{0,4}|\d{1,4}))*[_./-]*(?:\(.*\)?)?;?|(?:[A-Z]?[a-z]{2,}\d{0,2}){2,}")
+_LOOKALIKE = re.compile(r"://|^[./~#@]|\.[A-Za-z]\w{0,4}$|[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-|[0-9a-fA-F]{24}|\d{4}-\d\d-\d\d|^(?:sha\d+|md5)[-:]|ssh-|data:|^AAAA[A-Z]|\w\(|[=(\[{<][\"']")
+#: What a value is given to: the name before a colon or equals sign, or a scheme such as sha512-.
+_GIVEN_TO = re.compile(r"([\w.-]+)[\"'`]?[ \t]*(?::=|=>|[:=])[ \t]*(?:[brfu]{0,2}[\"'`])?$|\b(sha\d+-|ssh-\w+ +|ecdsa-[\w-]+ +|base64, *)$", re.I)
+_PEM = re.compile(r"-----BEGIN [^-\n]+-----.*?(?:-----END [^-\n]+-----|\Z)", re.S)
 LOOK = re.compile(
     r"pass|pwd|secret|token|key|auth|credential|dsn|login|bearer|://[^\s/@]*:[^\s/@]+@|connection|AKIA|ASIA|gh[pousr]_|github_pat|gl[a-z]+-|sk[-_]|rk_|npm_|pypi-|hf_|xox|xapp|AIza|ya29|SG\.|eyJ|dop_|shp|SK[0-9a-f]{8}|lin_api|dckr|figd|-p |-u ",
     re.I,
@@ -58,7 +67,7 @@ LOOK = re.compile(
 _PLACEHOLDER = re.compile(
     r"^(?:x+|\*+|\.+|-+|_+|0+|1234\w*|n/?a|none|null|nil|undefined|true|false|empty|blank|test|testing|foo|bar|baz|secret|password|passw0rd|token|string|str|int|bytes|any|bool|object|value|optional|required|admin|root|user)$"
     r"|[xX]{4,}|\*{3,}|•{3,}|\.{3,}|…|<[^>]*>|\$\{[^}]*\}?|\$\([^)]*\)?|\{\{|\}\}|%[A-Z_]+%|\$[A-Z_]{2,}\b|^\$\w+$|^@\w+$|^:\w+$|^%[sd(]"
-    r"|your|change[-_ ]?me|replace|example|sample|dummy|placeholder|redacted|masked|insert|fixme|todo|to[-_]?be|not[-_]?set|none[-_]|unset|fake|mock|hunter2|correct.?horse|deadbeef|lorem"
+    r"|your|change[-_ ]?me|replace|example|sample|dummy|placeholder|redacted|masked|insert|(?<![A-Za-z])(?:fixme|todo)(?![A-Za-z])|to[-_]?be|not[-_]?set|none[-_]|unset|fake|mock|hunter2|correct.?horse|deadbeef|lorem"
     r"|process\.env|os\.environ|getenv|env\(|env\.|env:|vault[.:/]|secrets?[.:/]|ssm:|arn:|kms:|keyring|config[.(\[]|settings\.|params?\.|self\.|this\.|0123456789|abcdef0?123|123456789|abcdefgh",
     re.I,
 )
@@ -112,10 +121,64 @@ def live_password(s: str) -> bool:
     return _classes(s) == 2 and bool(re.search(r"\d", s)) and len(s) >= 12 and random_enough(s, 0.85)
 
 
+def random_token(s: str) -> bool:
+    """Whether a string shows by itself that it was drawn at random: long, of high entropy for its alphabet, and its
+    kinds of characters change as often as chance would have it, which words, names and paths do not reach. Hex is
+    never enough, as digests and ids look the same; it takes a name or a form."""
+    body = s.rstrip("=")
+    if not 16 <= len(body) <= 512 or alphabet(body) <= 16 or placeholder(s) or not body.isalpha() and _NAME.fullmatch(s) or _LOOKALIKE.search(s):
+        return False
+    if len(body) % 4 != 1 and re.fullmatch(r"[A-Za-z0-9+/]+", body) and all(31 < c < 127 or c in b"\t\r\n" for c in base64.b64decode(body + "=" * (-len(body) % 4))):
+        return False  # text in base64: Basic headers and tokens of three parts are judged by what they say
+    kinds = ["l" if c.islower() else "u" if c.isupper() else "d" if c.isdigit() else "x" for c in body]
+    share = {k: kinds.count(k) / len(kinds) for k in "ludx"}
+    several = sum(share[k] > 0 for k in "lud")
+    if several < 2 or share["x"] > 0.35 or several == 3 and re.search(r"[a-z]{10}", body):
+        return False
+    if not share["d"] and (len(body) < 20 or share["x"] > 0.15):
+        return False
+    changes = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / (len(kinds) - 1)
+    by_chance = 1 - sum(x * x for x in share.values())
+    # without digits, words joined by capitals come near: more changes are asked for
+    least = 0.4 if not share["d"] else max(0.2, (0.6 if several == 3 else 0.5) * by_chance)
+    return len(body) >= (16 if several == 3 else 20) and changes >= least and random_enough(body, 0.85)
+
+
+def _unnamed(text: str) -> Iterator[tuple[int, int, str]]:
+    """Quoted strings and long tokens that are random by themselves, without those given to the name of a digest or id."""
+    pem = None
+    for pattern in (QUOTED, LONG):
+        for m in pattern.finditer(text):
+            g = m.lastindex
+            v, at = m[g], m.start(g)
+            if not random_token(v):
+                continue
+            name = _GIVEN_TO.search(text, max(0, at - 80), at)
+            if name and (name[2] or _DIGEST_NAME.search(name[1]) or re.search(r"(?:^|[_.-])id$|(?-i:[a-z]I[dD]$)", name[1], re.I)):
+                continue
+            if pem is None:
+                pem = [x.span() for x in _PEM.finditer(text)] if "-----BEGIN" in text else []
+            if not any(a <= at < b for a, b in pem):
+                yield at, at + len(v), "random token"
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, stop, kind) of the credentials of a text, not overlapping, in order."""
-    if not text or not LOOK.search(text):
+    if not text:
         return []
+    found: list[tuple[int, int, str]] = list(_unnamed(text))
+    if LOOK.search(text):
+        found += _known(text)
+    found.sort(key=lambda x: (x[0], -x[1]))
+    out: list[tuple[int, int, str]] = []
+    for f in found:
+        if not out or f[0] >= out[-1][1]:
+            out.append(f)
+    return out
+
+
+def _known(text: str) -> list[tuple[int, int, str]]:
+    """Credentials told by a form or by what stands beside them; they may overlap."""
     found: list[tuple[int, int, str]] = []
     for m in PRIVATE.finditer(text):
         body = re.sub(r"(?:^|\n)[ \t]*(?:\*|//|#)?[ \t]*|\\n|\s|[A-Za-z-]+: .*", "", m[1])
@@ -169,12 +232,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
             v = m[1].rstrip(".,;:!?")
             if "://" not in v and live_password(v) and (pattern is not PROSE or _classes(v) >= 3 or alphabet(v) == 16):
                 found.append((m.start(1), m.start(1) + len(v), kind))
-    found.sort(key=lambda x: (x[0], -x[1]))
-    out: list[tuple[int, int, str]] = []
-    for f in found:
-        if not out or f[0] >= out[-1][1]:
-            out.append(f)
-    return out
+    return found
 
 
 _ESCAPE = re.compile(r"\\u[0-9a-fA-F]{4}|\\.")
