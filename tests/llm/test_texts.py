@@ -61,6 +61,23 @@ def test_any_quoted_string_or_long_token_is_a_candidate(text):
         assert [text.format(value)[a:b] for a, b, _ in secrets.find(text.format(value))] == [value]
 
 
+_BODY = "Hz1ijj9L9cbvKO5HPgpOHKkpjTdDn7DxJ7vSq2Rw"
+_HEX = "82cb23c6eb59b6c7b4a38f7cade41a729428bde0f93618c3"
+_CORE = "LFDKDOWSYPYSURWH"
+ALONE = [
+    *[p + _CORE for p in ("AKIA", "ASIA", "AGPA", "AIDA", "AROA", "ANPA")], *[f"gh{c}_{_BODY}" for c in "pousr"], "github_pat_" + _BODY, *[f"gl{c}-{_BODY}" for c in ("pat", "ptt", "dt", "rt", "cbt", "soat")],
+    *[f"sk-{c}{_BODY}" for c in ("", "proj-", "ant-", "live-", "svcacct-")], *[f"{c}k_{m}_{_BODY}" for c in "sr" for m in ("live", "test")], "npm_" + _BODY[:36], "pypi-" + _BODY, "hf_" + _BODY, *[f"xox{c}-{_BODY}" for c in "abeoprs"], "xapp-" + _BODY,
+    "AIza" + _BODY[:35], "ya29." + _BODY, f"SG.{_BODY[:22]}.{_BODY}", "key-" + _HEX[:32], "dop_v1_" + (_HEX + _HEX)[:64], *[f"shp{c}_{_HEX[:32]}" for c in ("at", "ss", "ca", "pa")], "SK" + _HEX[:32], *[f"{c}_{_BODY}" for c in ("lin_api", "dckr_pat", "sq0csp", "figd")], "rubygems_" + _HEX,
+    "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiJzdmMifQ." + _BODY, PEM, "postgres://svc:vudu%239731DE@db", "Authorization: Bearer " + _BODY, "user: deploy / beke#4983KI", "account: deploy | beke#4983KI", "username = deploy : beke#4983KI", "credentials: deploy / beke#4983KI", "The pin is beke#4983KI", "-p beke#4983KI", "-u svc:beke#4983KI", "mysql --pwd beke#4983KI",
+]
+
+
+@pytest.mark.parametrize("text", ALONE)
+def test_every_form_is_found_alone(text):
+    assert secrets.find(text) and secrets._known(text)
+    assert secrets.MASK in secrets.redact(text)
+
+
 def test_a_token_may_follow_an_equals_sign():
     assert secrets.find("GH_PAT=" + LIVE[0])
 
