@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from prism.session import cut
+
 #: Rows of each model and dims that the partition and the codebook are fitted on, at most.
 SAMPLE = 20_000
 #: Rows of a cell aimed at; cells a code goes to; rows of a block of a hot cell.
@@ -154,8 +156,9 @@ def similar_pairs(vectors: DataFrame, k: int = 5, threshold: float = 0.85, seed:
     being among the k most similar of the other (ties by id); id_a < id_b.
 
     Vectors that are null, zero, not finite or not dims long take no part. Repeated rows count once. Of more than
-    k + 1 copies of one vector, the first k + 1 by id are indexed and the rest are linked to the first k, which is
-    what a tie by id gives. An empty table gives no row.
+    k + 1 copies of one vector, the first k + 1 by id are indexed; the rest are linked to the first k by id of those
+    and of all rows that tie with them at a rounded cosine of 1 (vectors of another length or nearly the same), which
+    is what a tie by id gives. An empty table gives no row.
     """
     spark = vectors.sparkSession
     v = vectors.where(valid(F.col("model"), F.col("dims"), F.col("vector")) & F.col("id").isNotNull()).select(
@@ -164,15 +167,13 @@ def similar_pairs(vectors: DataFrame, k: int = 5, threshold: float = 0.85, seed:
     groups = v.groupBy("model", "dims").agg(F.count("*").alias("n")).orderBy("model", "dims").collect()
     if not groups:
         return spark.createDataFrame([], "id_a string, id_b string, similarity double")
-    extra = None
+    first = rest = None
     hot = v.groupBy("copy").agg(F.approx_count_distinct("vid").alias("c")).where(F.col("c") > k + 1).select("copy")
     if hot.limit(1).count():
         rows = v.join(hot, "copy", "left_semi").select("copy", "vid", "id").distinct()
-        first = rows.withColumn("r", F.row_number().over(Window.partitionBy("copy").orderBy("id"))).where(F.col("r") <= k + 1)
+        first = cut(rows.withColumn("r", F.row_number().over(Window.partitionBy("copy").orderBy("id"))).where(F.col("r") <= k + 1))
         stays = first.select("copy", "vid")
-        rest = rows.join(stays, ["copy", "vid"], "left_anti")
-        links = rest.join(first.where(F.col("r") <= k).select("copy", F.col("id").alias("o")), "copy")
-        extra = links.select(F.least("id", "o").alias("id_a"), F.greatest("id", "o").alias("id_b"), F.lit(1.0).alias("similarity"))
+        rest = cut(rows.join(stays, ["copy", "vid"], "left_anti"))
         v = v.join(rest.select("vid"), "vid", "left_anti")
 
     quantisers, number = [], {}
@@ -249,11 +250,22 @@ def similar_pairs(vectors: DataFrame, k: int = 5, threshold: float = 0.85, seed:
 
     full = v.select("vid", "id", "vector")
     exact = near.join(full.select(F.col("vid").alias("a"), F.col("id").alias("x"), F.col("vector").alias("xv")), "a").join(full.select(F.col("vid").alias("b"), F.col("id").alias("y"), F.col("vector").alias("yv")), "b")
-    scored = exact.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), cosine("xv", "yv").alias("similarity")).where(F.col("similarity") >= threshold - 1e-9).dropDuplicates(["id_a", "id_b"])
+    scored = exact.select("a", "b", "x", "y", cosine("xv", "yv").alias("similarity")).where(F.col("similarity") >= threshold - 1e-9)
+    if rest is not None:
+        scored = cut(scored)
+    pairs = scored.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "similarity").dropDuplicates(["id_a", "id_b"])
     sides = F.array(F.struct(F.col("id_a").alias("me"), F.col("id_b").alias("other")), F.struct(F.col("id_b").alias("me"), F.col("id_a").alias("other")))
-    ranked = scored.select("id_a", "id_b", "similarity", F.explode(sides).alias("s")).withColumn("r", F.row_number().over(Window.partitionBy("s.me").orderBy(F.desc(F.round("similarity", 9)), "s.other")))
-    kept = ranked.where(F.col("r") <= k).groupBy("id_a", "id_b").agg(F.max("similarity").alias("similarity"))
-    return kept.unionByName(extra).dropDuplicates(["id_a", "id_b"]) if extra is not None else kept
+    ranked = pairs.select("id_a", "id_b", "similarity", F.explode(sides).alias("s")).select("id_a", "id_b", "similarity", "s.me", "s.other")
+    if rest is not None:
+        # what ties with the first copy ties with all of them; those that stay are among it
+        head = first.where("r = 1").select("copy", F.col("vid").alias("head"))
+        ends = scored.where(F.round("similarity", 9) >= 1).select(F.explode(F.array(F.struct(F.col("a").alias("head"), F.col("y").alias("other")), F.struct(F.col("b").alias("head"), F.col("x").alias("other")))).alias("e")).select("e.*")
+        ties = ends.join(head, "head").select("copy", "other").union(first.select("copy", "id")).distinct()
+        least = ties.withColumn("n", F.row_number().over(Window.partitionBy("copy").orderBy("other"))).where(F.col("n") <= k).select("copy", "other")
+        links = rest.join(least, "copy")
+        ranked = ranked.unionByName(links.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b"), F.lit(1.0).alias("similarity"), F.col("id").alias("me"), "other"))
+    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("me").orderBy(F.desc(F.round("similarity", 9)), "other")))
+    return ranked.where(F.col("r") <= k).groupBy("id_a", "id_b").agg(F.max("similarity").alias("similarity"))
 
 
 def _hot_cells(v: DataFrame, shared, block: int) -> DataFrame:

@@ -140,6 +140,18 @@ def test_many_copies_of_a_vector(spark, monkeypatch):
     assert len(got) == len(set(got)) and want <= set(got)
 
 
+@pytest.mark.parametrize("other", ["rescaled", "last digit"])
+def test_copies_tie_with_vectors_of_the_same_direction(spark, other):
+    v = _vectors(60)
+    one = (2 * v[0]) if other == "rescaled" else np.nextafter(v[0], np.float32(9))
+    rows = [("a00", "m", 24, one.tolist()), *[(f"b{i:02d}", "m", 24, v[0].tolist()) for i in range(1, 11)], *[(f"c{i:02d}", "m", 24, x.tolist()) for i, x in enumerate(v[1:])]]
+    df = spark.createDataFrame(rows, "id string, model string, dims int, vector array<float>")
+    got = {(r["id_a"], r["id_b"]) for r in neighbours.similar_pairs(df).collect()}
+    ids = ["a00", *[f"b{i:02d}" for i in range(1, 11)]]
+    want = {tuple(sorted((a, b))) for a in ids for b in [c for c in ids if c != a][:5]}
+    assert {p for p in got if p[0] in ids and p[1] in ids} == want
+
+
 def test_a_product_of_lists_indexes_every_row(monkeypatch):
     monkeypatch.setattr(neighbours, "FLAT", 1)
     x = neighbours.unit(list(_vectors(2000)))
