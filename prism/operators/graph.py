@@ -82,24 +82,30 @@ def dependents(edges: DataFrame, seeds: DataFrame, depth: int | None = 1) -> Dat
     return seen.where("depth > 0")
 
 
-def relink_set(edges: DataFrame, changed: DataFrame) -> DataFrame:
-    """Files to link again: importers of the changed files, on through re-exports only, without the changed ones."""
+def relink_set(edges: DataFrame, changed: DataFrame, membership_changed: bool = False) -> DataFrame:
+    """Files to link again: importers of the changed files, on through re-exports only, without the changed ones; with
+    membership_changed (a file appeared or went) also the importers of what dangles."""
     links = cut(edges.where("kind in ('imports', 'imports:reexport')").select("source_path", "to_ref", (F.col("kind") == "imports:reexport").alias("on")).distinct())
     start = cut(changed.select("path").distinct())
-    seen, frontier = start, start
+    found, visited, frontier = start, start, start
     while True:
-        hit = links.join(frontier.select(F.col("path").alias("to_ref")), "to_ref", "left_semi").groupBy(F.col("source_path").alias("path")).agg(F.max("on").alias("on"))
-        fresh = cut(hit.join(seen.select("path").distinct(), "path", "left_anti"))
-        seen = cut(seen.select("path").unionByName(fresh.select("path")))
-        frontier = fresh.where("on").select("path")
+        hit = cut(links.join(frontier.select(F.col("path").alias("to_ref")), "to_ref", "left_semi").groupBy(F.col("source_path").alias("path")).agg(F.max("on").alias("on")))
+        found = cut(found.unionByName(hit.select("path")).distinct())
+        # a file that was found by a plain import still goes on where it is reached by a re-export
+        frontier = cut(hit.where("on").select("path").join(visited, "path", "left_anti"))
         if not frontier.limit(1).count():
-            return seen.join(start, "path", "left_anti")
+            break
+        visited = cut(visited.unionByName(frontier))
+    if membership_changed:
+        found = found.unionByName(edges.where("kind = 'imports:dangling'").select(F.col("source_path").alias("path"))).distinct()
+    return found.join(start, "path", "left_anti")
 
 
-def pagerank(edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(ref, score), the largest score 1. Uniform start; the mass of sinks leaks; parallel edges count each."""
+def pagerank(edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, refs: DataFrame | None = None) -> DataFrame:
+    """(ref, score), the largest score 1. refs: (ref), nodes besides those of the edges. Uniform start; the mass of sinks leaks; parallel edges count each."""
     e = cut(edges.select(F.col("source_path").alias("a"), F.col("to_ref").alias("b")))
-    nodes = e.select(F.col("a").alias("ref")).union(e.select("b")).distinct()
+    nodes = e.select(F.col("a").alias("ref")).union(e.select("b"))
+    nodes = cut((nodes if refs is None else nodes.union(refs.select("ref").where("ref is not null"))).distinct())
     n = nodes.count()
     if not n:
         return nodes.withColumn("score", F.lit(0.0))

@@ -22,9 +22,39 @@ def a14_in_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.in_degree(_edges(spark, sf_dir))
 
 
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of _edges that lead to a file."""
+    return cut(_edges(spark, sf_dir).where("kind in ('imports', 'imports:reexport')"))
+
+
+def h7_import_dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every imported file, its dependents up to two hops."""
+    e = _links(spark, sf_dir)
+    return graph.dependents(e, e.select(F.col("to_ref").alias("path")), 2)
+
+
+def h10_import_relink_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What to link again when files were added whose syntax is in doubt: their importers and those of dangling imports."""
+    changed = table(spark, sf_dir, "files").where("has_syntax_errors = 1").select("path").distinct()
+    return graph.relink_set(cut(_edges(spark, sf_dir)), changed, membership_changed=True)
+
+
+def _file_ranks(spark: SparkSession, sf_dir: str, edges: DataFrame) -> DataFrame:
+    return graph.pagerank(edges, refs=table(spark, sf_dir, "files").select(F.col("path").alias("ref")))
+
+
+def h11_import_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _file_ranks(spark, sf_dir, _links(spark, sf_dir))
+
+
+def h12_import_repo_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _links(spark, sf_dir)
+    return graph.repo_map(e, _file_ranks(spark, sf_dir, e), 1000)
+
+
 def _same_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of a denser graph: a file refers to the file of its repository whose symbols bear the name of its alias, and
-    symbols to their container's file; used where the import graph of the texts is thin."""
+    symbols to their container's file. Invented: it tests the operators at size, its results say nothing of imports; those are h*_import_*."""
     s = table(spark, sf_dir, "symbols").select("path", "base_name").distinct()
     first = s.groupBy("base_name").agg(F.min("path").alias("to_ref"))
     return s.join(first, "base_name").where("path <> to_ref").select(F.col("path").alias("source_path"), "to_ref").distinct().withColumn("kind", F.lit("imports"))
@@ -50,7 +80,7 @@ def h12_repo_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.repo_map(e, graph.in_degree(e).select("ref", F.col("importers").cast("double").alias("score")), 1000).select("path", "score", "importers", "used")
 
 
-QUERIES = {f.__name__: f for f in (h1_import_edges, a14_in_degree, h7_dependents, h10_relink_set, h11_pagerank, h12_repo_map)}
+QUERIES = {f.__name__: f for f in (h1_import_edges, a14_in_degree, h7_dependents, h10_relink_set, h11_pagerank, h12_repo_map, h7_import_dependents, h10_import_relink_set, h11_import_pagerank, h12_import_repo_map)}
 
 _E = """s as (select distinct path, base_name from symbols), f as (select base_name, min(path) as to_ref from s group by 1),
 e as (select distinct path as source_path, to_ref from s join f using (base_name) where path <> to_ref)"""

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from prism.functions.text import in_scope, words
 from prism.operators import graph, maintenance, outline, ranking, screen
+from prism.plans.graphs import QUERIES
 from prism.streaming.usage import fold
 
 NODES = [  # path, pre, end_pre, parent_pre, tag, name, attrs
@@ -105,6 +106,23 @@ def test_dependents_of_a_cycle(spark):
     assert [r["path"] for r in graph.dependents(e, seeds).collect()] == ["b"]
 
 
+def test_import_queries_run_over_the_imports_of_the_texts(spark, tmp_path):
+    texts = {"r/a.ts": "export const a = 1\n", "r/b.ts": "import { a } from './a'\nexport { c } from './c'\n", "r/c.ts": "export { a } from './a'\n", "r/d.ts": "import { c } from './b'\n", "r/e.ts": "import x from './gone'\n", "r/f.ts": ""}
+    spark.createDataFrame(list(texts.items()), "path string, content string").write.parquet(f"{tmp_path}/file_texts.parquet")
+    spark.createDataFrame([(p, int(p == "r/a.ts")) for p in texts], "path string, has_syntax_errors int").write.parquet(f"{tmp_path}/files.parquet")
+    run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    # b also imports a, and is reached again by the re-export of c: d hangs on it; e dangles
+    assert sorted(r["path"] for r in run("h10_import_relink_set")) == ["r/b.ts", "r/c.ts", "r/d.ts", "r/e.ts"]
+    assert {(r["seed"], r["path"], r["depth"]) for r in run("h7_import_dependents")} == {("r/a.ts", "r/b.ts", 1), ("r/a.ts", "r/c.ts", 1), ("r/a.ts", "r/d.ts", 2), ("r/c.ts", "r/b.ts", 1), ("r/c.ts", "r/d.ts", 2), ("r/b.ts", "r/d.ts", 1)}
+    edges, score = [("b", "a"), ("b", "c"), ("c", "a"), ("d", "b")], dict.fromkeys("abcdef", 1 / 6)
+    for _ in range(20):
+        score = {n: 0.15 / 6 + 0.85 * sum(score[x] / sum(y == x for y, _ in edges) for x, to in edges if to == n) for n in score}
+    ranks = {r["ref"][2]: r["score"] for r in run("h11_import_pagerank")}
+    assert set(ranks) == set(score) and all(abs(ranks[n] - score[n] / max(score.values())) < 1e-9 for n in score)
+    tops = run("h12_import_repo_map")
+    assert [r["path"][2] for r in tops] == sorted(score, key=lambda n: (-score[n], n)) and all(abs(r["score"] - ranks[r["path"][2]]) < 1e-12 for r in tops)
+
+
 def test_relink_goes_on_through_reexports(spark):
     e = spark.createDataFrame([("b", "a", "imports:reexport"), ("c", "b", "imports"), ("d", "c", "imports")], "source_path string, to_ref string, kind string")
     assert sorted(r["path"] for r in graph.relink_set(e, spark.createDataFrame([("a",)], "path string")).collect()) == ["b", "c"]
