@@ -1,7 +1,8 @@
 """Filling fixed-capacity containers with texts (lexical retrieval packing).
 
 Texts are measured in tokens, cut only where longer than a container, and spread over shards of a bounded
-number of tokens. Each shard builds a BM25 inverted index of its pieces. The longest unused piece seeds a
+number of tokens by content: pieces are ordered by weighted MinHashes of their terms, rarer terms weighing more, and
+the order is cut into shards, so that pieces of like words meet however large the corpus is. Each shard builds a BM25 inverted index of its pieces. The longest unused piece seeds a
 container; its best-scoring unused neighbours fill the window greedily, and what room is left takes the
 longest unused piece that fits, so a container closes only when no unused piece of its shard fits.
 """
@@ -24,8 +25,8 @@ from prism.session import cut
 WORD = re.compile(r"\w+|[^\w\s]")
 #: Bounds of the work of one task.
 SHARD_TOKENS = 600_000
-#: Of a seed, so many of its terms of the highest idf ask the index; they only order the neighbours.
-SEED_TERMS = 48
+#: Texts whose terms say how rare a term is, at most; MinHashes that order the pieces; bits of each part of that order.
+SAMPLE, HASHES, BITS = 20_000, 2, 16
 K1, B = 1.2, 0.75
 
 _PIECES = "doc_id long, piece int, pieces int, start int, stop int, n_tokens int, terms array<int>, tfs array<int>"
@@ -124,7 +125,7 @@ def fill(n_tokens: np.ndarray, terms: list, tfs: list, capacity: int) -> np.ndar
         take(seed, c)
         if room > 0 and ids and keys[0] <= room:
             own = np.searchsorted(vocabulary, np.asarray(terms[seed], dtype=np.int64))
-            own = own[np.argsort(-idf[own], kind="stable")][:SEED_TERMS]
+            own = own[df[own] > 1]  # a term of df 1 scores nothing but the seed
             score = np.zeros(n)
             for v in own:
                 s = slice(first[v], first[v] + df[v])
@@ -147,6 +148,71 @@ def fill(n_tokens: np.ndarray, terms: list, tfs: list, capacity: int) -> np.ndar
     return container
 
 
+def signature(terms: np.ndarray, known: np.ndarray, counts: np.ndarray, total: int) -> list[int]:
+    """MinHashes of a set of terms, weighted by idf: pieces that share their rare terms are likely to share them.
+
+    known, counts: terms in order and in how many of the total sampled pieces each stands."""
+    if not len(terms):
+        return [0] * HASHES
+    t = terms.astype(np.int64)
+    df = np.zeros(len(t))
+    if len(known):
+        at = np.minimum(np.searchsorted(known, t), len(known) - 1)
+        df = np.where(known[at] == t, counts[at], 0)
+    weight = np.log1p(total / (df + 1.0))
+    out = []
+    for k in range(HASHES):
+        h = (t + (1 << 31)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((k + 1) * 0xBF58476D1CE4E5B9 % (1 << 64))
+        h = (h ^ h >> np.uint64(30)) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+        # a term that no other sampled piece has cannot bring two together
+        cost = -np.log(((h >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)) / weight + np.where(df > 1, 0.0, 1e9)
+        out.append(int(h[cost.argmin()] * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - BITS)))
+    return out
+
+
+def by_content(parts: DataFrame, shards: int) -> DataFrame:
+    """parts with the shard of each: ranges of about equal tokens of the order by signature.
+
+    Places of the order are 2^16 values of the first MinHash; one that holds more than an eighth of a shard is ordered
+    within by the second MinHash and by a hash of the piece, so that no group of like texts makes a large shard."""
+    if shards == 1:
+        return parts.withColumn("shard", F.lit(0))
+    share = min(1.0, SAMPLE / max(1, parts.count()))
+    picked = parts.where(F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    seen = picked.select(F.explode("terms").alias("t")).groupBy("t").count().where("count > 1").orderBy(F.desc("count"), "t").limit(1_000_000).toPandas().sort_values("t")
+    shared = parts.sparkSession.sparkContext.broadcast((seen["t"].to_numpy(np.int64), seen["count"].to_numpy(np.int64), max(1, picked.count())))
+
+    @F.pandas_udf("array<long>")
+    def sign(terms: pd.Series) -> pd.Series:
+        known, counts, total = shared.value
+        return terms.map(lambda t: signature(np.asarray(t), known, counts, total))
+
+    signed = cut(parts.withColumn("sign", sign("terms")).withColumn("even", F.xxhash64("doc_id", "piece", "start")))
+    signed = signed.select(*parts.columns, F.col("sign")[0].alias("b"), F.shiftright(F.col("sign")[1], 10).cast("int").alias("c"), F.pmod("even", F.lit(1024)).cast("int").alias("e"))
+    tokens = F.sum(F.greatest("n_tokens", F.lit(16))).alias("n")
+    first = signed.groupBy("b").agg(tokens).toPandas()
+    each = first["n"].sum() / shards
+    hot = np.zeros(1 << BITS, dtype=bool)
+    hot[first["b"][first["n"] > each / 8].to_numpy(np.int64)] = True
+    flags = parts.sparkSession.sparkContext.broadcast(hot)
+
+    @F.pandas_udf("long")
+    def order(b: pd.Series, c: pd.Series, e: pd.Series) -> pd.Series:
+        return (b * (1 << BITS) + (c * 1024 + e).where(flags.value[b.to_numpy()], 0)).astype("int64")
+
+    signed = signed.withColumn("place", order("b", "c", "e"))
+    sums = signed.groupBy("place").agg(tokens).toPandas().sort_values("place")
+    to = np.minimum(shards - 1, ((sums["n"].cumsum() - sums["n"] / 2) / each).astype(int)).to_numpy(np.int32)
+    ends = parts.sparkSession.sparkContext.broadcast((sums["place"].to_numpy(np.int64), to))
+
+    @F.pandas_udf("int")
+    def shard(p: pd.Series) -> pd.Series:
+        return pd.Series(ends.value[1][np.searchsorted(ends.value[0], p.to_numpy())])
+
+    return signed.select(*parts.columns, shard("place").alias("shard"))
+
+
 def pack(docs: DataFrame, capacity: int, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, pieces, start, stop, n_tokens, container): every piece of every text in one container.
 
@@ -164,8 +230,7 @@ def pack(docs: DataFrame, capacity: int, tokenizer: str | None = None, id_col: s
         out["container"] = [f"{key[0]}-{x}" for x in c]
         return out
 
-    spread = parts.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(shards)).cast("int"))
-    return spread.groupBy("shard").applyInPandas(run, "doc_id long, piece int, pieces int, start int, stop int, n_tokens int, container string")
+    return by_content(parts, shards).groupBy("shard").applyInPandas(run, "doc_id long, piece int, pieces int, start int, stop int, n_tokens int, container string")
 
 
 def fill_report(packed: DataFrame, capacity: int) -> DataFrame:

@@ -121,6 +121,29 @@ def test_containers(spark):
     assert packing.pack(df.limit(0), 128).count() == 0
 
 
+def test_all_terms_of_a_seed_find_its_neighbours():
+    # the longest piece has 60 terms of its own and 3 of a short piece, which another of the same length does not share
+    terms = [np.arange(63), np.array([60, 61, 62]), np.array([900, 901, 902]), *[np.array([1000 + i]) for i in range(5)]]
+    n = np.array([63, 4, 4, 5, 5, 5, 5, 5])
+    c = packing.fill(n, terms, [np.ones(len(t)) for t in terms], 67)
+    assert c[0] == c[1]
+
+
+def test_like_texts_meet_in_a_shard(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 2_000)
+    rng = random.Random(7)
+    docs = [(k * 2 + j, " ".join(rng.choice([f"t{k}w{i}" for i in range(40)] + ["the", "of", "and"] * 5) for _ in range(60))) for k in range(400) for j in range(2)]
+    docs += [(i, "all the same") for i in range(1000, 3000)]
+    rows = packing.pack(spark.createDataFrame(docs, "doc_id long, text string"), 125).collect()
+    assert sorted(r["doc_id"] for r in rows) == [i for i, _ in docs]
+    shard = {r["doc_id"]: r["container"].split("-")[0] for r in rows}
+    assert sum(shard[2 * k] == shard[2 * k + 1] for k in range(400)) > 200  # by chance about 40
+    load: dict = {}
+    for r in rows:
+        load[shard[r["doc_id"]]] = load.get(shard[r["doc_id"]], 0) + max(16, r["n_tokens"])
+    assert len(load) >= 8 and max(load.values()) < 2 * min(load.values())
+
+
 def test_prose_and_sentences():
     text = "﻿# Head line here\n\nFirst one, e.g. this, in v1.2.3 runs. Second!\n\n- item one. two.\n  more item\n\n    code here. x\n\n```py\ncode. too\n```\nUnder\n-----\nLast `x = 1` one"
     assert reading.prose(text) == ["First one, e.g. this, in v1.2.3 runs. Second!", "Last one"]
