@@ -23,24 +23,28 @@ def bucket(c: Column, ends: tuple) -> Column:
     return F.when(c.isNotNull(), out.otherwise(ends[-1][1]))
 
 
+# Where a name parts into words, and what a word of a query is.
+_HUMP, _QUERY_WORD = r"([a-z0-9])([A-Z])", r"([a-z0-9]+)"
+_SEPARATORS, _SIGILS, _ACRONYM, _CAMEL, _EXTENSION = r"(::|->|[_\-.\\#/]+)", r"[$@%&?!]+", r"([A-Z]+)([A-Z][a-z])", r"([a-z\d])([A-Z])", r"(?i)\.[a-z0-9]+$"
+
+
 def words(c: Column) -> Column:
-    """Lower-case words of a text, identifiers split at their humps, stop words left out."""
-    spaced = F.lower(F.regexp_replace(c, r"([a-z0-9])([A-Z])", "$1 $2"))
-    return F.filter(F.regexp_extract_all(spaced, F.lit(r"([a-z0-9]+)"), F.lit(1)), lambda w: ~w.isin(*STOP))
+    """What BM25 counts: runs of ASCII letters and digits in lower case, parted before a capital, less the stop words."""
+    spaced = F.lower(F.regexp_replace(c, _HUMP, "$1 $2"))
+    return F.filter(F.regexp_extract_all(spaced, F.lit(_QUERY_WORD), F.lit(1)), lambda w: ~w.isin(*STOP))
 
 
 def identifier_words(c: Column) -> Column:
     """The words of an identifier: humps, acronyms, separators and namespaces."""
-    s = F.regexp_replace(c, r"(::|->|[_\-.\\#/]+)", " ")
-    s = F.regexp_replace(s, r"[$@%&?!]+", " ")
-    s = F.regexp_replace(s, r"([A-Z]+)([A-Z][a-z])", "$1 $2")
-    s = F.regexp_replace(s, r"([a-z\d])([A-Z])", "$1 $2")
+    s = c
+    for pattern, put in ((_SEPARATORS, " "), (_SIGILS, " "), (_ACRONYM, "$1 $2"), (_CAMEL, "$1 $2")):
+        s = F.regexp_replace(s, pattern, put)
     return F.filter(F.transform(F.split(s, r"\s+"), lambda w: F.lower(w)), lambda w: w != "")
 
 
 def path_words(c: Column) -> Column:
     """The words of a path without its extension."""
-    bare = F.regexp_replace(c, r"(?i)\.[a-z0-9]+$", "")
+    bare = F.regexp_replace(c, _EXTENSION, "")
     return F.flatten(F.transform(F.filter(F.split(bare, r"[/\\]+"), lambda s: ~s.isin("", ".", "..")), identifier_words))
 
 
@@ -51,8 +55,9 @@ def suffixes(c: Column) -> Column:
 
 
 def sentences(c: Column) -> Column:
-    """Sentences, cut after . ! ? where a capital, digit or quote follows."""
-    return F.split(c, r"(?<=[.!?])\s+(?=[A-Z0-9\"'(])")
+    """Sentences, cut after . ! ? where a capital, a digit, a quote, a backtick or a bracket follows; without blanks around, empty ones left out."""
+    parts = F.transform(F.split(c, r"(?<=[.!?])\s+(?=[A-Z0-9\"'(`])"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
+    return F.filter(parts, lambda s: s != "")
 
 
 def directory(c: Column) -> Column:

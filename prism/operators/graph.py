@@ -1,91 +1,72 @@
-"""Import graphs: links from source texts, neighbours, reach, ranks and communities."""
+"""Graphs of imports and calls: neighbours, reach, ranks and communities."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prism.functions.text import directory
 from prism.session import cut
 
 DAMPING, ROUNDS = 0.85, 20
-
-# What a specifier without extension may stand for, in order.
-_TRIED = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".mts", ".cts", ".json", ".py", "/index.ts", "/index.tsx", "/index.js", "/index.jsx", "/__init__.py")
-
-
-def imports(texts: DataFrame) -> DataFrame:
-    """(path, seq, specifier, reexport, relative) of the import statements of ECMAScript and Python texts; repeated rows count once."""
-    t = texts.where("path is not null and content is not null").select("path", "content").distinct()
-    ext = F.regexp_extract("path", r"\.(\w+)$", 1)
-    js = F.regexp_extract_all("content", F.lit(r"(?m)^[ \t]*((?:import|export)\s+(?:[^'\";\n]*?\s+from\s+)?['\"][^'\"\n]+['\"])"), F.lit(1))
-    py = F.regexp_extract_all("content", F.lit(r"(?m)^(from\s+\.*[\w.]*)\s+import\b"), F.lit(1))
-    found = F.when(ext.isin("js", "ts", "tsx", "jsx", "mjs", "cjs"), js).when(ext == "py", py)
-    rows = t.select("path", F.posexplode(found).alias("seq", "s"))
-    specifier = F.regexp_extract("s", r"(?:['\"]([^'\"]+)['\"]|^from\s+(\.*[\w.]*))$", 1)
-    specifier = F.when(specifier != "", specifier).otherwise(F.regexp_extract("s", r"^from\s+(\.*[\w.]*)$", 1))
-    return rows.select("path", "seq", specifier.alias("specifier"), F.col("s").startswith("export").alias("reexport")).withColumn("relative", F.col("specifier").startswith("."))
-
-
-def _normal(c: Column) -> Column:
-    """A path without . and x/.. parts."""
-    done = F.aggregate(
-        F.filter(F.split(c, "/"), lambda p: ~p.isin("", ".")),
-        F.array().cast("array<string>"),
-        lambda acc, p: F.when((p == "..") & (F.size(acc) > 0), F.slice(acc, 1, F.size(acc) - 1)).otherwise(F.array_append(acc, p)),
-    )
-    return F.array_join(done, "/")
-
-
-def link_imports(found: DataFrame, files: DataFrame) -> DataFrame:
-    """(source_path, to_ref, kind, lines): the first candidate that is an indexed file; relative specifiers without one are
-    dangling, others external. One edge for each source, target and kind, its places gathered."""
-    python = F.col("path").endswith(".py")
-    dots = F.length(F.regexp_extract("specifier", r"^(\.*)", 1))
-    up = F.array_join(F.array_repeat(F.lit(".."), F.greatest(dots - 1, F.lit(0))), "/")
-    module = F.translate(F.regexp_replace("specifier", r"^\.+", ""), ".", "/")
-    base = _normal(F.concat_ws("/", directory(F.col("path")), F.when(python, F.concat_ws("/", up, module)).otherwise(F.col("specifier"))))
-    swap = [F.regexp_replace(base, r"\.js$", e) for e in (".ts", ".tsx")]
-    candidates = F.array(*[F.when(F.col("relative"), x) for x in (*swap, base, *[F.concat(base, F.lit(e)) for e in _TRIED])])
-    c = found.select("path", "seq", F.posexplode(candidates).alias("n", "to"))
-    known = files.select(F.col("path").alias("to")).distinct()
-    hit = c.where("to is not null").join(known, "to", "left_semi").groupBy("path", "seq").agg(F.min_by("to", "n").alias("to"))
-    e = found.join(hit, ["path", "seq"], "left")
-    kind = F.when(F.col("to").isNotNull(), F.when(F.col("reexport"), "imports:reexport").otherwise("imports")).when(F.col("relative"), "imports:dangling").otherwise("imports:external")
-    return e.groupBy(F.col("path").alias("source_path"), F.coalesce("to", "specifier").alias("to_ref"), kind.alias("kind")).agg(F.array_sort(F.collect_set("seq")).alias("lines"))
+# Kinds of edges that lead from a file to one it imports; those of run time; those from a caller to a symbol.
+IMPORT_KINDS = ("imports", "imports:type", "imports:reexport", "imports:asset")
+RUNTIME_KINDS = ("imports", "imports:reexport", "imports:asset")
+CALL_KINDS = ("calls", "calls:name")
 
 
 def in_degree(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("to_ref").alias("ref")).agg(F.countDistinct("source_path").alias("importers"))
 
 
-def dependents(edges: DataFrame, seeds: DataFrame, depth: int | None = 1) -> DataFrame:
-    """(seed, path, depth): who imports each seed, by hops; the seed itself is never among them. depth None: all.
+def dependents(edges: DataFrame, seeds: DataFrame, depth: int | None = 1, type_only: bool = False) -> DataFrame:
+    """(seed, path, depth, more): who imports each seed, by hops; the seed itself is never among them. depth None: all.
+    type_only: imports of types count too. more: something lies beyond the depth for that seed.
 
     Each hop joins only the frontier and drops what was seen; rounds end when the frontier is empty.
     """
-    links = cut(edges.where("kind in ('imports', 'imports:reexport')").select("source_path", "to_ref").distinct())
+    links = cut(edges.where(F.col("kind").isin(*(IMPORT_KINDS if type_only else RUNTIME_KINDS))).select("source_path", "to_ref").distinct())
     frontier = seeds.select(F.col("path").alias("seed"), "path").distinct()
     seen = cut(frontier.withColumn("depth", F.lit(0)))
-    hop = 0
-    while depth is None or hop < depth:
+    hop, beyond = 0, None
+    while True:
         hop += 1
         now = seen.where(F.col("depth") == hop - 1).select("seed", F.col("path").alias("to_ref"))
-        after = now.join(links, "to_ref").select("seed", F.col("source_path").alias("path")).distinct().join(seen, ["seed", "path"], "left_anti").withColumn("depth", F.lit(hop))
-        after = cut(after)
+        after = now.join(links, "to_ref").select("seed", F.col("source_path").alias("path")).distinct().join(seen, ["seed", "path"], "left_anti")
+        if depth is not None and hop > depth:
+            beyond = after.select("seed").distinct().withColumn("more", F.lit(True))
+            break
+        after = cut(after.withColumn("depth", F.lit(hop)))
         if not after.limit(1).count():
             break
         seen = seen.unionByName(after)
         if hop % 5 == 0:
             seen = cut(seen)
-    return seen.where("depth > 0")
+    found = seen.where("depth > 0")
+    if beyond is None:
+        return found.withColumn("more", F.lit(False))
+    return found.join(beyond, "seed", "left").select("seed", "path", "depth", F.coalesce("more", F.lit(False)).alias("more"))
+
+
+def dependencies(edges: DataFrame, paths: DataFrame) -> DataFrame:
+    """(source_path, to_ref, kind) of the imports of the given files that stay in the workspace."""
+    return edges.where(F.col("kind").isin(*IMPORT_KINDS)).join(paths.select(F.col("path").alias("source_path")).distinct(), "source_path", "left_semi").select("source_path", "to_ref", "kind")
+
+
+def dangling(edges: DataFrame) -> DataFrame:
+    """(source_path, to_ref, lines) of imports that ought to lead into the workspace and do not."""
+    return edges.where("kind = 'imports:dangling'").select("source_path", "to_ref", "lines")
+
+
+def hubs(edges: DataFrame, kinds: tuple[str, ...], n: int) -> DataFrame:
+    """(ref, users): the n targets with the most distinct sources, ties by ref. Guesses count only if asked for by kind."""
+    per = edges.where(F.col("kind").isin(*kinds)).groupBy(F.col("to_ref").alias("ref")).agg(F.countDistinct("source_path").alias("users"))
+    return per.orderBy(F.desc("users"), "ref").limit(n)
 
 
 def relink_set(edges: DataFrame, changed: DataFrame, membership_changed: bool = False) -> DataFrame:
     """Files to link again: importers of the changed files, on through re-exports only, without the changed ones; with
     membership_changed (a file appeared or went) also the importers of what dangles."""
-    links = cut(edges.where("kind in ('imports', 'imports:reexport')").select("source_path", "to_ref", (F.col("kind") == "imports:reexport").alias("on")).distinct())
+    links = cut(edges.where(F.col("kind").isin(*IMPORT_KINDS)).select("source_path", "to_ref", (F.col("kind") == "imports:reexport").alias("on")).distinct())
     start = cut(changed.select("path").distinct())
     found, visited, frontier = start, start, start
     while True:
@@ -134,67 +115,64 @@ def repo_map(edges: DataFrame, scores: DataFrame, budget: int, cost: Column | No
     return run.where((F.col("used") <= budget) | (F.col("n") == 1)).select("path", "score", "importers", "used")
 
 
-def communities(edges: DataFrame, component: DataFrame, resolution: float = 1.0) -> DataFrame:
-    """(node, community): Louvain, one connected component a task. edges: (a, b, weight); component: (node, component)."""
-    both = edges.join(component, edges["a"] == component["node"]).select("component", "a", "b", "weight")
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(f["a"]) | set(f["b"]))
-        at = {x: i for i, x in enumerate(names)}
-        label = louvain(len(names), [(at[a], at[b], w) for a, b, w in zip(f["a"], f["b"], f["weight"], strict=True)], resolution)
-        first: dict[int, int] = {}
-        return pd.DataFrame({"node": names, "community": [names[first.setdefault(c, i)] for i, c in enumerate(label)]})
+# Fixed value: the least gain in modularity that counts as one.
+GAIN = 1e-12
 
-    return both.groupBy("component").applyInPandas(run, "node string, community string")
 
+def communities(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """(node, community): communities of high modularity, named by their least node. edges: (a, b, weight), either way round.
 
-def louvain(n: int, edges: list[tuple[int, int, float]], resolution: float = 1.0, gain: float = 1e-12) -> list[int]:
-    """The community of each node; independent of the order of the edges."""
-    member, links = list(range(n)), {}
-    for a, b, w in edges:
-        key = (min(a, b), max(a, b))
-        links[key] = links.get(key, 0.0) + w
-    while True:
-        size = max(member) + 1 if member else 0
-        near: list[dict[int, float]] = [{} for _ in range(size)]
-        degree, total = [0.0] * size, 0.0
-        for (a, b), w in sorted(links.items()):
-            near[a][b] = near[a].get(b, 0.0) + w
-            if a != b:
-                near[b][a] = near[b].get(a, 0.0) + w
-            degree[a] += w
-            degree[b] += w
-            total += w
-        if not total:
-            return member
-        of, mass, moved = list(range(size)), degree[:], False
-        again = True
-        while again:
-            again = False
-            for v in range(size):
-                own = of[v]
-                mass[own] -= degree[v]
-                to: dict[int, float] = {}
-                for u, w in near[v].items():
-                    if u != v:
-                        to[of[u]] = to.get(of[u], 0.0) + w
-                worth = lambda c: to.get(c, 0.0) - resolution * mass[c] * degree[v] / (2 * total)  # noqa: B023, E731
-                best = own
-                for c in sorted(to):
-                    if worth(c) > worth(best) + gain:
-                        best = c
-                mass[best] += degree[v]
-                if best != own:
-                    of[v], again, moved = best, True, True
+    Modularity is raised level by level with rounds of joins. In a round one half of the nodes (by a hash of node and round)
+    each go to the neighbouring community where modularity gains most, the least name on ties; as the other half stays, two
+    nodes never swap. A round that does not raise the modularity of the whole is taken back, and two such rounds end the
+    level; then communities become the nodes of the next. No component is gathered in a task, and the order of the edges
+    does not matter. Null ends are left out; loops count to their node; an empty table gives no row.
+    """
+    e = edges.where("a is not null and b is not null and weight > 0").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("weight").alias("w"))
+    level = cut(e)
+    total = level.agg(F.sum("w")).first()[0]
+    member = cut(level.select(F.col("a").alias("node")).union(level.select("b")).distinct().withColumn("community", F.col("node")))
+    while total:
+        both = cut(level.where("a <> b").select("a", "b", "w").union(level.where("a <> b").select("b", "a", "w")))
+        degree = level.select(F.col("a").alias("v"), "w").union(level.select("b", "w")).groupBy("v").agg(F.sum("w").alias("k"))
+        of = cut(degree.withColumn("c", F.col("v")))
+        best, idle, turn, moved = _modularity(level, of, total, resolution), 0, 0, False
+        while idle < 2:
+            after = cut(_moved(both, of, total, resolution, turn))
+            now = _modularity(level, after, total, resolution)
+            turn += 1
+            if now > best + GAIN:
+                of, best, idle, moved = after, now, 0, True
+            else:
+                idle += 1
         if not moved:
-            return member
-        number: dict[int, int] = {}
-        for v in range(size):
-            number.setdefault(of[v], len(number))
-        member = [number[of[m]] for m in member]
-        after: dict[tuple[int, int], float] = {}
-        for (a, b), w in links.items():
-            x, y = number[of[a]], number[of[b]]
-            key = (min(x, y), max(x, y))
-            after[key] = after.get(key, 0.0) + w
-        links = after
+            break
+        names = of.groupBy("c").agg(F.min("v").alias("name"))
+        to = cut(of.join(names, "c").select(F.col("v").alias("community"), "name"))
+        member = cut(member.join(to, "community").select("node", F.col("name").alias("community")))
+        x, y = to.select(F.col("community").alias("a"), F.col("name").alias("x")), to.select(F.col("community").alias("b"), F.col("name").alias("y"))
+        level = cut(level.join(x, "a").join(y, "b").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("w").alias("w")))
+    least = member.groupBy("community").agg(F.min("node").alias("name"))
+    return member.join(least, "community").select("node", F.col("name").alias("community"))
+
+
+def _modularity(level: DataFrame, of: DataFrame, total: float, resolution: float) -> float:
+    x, y = of.select(F.col("v").alias("a"), F.col("c").alias("x")), of.select(F.col("v").alias("b"), F.col("c").alias("y"))
+    inside = level.join(x, "a").join(y, "b").where("x = y").agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
+    spread = of.groupBy("c").agg(F.sum("k").alias("k")).agg(F.sum(F.pow(F.col("k") / (2 * total), F.lit(2.0)))).first()[0]
+    return inside / total - resolution * spread
+
+
+def _moved(both: DataFrame, of: DataFrame, total: float, resolution: float, turn: int) -> DataFrame:
+    """(v, k, c) after the half of the nodes whose turn it is has gone to its best neighbouring community."""
+    mine = of.where(F.pmod(F.xxhash64("v", F.lit(turn // 2)) + turn, F.lit(2)) == 0)
+    near = both.join(mine.select(F.col("v").alias("a")), "a", "left_semi").join(of.select(F.col("v").alias("b"), "c"), "b").groupBy(F.col("a").alias("v"), "c").agg(F.sum("w").alias("w"))
+    # the own community is always a choice, be there a link into it or not
+    choices = near.union(mine.select("v", "c", F.lit(0.0))).groupBy("v", "c").agg(F.sum("w").alias("w"))
+    mass = of.groupBy("c").agg(F.sum("k").alias("mass"))
+    j = choices.join(mass, "c").join(mine.select("v", "k", F.col("c").alias("own")), "v")
+    stays = F.col("c") == F.col("own")
+    worth = F.col("w") - resolution * (F.col("mass") - F.when(stays, F.col("k")).otherwise(0.0)) * F.col("k") / (2 * total)
+    pick = j.groupBy("v").agg(F.min(F.struct((-worth).alias("u"), "c")).alias("m"), F.max(F.when(stays, worth)).alias("own_worth"))
+    go = pick.where(-F.col("m.u") > F.col("own_worth") + GAIN).select("v", F.col("m.c").alias("to"))
+    return of.join(go, "v", "left").select("v", "k", F.coalesce("to", "c").alias("c"))

@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from prism.functions.text import suffixes
 
 # Tags and attributes the language knows.
-TAGS = frozenset("function method class interface enum type variable constant field module constructor property component namespace trait struct import call".split())
+TAGS = frozenset("function method class interface enum type variable constant field module constructor property component namespace trait struct import call arrow lambda closure".split())
 ATTRIBUTES = frozenset("name path kind signature exported doc params line endLine callable isMethod alias hasDoc parent".split())
-CALLABLE_TAGS = ("function", "method", "constructor")
+CALLABLE_TAGS = ("function", "method", "arrow", "lambda", "closure", "constructor")
 
 
 class PathQueryError(ValueError):
@@ -29,7 +29,7 @@ class PathQueryError(ValueError):
 
 @dataclass
 class Test:
-    op: str  # = ^= $= ~= =~ exists and or not
+    op: str  # = ^= $= ~= contains exists and or not
     name: str = ""
     value: str = ""
     parts: list["Test"] = field(default_factory=list)
@@ -42,22 +42,29 @@ class Step:
     tests: list[Test]
 
 
-_TOKEN = re.compile(r"\s*(?:(//|/|>)|(\[)|(\])|(\()|(\))|(and\b|or\b|not\b|!)|(contains\b)|@([A-Za-z_][\w-]*)|(\^=|\$=|~=|=~|=)|\"((?:[^\"\\]|\\.)*)\"|'((?:[^'\\]|\\.)*)'|(,)|([A-Za-z_*][\w-]*))")
-_KINDS = ("step", "[", "]", "(", ")", "word", "contains", "attr", "op", "text", "text", ",", "tag")
+_TOKEN = re.compile(r"\s*(?:(//|/|>)|(\[)|(\])|(\()|(\))|((?:and|or|not)(?=[\s(!@\[\])]|$)|!)|(contains\b)|@([A-Za-z_][\w-]*)|(\^=|\$=|~=|=~|=)|(,)|([A-Za-z_*][\w-]*))")
+_KINDS = ("step", "[", "]", "(", ")", "word", "contains", "attr", "op", ",", "tag")
+#: A value: quoted either way, or bare. In quotes a backslash is an escape only before a backslash or a quote.
+_VALUE = re.compile(r"""\s*(?:"((?:[^"\\]|\\.)*)"|'((?:[^'\\]|\\.)*)'|([^\s\])"',=^$~][^\s\])"',]*))""", re.S)
+_ESCAPED = re.compile(r"""\\([\\"'])""")
 
 
-def parse(query: str) -> list[Step]:
-    """The steps of a path query; errors tell the place."""
-    items, at = [], 0
-    while at < len(query.rstrip()):
-        m = _TOKEN.match(query, at)
+def _tokens(query: str) -> list[tuple[str, str, int]]:
+    items, at, stop = [], 0, len(query.rstrip())
+    while at < stop:
+        valued = bool(items) and items[-1][0] in ("op", ",")
+        m = (_VALUE if valued else _TOKEN).match(query, at)
         if not m:
-            raise PathQueryError(f"unexpected {query[at]!r}", at)
+            raise PathQueryError(f"{'value expected' if valued else f'unexpected {query[at]!r}'}", at)
         i = m.lastindex
-        value = m[i]
-        items.append((_KINDS[i - 1], re.sub(r"\\(.)", r"\1", value) if _KINDS[i - 1] == "text" else value, m.start(i)))
+        items.append(("text", _ESCAPED.sub(r"\1", m[i]) if i < 3 else m[i], m.start(i)) if valued else (_KINDS[i - 1], m[i], m.start(i)))
         at = m.end()
-    items.append(("end", "", len(query)))
+    return [*items, ("end", "", len(query))]
+
+
+def parse(query: str) -> list[Step]:
+    """The steps of a path query; errors tell the place."""
+    items = _tokens(query)
     pos = 0
 
     def take(kind: str) -> str:
@@ -98,12 +105,14 @@ def parse(query: str) -> list[Step]:
             take("(")
             name = take("attr")
             take(",")
-            t = Test("~=", name, take("text"))
+            t = Test("contains", name, take("text"))
             take(")")
         elif k == "attr":
             t = Test("exists", v)
             if items[pos][0] == "op":
-                t = Test(take("op"), v, take("text"))
+                t = Test(take("op").replace("=~", "~="), v, take("text"))
+                if t.op == "~=":
+                    _check_regex(t.value, items[pos - 1][2])
         else:
             raise PathQueryError(f"test expected, {v or k} found", o)
         if t.name not in ATTRIBUTES:
@@ -114,6 +123,8 @@ def parse(query: str) -> list[Step]:
     while items[pos][0] != "end":
         relation = "descendant"
         if items[pos][0] == "step":
+            if not steps and items[pos][1] != "//":
+                raise PathQueryError("// or a tag expected", items[pos][2])
             relation = "descendant" if items[pos][1] == "//" else "child"
             pos += 1
         elif steps:
@@ -136,6 +147,13 @@ def parse(query: str) -> list[Step]:
     return steps
 
 
+def _check_regex(pattern: str, at: int) -> None:
+    try:
+        re.compile(pattern)
+    except re.error as e:
+        raise PathQueryError(f"not a regular expression: {e}", at) from e
+
+
 def _value(name: str) -> Column:
     own = F.try_element_at("attrs", F.lit(name))
     return F.coalesce(own, F.col("path")) if name == "path" else F.coalesce(own, F.col("name")) if name == "name" else own
@@ -150,7 +168,7 @@ def condition(t: Test) -> Column:
         return out
     if t.op == "not":
         return ~condition(t.parts[0])
-    tests = {"=": lambda v: v == t.value, "^=": lambda v: v.startswith(t.value), "$=": lambda v: v.endswith(t.value), "~=": lambda v: v.contains(t.value), "=~": lambda v: v.rlike(t.value)}
+    tests = {"=": lambda v: v == t.value, "^=": lambda v: v.startswith(t.value), "$=": lambda v: v.endswith(t.value), "contains": lambda v: v.contains(t.value), "~=": lambda v: v.rlike(t.value)}
     v = _value(t.name)
     if t.op == "exists":
         return v.isNotNull()
@@ -177,7 +195,7 @@ def select(nodes: DataFrame, query: str) -> DataFrame:
     for step in parse(query):
         now = nodes.where(_matches(step))
         if found is None:
-            found = now.where("parent_pre is null") if step.relation == "child" else now
+            found = now
             continue
         up = found.select(F.col("path").alias("_p"), F.col("pre").alias("_pre"), F.col("end_pre").alias("_end"))
         on = now["path"] == up["_p"]
@@ -197,8 +215,11 @@ def nodes(symbols: DataFrame) -> DataFrame:
     s = s.withColumn("attrs", F.map_from_entries(pairs))
     ups = s.select(F.col("path").alias("_p"), F.col("id").alias("_i"), F.col("pre").alias("parent_pre"))
     s = s.join(ups, (s["path"] == ups["_p"]) & (s["parent_id"] == ups["_i"]), "left").drop("_p", "_i")
-    # within a file, lines begin in preorder: the last descendant is the last row that begins at or before the end line
-    last = Window.partitionBy("path").orderBy("start_line").rangeBetween(0, Window.unboundedFollowing)
-    ends = s.select("path", "pre", F.filter(F.collect_list(F.struct("start_line", "pre")).over(last), lambda x: x["start_line"] <= F.col("end_line")).alias("x"))
-    ends = ends.select("path", "pre", F.greatest("pre", F.array_max(F.transform("x", lambda v: v["pre"]))).alias("end_pre"))
-    return s.join(ends, ["path", "pre"]).select("path", "pre", "end_pre", "parent_pre", "tag", "name", "attrs", F.col("tag").isin(*CALLABLE_TAGS).alias("callable"), (F.col("tag") == "method").alias("is_method"), "start_line", "end_line", "id")
+    # within a file, lines begin in preorder: the last descendant is the last row that begins at or before the end line,
+    # a running maximum over beginnings and ends in one sort of the file
+    row = F.struct("pre", "parent_pre", "tag", "name", "attrs", "start_line", "end_line", "id").alias("r")
+    begins = s.select("path", F.col("start_line").alias("line"), F.lit(0).alias("o"), F.col("pre").alias("p"), F.lit(None).cast(s.select(row).schema["r"].dataType).alias("r"))
+    ends = s.select("path", F.col("end_line").alias("line"), F.lit(1).alias("o"), F.lit(None).cast("int").alias("p"), row)
+    last = F.max("p").over(Window.partitionBy("path").orderBy("line", "o").rowsBetween(Window.unboundedPreceding, 0))
+    e = begins.unionByName(ends).withColumn("last", last).where("o = 1").select("path", F.greatest("r.pre", "last").alias("end_pre"), "r.*")
+    return e.select("path", "pre", "end_pre", "parent_pre", "tag", "name", "attrs", F.col("tag").isin(*CALLABLE_TAGS).alias("callable"), (F.col("tag") == "method").alias("is_method"), "start_line", "end_line", "id")

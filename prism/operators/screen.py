@@ -13,6 +13,8 @@ EXCERPT, Z_SCALE = 120, 0.6745
 # Unicode-aware, so it is written as ASCII look-around.
 _INVISIBLE = r"[\x{AD}\x{34F}\x{61C}\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{2069}\x{FEFF}]"
 _L, _R = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+# a boundary after a character that may be a hyphen: a word begins or ends here
+_B = rf"(?:(?<=[A-Za-z0-9_]){_R}|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 _OVERRIDE = (
     rf"(?i){_L}(?:ignore|disregard|forget|override|bypass|discard){_R}[^.\n]{{0,40}}{_L}(?:previous|prior|above|earlier|preceding|all|any|every|your|the|these|those){_R}"
     rf"[^.\n]{{0,30}}{_L}(?:instructions?|prompts?|rules?|guidelines?|directions?|constraints|context|programming){_R}"
@@ -31,8 +33,8 @@ _HIDDEN = (
 _IMAGE = r"(?i)!\[[^\]]*\]\((?:https?:)?//[^)\s]+\)|<img(?![A-Za-z0-9_])[^>]*(?<![A-Za-z0-9_])src\s*=\s*[\"'](?:https?:)?//[^\"']+[\"'][^>]*>"
 _BLOB = rf"[A-Za-z0-9+/]{{200,}}={{0,2}}|{_L}[0-9a-fA-F]{{200,}}{_R}"
 _SECRET = (
-    rf"(?i)-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?(?:-----END [A-Z ]*PRIVATE KEY-----|$)|{_L}AKIA[0-9A-Z]{{16}}{_R}|{_L}gh[pousr]_[A-Za-z0-9]{{36,}}{_R}|{_L}xox[baprs]-[A-Za-z0-9-]{{10,}}{_R}"
-    rf"|{_L}sk-[A-Za-z0-9_-]{{20,}}{_R}|{_L}AIza[0-9A-Za-z_-]{{35}}{_R}|{_L}eyJ[A-Za-z0-9_-]{{10,}}\.[A-Za-z0-9_-]{{10,}}\.[A-Za-z0-9_-]{{10,}}{_R}"
+    rf"(?i)-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?(?:-----END [A-Z ]*PRIVATE KEY-----|$)|{_L}AKIA[0-9A-Z]{{16}}{_R}|{_L}gh[pousr]_[A-Za-z0-9]{{36,}}{_R}|{_L}xox[baprs]-[A-Za-z0-9-]{{10,}}{_B}"
+    rf"|{_L}sk-[A-Za-z0-9_-]{{20,}}{_B}|{_L}AIza[0-9A-Za-z_-]{{35}}{_B}|{_L}eyJ[A-Za-z0-9_-]{{10,}}\.[A-Za-z0-9_-]{{10,}}\.[A-Za-z0-9_-]{{10,}}{_B}"
     rf"|{_L}(?:api[_-]?key|secret|token|passw(?:or)?d){_R}\s*[:=]\s*[\"'][^\"'\s]{{16,}}[\"']"
 )
 
@@ -50,6 +52,8 @@ class Rule:
 
 
 S, Q, G, O = "sanitize", "quarantine", "flag", "off"  # noqa: E741
+# The rules with what each profile does about them, the flood factor and the outlier threshold of each
+# profile, and the least size of a batch.
 RULES = (
     Rule("invisible-characters", "obfuscation", "medium", _INVISIBLE, "", S, S, S),
     Rule("unicode-tag-characters", "obfuscation", "high", r"[\x{E0000}-\x{E007F}]", None, Q, Q, Q),
@@ -64,7 +68,6 @@ RULES = (
     Rule("encoded-blob", "obfuscation", "medium", _BLOB, "[encoded data removed]", G, S, Q),
     Rule("secret-material", "secrets", "high", _SECRET, "[redacted]", S, S, S),
 )
-#: Flood factor and outlier threshold of each profile.
 FLOOD = {"light": 50, "standard": 20, "strict": 10}
 OUTLIER = {"light": 4.0, "standard": 3.5, "strict": 3.0}
 MIN_CARDS = 8
@@ -129,16 +132,32 @@ def first_of_same(cards: DataFrame, text: str = "text") -> DataFrame:
     return cards.withColumn("_n", F.row_number().over(Window.partitionBy("path", F.sha2(same, 256)).orderBy("id"))).where("_n = 1").drop("_n")
 
 
-def flooding(cards: DataFrame, profile: str = "standard") -> DataFrame:
+def flooding(cards: DataFrame, profile: str = "standard", typical: DataFrame | None = None) -> DataFrame:
     """(path, cards, allowed) of the sources with more cards than factor x max(1, median of cards a source)."""
     per = cards.groupBy("path").agg(F.count("*").alias("cards"))
-    middle = per.agg(F.coalesce(F.median("cards"), F.lit(0.0)).alias("m"))
-    allowed = FLOOD[profile] * F.greatest(F.lit(1.0), F.col("m"))
-    return per.crossJoin(F.broadcast(middle)).withColumn("allowed", allowed).where(F.col("cards") > F.col("allowed")).select("path", "cards", "allowed")
+    return per.crossJoin(F.broadcast(_allowance(per, profile, typical))).where(F.col("cards") > F.col("allowed")).select("path", "cards", "allowed")
+
+
+def _allowance(per: DataFrame, profile: str, typical: DataFrame | None) -> DataFrame:
+    """One row: how many cards a source may have. typical: one row (m), the median known before; else that of ``per``."""
+    middle = per.agg(F.coalesce(F.median("cards"), F.lit(0.0)).alias("m")) if typical is None else typical
+    return middle.select((FLOOD[profile] * F.greatest(F.lit(1.0), F.col("m"))).alias("allowed"))
+
+
+def flood_cut(cards: DataFrame, order: list[str], profile: str = "standard", typical: DataFrame | None = None) -> DataFrame:
+    """``cards`` of the flooding sources with their running count ``n``, ``excess`` and ``finding``: cards are let through
+    in order up to the allowance, those beyond are in excess, and the finding stands at the first of them. Sources within
+    their allowance come back whole with ``excess`` false.
+
+    A source is numbered by one sort; nothing is gathered."""
+    allowed = _allowance(cards.groupBy("path").agg(F.count("*").alias("cards")), profile, typical)
+    n = F.row_number().over(Window.partitionBy("path").orderBy(*order))
+    c = cards.withColumn("n", n).crossJoin(F.broadcast(allowed))
+    return c.withColumn("excess", F.col("n") > F.col("allowed")).withColumn("finding", F.col("n") == F.floor("allowed") + 1).drop("allowed")
 
 
 def outliers(vectors: DataFrame, batch: list[str], profile: str = "standard") -> DataFrame:
-    """(batch columns, id, z): rows whose similarity to their batch's centroid lies far below, by modified z-score.
+    """(batch columns, id, z): rows that lie unusually close to their batch's centroid, by modified z-score of the similarity.
 
     Batches of fewer than 8 rows, and those whose median deviation is 0, have none. The centroid is a sum by place.
     """
@@ -150,4 +169,4 @@ def outliers(vectors: DataFrame, batch: list[str], profile: str = "standard") ->
     m = s.groupBy(*batch).agg(F.median("s").alias("m"), F.count("*").alias("n")).where(F.col("n") >= MIN_CARDS)
     d = s.join(m, batch).withColumn("d", F.abs(F.col("s") - F.col("m")))
     mad = d.groupBy(*batch).agg(F.median("d").alias("mad")).where("mad > 0")
-    return d.join(mad, batch).withColumn("z", Z_SCALE * (F.col("s") - F.col("m")) / F.col("mad")).where(F.col("z") < -OUTLIER[profile]).select(*batch, "id", "z")
+    return d.join(mad, batch).withColumn("z", Z_SCALE * (F.col("s") - F.col("m")) / F.col("mad")).where(F.col("z") > OUTLIER[profile]).select(*batch, "id", "z")

@@ -32,7 +32,22 @@ def j2_descendant_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def path_negated_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _found(spark, sf_dir, '//fn[not(@exported="1")][@signature ~= "string"]')
+    return _found(spark, sf_dir, '//fn[not(@exported="1")][contains(@signature, "string")]')
+
+
+def path_regex_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pattern with an escape, and one that as a substring would find nothing."""
+    return _found(spark, sf_dir, r'//*[@name~="_\d+$" or @signature=~"^[a-z]+_.*:str$"]')
+
+
+def path_contains_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A substring with a dot in it, bare and quoted values."""
+    return _found(spark, sf_dir, "//class/*[contains(@name, '.r')][@kind=method]")
+
+
+def path_in_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The context attribute: the path of the file answers for a node that has none."""
+    return _found(spark, sf_dir, '//class[@path$=".py"][@path]/method[not(@doc)]')
 
 
 def structural_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +119,7 @@ def declaration_above(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.withColumn("last", F.max("d").over(w)).where("o = 1").select("path", "line", F.coalesce("last.id", "first").alias("id"))
 
 
-QUERIES = {f.__name__: f for f in (j1_child_step, j2_descendant_step, structural_nodes, identifier_words, dotted_suffixes, symbol_card_heads, nth_of_name, signature_clones, overload_diff, innermost_symbol, declaration_above, path_negated_test)}
+QUERIES = {f.__name__: f for f in (j1_child_step, j2_descendant_step, structural_nodes, identifier_words, dotted_suffixes, symbol_card_heads, nth_of_name, signature_clones, overload_diff, innermost_symbol, declaration_above, path_negated_test, path_regex_test, path_contains_test, path_in_file)}
 
 _WORDS = "array_to_string(list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '(::|->|[_\\-.\\\\#/]+)', ' ', 'g'), '[$@%&?!]+', ' ', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '([a-z\\d])([A-Z])', '\\1 \\2', 'g')), '\\s+'), lambda w: w <> ''), ' ')"
 
@@ -115,6 +130,9 @@ ORACLE = {
  and (name = 'run' or name like '%.run' or exists (select 1 from (select unnest(range(1, len(string_split(m.name, '.')) + 1)) as i) where array_to_string(list_slice(string_split(m.name, '.'), i, 99), '.') like 'read%'))
  and exists (select 1 from nodes c where c.path = m.path and m.pre > c.pre and m.pre <= c.end_pre and c.tag = 'class')""",
     "path_negated_test": _NODES + f"select {_OUT} from nodes where tag in ('function', 'method', 'constructor') and coalesce(exported, 0) <> 1 and contains(signature, 'string')",
+    "path_regex_test": _NODES + f"select {_OUT} from nodes where regexp_matches(name, '_\\d+$') or regexp_matches(signature, '^[a-z]+_.*:str$')",
+    "path_contains_test": _NODES + f"select {_OUT} from nodes m where tag = 'method' and exists (select 1 from nodes c where c.path = m.path and c.pre = m.parent_pre and c.tag = 'class') and (contains(name, '.r') or exists (select 1 from (select unnest(range(1, len(string_split(m.name, '.')) + 1)) as i) where contains(array_to_string(list_slice(string_split(m.name, '.'), i, 99), '.'), '.r')))",
+    "path_in_file": _NODES + f"select {_OUT} from nodes m where tag = 'method' and doc is null and path like '%.py' and exists (select 1 from nodes c where c.path = m.path and c.pre = m.parent_pre and c.tag = 'class')",
     "identifier_words": f"select distinct base_name, {_WORDS.format('base_name')} as words from symbols where base_name is not null",
     "dotted_suffixes": "select name, array_to_string(list_slice(string_split(name, '.'), i, 99), '.') as suffix from (select name, unnest(range(1, len(string_split(name, '.')) + 1)) as i from (select distinct name from symbols where name is not null))",
     "symbol_card_heads": f"""select id, concat_ws(' — ', lower(trim(kind)) || ' ' || name, {_WORDS.format("base_name")}, case when parent_id is not null then 'in ' || {_WORDS.format("regexp_extract(parent_id, '([^.#]+)$', 1)")} end,
