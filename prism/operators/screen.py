@@ -156,7 +156,7 @@ def flood_cut(cards: DataFrame, order: list[str], profile: str = "standard", typ
     return c.withColumn("excess", F.col("n") > F.col("allowed")).withColumn("finding", F.col("n") == F.floor("allowed") + 1).drop("allowed")
 
 
-def outliers(vectors: DataFrame, batch: list[str], profile: str = "standard") -> DataFrame:
+def outliers(vectors: DataFrame, batch: list[str], profile: str = "standard", threshold: float | None = None) -> DataFrame:
     """(batch columns, id, z): rows that lie unusually close to their batch's centroid, by modified z-score of the similarity.
 
     Batches of fewer than 8 rows, and those whose median deviation is 0, have none. The centroid is a sum by place.
@@ -169,4 +169,4 @@ def outliers(vectors: DataFrame, batch: list[str], profile: str = "standard") ->
     m = s.groupBy(*batch).agg(F.median("s").alias("m"), F.count("*").alias("n")).where(F.col("n") >= MIN_CARDS)
     d = s.join(m, batch).withColumn("d", F.abs(F.col("s") - F.col("m")))
     mad = d.groupBy(*batch).agg(F.median("d").alias("mad")).where("mad > 0")
-    return d.join(mad, batch).withColumn("z", Z_SCALE * (F.col("s") - F.col("m")) / F.col("mad")).where(F.col("z") > OUTLIER[profile]).select(*batch, "id", "z")
+    return d.join(mad, batch).withColumn("z", Z_SCALE * (F.col("s") - F.col("m")) / F.col("mad")).where(F.col("z") > (OUTLIER[profile] if threshold is None else threshold)).select(*batch, "id", "z")

@@ -41,7 +41,7 @@ def i1_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def s6_minified(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "file_texts").where("content is not null").select("path", "content").distinct()
-    return t.select("path", maintenance.minified(F.col("path"), F.col("content"), F.length("content")).alias("minified"))
+    return t.select("path", maintenance.minified(F.col("path"), F.col("content"), F.octet_length("content")).alias("minified"))
 
 
 def a26_main_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,15 +86,28 @@ def g4_first_of_same(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g5_flooding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("repo is not null").select(F.col("repo").alias("path"), "doc_id")
+    """Names that stand for more symbols than ten times the usual."""
+    d = table(spark, sf_dir, "symbols").where("base_name is not null").select(F.col("base_name").alias("path"), "id").distinct()
     return screen.flooding(d, "strict")
 
 
+def w6_flood_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The symbols of a flooding name that are let through, those in excess, and where the finding stands."""
+    d = table(spark, sf_dir, "symbols").where("base_name is not null").select(F.col("base_name").alias("path"), "id").distinct()
+    return screen.flood_cut(d, ["id"], "strict").groupBy("path").agg(F.count("*").alias("cards"), F.count_if("excess").alias("excess"), F.max(F.when(F.col("finding"), F.col("id"))).alias("finding"))
+
+
 def g6_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector"))
     return screen.outliers(e, ["label"], "strict").select("label", "id", F.round("z", 4).alias("z"))
 
 
+def g6_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows near the centre of their batch under a threshold low enough to have some: outliers by the size of z."""
+    v = table(spark, sf_dir, "card_vectors").where("vector is not null and size(vector) = dims and forall(vector, x -> x is not null and not isnan(x) and abs(x) < double('Infinity'))").select("id", "model", "vector", "dims").distinct()
+    return screen.outliers(v, ["model", "dims"], threshold=1.0).select("model", "id", F.round("z", 4).alias("z"))
+
+
 def w8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a user within two minutes of the one before, and days with events."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
@@ -120,7 +133,41 @@ def top_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.groupBy("n_name", "c_mktsegment").agg(F.sum("r").cast("decimal(24,4)").alias("revenue"))
 
 
-QUERIES = {f.__name__: f for f in (a1_index_stats, a2_channel_stats, a3_median_cards, i1_decisions, s6_minified, a26_main_language, a27_decayed_use, a29_movements, a32_buckets, a20_rollup, g1_screen_report, g2_verdicts, g4_first_of_same, g5_flooding, g6_outliers, w8_repeats, windowed_events, session_events, top_customers)}
+QUERIES = {f.__name__: f for f in (a1_index_stats, a2_channel_stats, a3_median_cards, i1_decisions, s6_minified, a26_main_language, a27_decayed_use, a29_movements, a32_buckets, a20_rollup, g1_screen_report, g2_verdicts, g4_first_of_same, g5_flooding, w6_flood_cut, g6_outliers, g6_profiles, w8_repeats, windowed_events, session_events, top_customers)}
+
+# RE2 has no look-around; \\b is ASCII there, which is what the look-around of the rules stands for
+_RE2 = {r.id: r.pattern.replace(screen._B, r"\b").replace(screen._L, r"\b").replace(screen._R, r"\b").replace("$)", r"\z)") if "(?im)" not in r.pattern else r.pattern.replace(screen._B, r"\b").replace(screen._L, r"\b").replace(screen._R, r"\b") for r in screen.RULES}
+_RE2["mixed-script-words"] = r"\p{Latin}[\p{L}\p{M}]*[\p{Cyrillic}\p{Greek}]|[\p{Cyrillic}\p{Greek}][\p{L}\p{M}]*\p{Latin}"
+
+
+def _fires(rule: str, text: str) -> str:
+    p = _RE2[rule].replace("'", "''")
+    if rule == "imperative-density":
+        n = f"len(regexp_extract_all({text}, '{p}'))"
+        return f"({n} >= 3 and {n} * 40 >= len(regexp_extract_all({text}, '\\S+')))"
+    return f"regexp_matches({text}, '{p}')"
+
+
+def _verdict_sql(source: str, profile: str) -> str:
+    """Text by text: what fires, the verdict, the clean text scanned again."""
+    able = [r for r in screen.RULES if r.replacement is not None and getattr(r, profile) == screen.S]
+    clean = "text"
+    for r in able:
+        p = _RE2[r.id].replace("'", "''")
+        clean = f"case when {_fires(r.id, 'text')} then regexp_replace({clean}, '{p}', '{r.replacement}', 'g') else {clean} end"
+    any_of = lambda action, text: " or ".join([_fires(r.id, text) for r in screen.RULES if getattr(r, profile) in action] or ["false"])
+    return f"""with d as ({source}), c as (select *, {any_of((screen.Q,), "text")} as block, {any_of((screen.S,), "text")} as change, {clean} as cleaned from d)
+select case when block then 'quarantine' when not change then 'pass' when {any_of((screen.S, screen.Q), "cleaned")} or trim(cleaned) = '' then 'quarantine' else 'sanitize' end as verdict, count(*) as n from c group by 1"""
+
+
+_MIN = """with t as (select distinct path, content from file_texts where content is not null), s as (select path, content, strlen(content) as size, replace(lower(path), chr(92), '/') as p, content[1:50000] as x from t),
+l as (select *, list_transform(string_split(replace(x, chr(13), ''), chr(10)), lambda v: length(v)) as ls, length(x) / len(string_split(replace(x, chr(13), ''), chr(10))) as average,
+ regexp_matches(p, '/public/js/|/public/dist/|/public/assets/|/dist/js/|/dist/assets/|/build/static/|/assets/js/') or contains(x, 'webpackChunk') or contains(x, '__webpack_require__') or contains(x, '/*! For license information please see') or contains(x, 'parcelRequire') or contains(x, 'System.register(') as asset from s)
+select path, case when regexp_matches(p, '\\.min\\.(js|mjs|cjs|css)$') and size > 512 then true when length(content) < 1536 then false when list_max(ls) > 1000 and asset then true when list_max(ls) > 10000 then true when average > 500 and len(ls) <= 15 then true when list_max(ls) > 2000 and average > 200 then true else false end as minified from l"""
+_Z = """u as (select {0}, id, list_transform(vector, lambda x: x::double / sqrt(list_dot_product(vector::double[], vector::double[]))) as u from v where list_dot_product(vector::double[], vector::double[]) > 0),
+p as (select {0}, i, sum(x) as x from (select {0}, unnest(u) as x, generate_subscripts(u, 1) as i from u) group by all), c as (select {0}, list(x order by i) as c from p group by all),
+s as (select {0}, id, list_dot_product(u, c) / sqrt(list_dot_product(c, c)) as s from u join c using ({0})), m as (select {0}, median(s) as m, count(*) as n from s group by all having count(*) >= 8),
+d as (select {0}, mad, m from (select {0}, any_value(m) as m, median(abs(s - m)) as mad from s join m using ({0}) group by all) where mad > 0)"""
 
 _CUR = "(select * from (select *, row_number() over (partition by path order by seen_at desc, loaded_at desc) as rn from files where content_hash is not null {0}) where rn = 1)"
 _DIG = "regexp_replace(lower(trim({0}.content_hash)), '^[a-z][a-z0-9_-]*[:=]', '')"
@@ -138,8 +185,14 @@ select coalesce(a.path, b.path) as path, case when a.path is null then 'remove'
 select event_type, day, n, round(mean, 6) as mean, case when mean is null then 'new' when n - mean > abs(mean) * 0.25 then 'up' when n - mean < -abs(mean) * 0.25 then 'down' else 'same' end as moved from m""",
     "a32_buckets": "select case when value is null then null when value < 10 then '<10' when value < 50 then '10-50' when value < 200 then '50-200' when value < 1000 then '200-1000' when value < 5000 then '1000-5000' when value < 30000 then '5000-30000' when value < 120000 then '30000-120000' else '120000+' end as bucket, count(*) as n from events group by 1",
     "a20_rollup": "select kind, count(*) as n, round(avg(has), 6) as share from (select distinct id, lower(trim(kind)) as kind, (doc is not null)::int as has from symbols) group by rollup(kind)",
+    "s6_minified": _MIN,
+    "g1_screen_report": " union all ".join(f"select '{r.id}' as rule, count(*) filter (where '{r.standard}' = 'flag') as flagged, count(*) filter (where '{r.standard}' = 'sanitize') as sanitised, count(*) filter (where '{r.standard}' = 'quarantine') as quarantined from (select distinct id, path, doc as text from symbols where doc is not null) where {_fires(r.id, 'text')} having count(*) > 0" for r in screen.RULES),
+    "g2_verdicts": _verdict_sql("select doc_id, coalesce(text, '') as text from documents", "strict"),
+    "g6_outliers": "with v as (select label, vec_id as id, embedding as vector from embeddings), " + _Z.format("label") + " select label, id, round(0.6745 * (s - m) / mad, 4) as z from s join d using (label) where 0.6745 * (s - m) / mad > 3.0",
+    "g6_profiles": "with v as (select distinct id, model, vector, dims from card_vectors where vector is not null and len(vector) = dims and len(list_filter(vector, lambda x: x is null or not isfinite(x))) = 0), " + _Z.format("model, dims") + " select model, id, round(0.6745 * (s - m) / mad, 4) as z from s join d using (model, dims) where 0.6745 * (s - m) / mad > 1.0",
     "g4_first_of_same": "select id from (select id, row_number() over (partition by path, lower(regexp_replace(trim(doc), '\\s+', ' ', 'g')) order by id) as n from (select distinct id, path, doc from symbols where doc is not null)) where n = 1",
-    "g5_flooding": "with p as (select repo as path, count(*) as cards from documents where repo is not null group by 1) select path, cards, (10 * greatest(1.0, (select median(cards) from p)))::double as allowed from p where cards > 10 * greatest(1.0, (select median(cards) from p))",
+    "g5_flooding": "with p as (select base_name as path, count(distinct id) as cards from symbols where base_name is not null and id is not null group by 1) select path, cards, (10 * greatest(1.0, (select median(cards) from p)))::double as allowed from p where cards > 10 * greatest(1.0, (select median(cards) from p))",
+    "w6_flood_cut": "with c as (select path, id, row_number() over (partition by path order by id) as n from (select distinct base_name as path, id from symbols where base_name is not null)), a as (select 10 * greatest(1.0, median(k)) as allowed from (select count(*) as k from c group by path)) select path, count(*) as cards, count(*) filter (where n > allowed) as excess, max(case when n = floor(allowed) + 1 then id end) as finding from c, a group by 1",
     "w8_repeats": "select user_id, count(*) filter (where gap <= 120000) as repeats, count(distinct ts::date) as days from (select user_id, ts, epoch_ms(ts) - epoch_ms(lag(ts) over (partition by user_id order by ts, event_id)) as gap from events) group by 1",
     "windowed_events": "select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2",
     "session_events": """with g as (select user_id, ts, case when ts >= lag(ts) over (partition by user_id order by ts) + interval 30 minute or lag(ts) over (partition by user_id order by ts) is null then 1 else 0 end as b from events),
