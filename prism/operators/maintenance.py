@@ -53,10 +53,20 @@ def minified(path: Column, content: Column, size: Column) -> Column:
 
 
 def clone_groups(rows: DataFrame, key: str, size: str, order: list[str]) -> DataFrame:
-    """(key, copies, size, members): rows that share a key, at least two; the size is the first member's."""
-    m = F.array_sort(F.collect_list(F.struct(*order, size)))
-    g = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("copies"), m.alias("m")).where("copies > 1")
-    return g.select(key, "copies", F.col("m")[0][size].alias("size"), F.transform("m", lambda x: x[order[0]]).alias("members"))
+    """(key, copies, size, first): rows that share a key, at least two; size and first (by the first column of ``order``) are
+    those of the first member. Members are rows, not a list: see clone_members. In their order: clone_order."""
+    at = F.struct(*order, size)
+    g = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("copies"), F.min(at).alias("m")).where("copies > 1")
+    return g.select(key, "copies", F.col(f"m.{size}").alias("size"), F.col(f"m.{order[0]}").alias("first"))
+
+
+def clone_members(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """The rows that are members of a group."""
+    return rows.join(groups.select(key), key, "left_semi")
+
+
+def clone_order(key: str) -> list[Column]:
+    return [F.desc("size"), F.desc("copies"), F.asc(key)]
 
 
 def difference(before: DataFrame, after: DataFrame, key: list[str], order: list[str], value: list[str]) -> DataFrame:

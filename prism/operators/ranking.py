@@ -30,40 +30,45 @@ def cosine_search(vectors: DataFrame, query: list[float], k: int, keep: Column |
     return rows.select("id", "score").orderBy(F.desc("score"), "id").limit(k)
 
 
+#: Vectors of a packed block.
+BLOCK = 4096
+
+
+def packed(vectors: DataFrame, id_type: str) -> DataFrame:
+    """(ids, data): vectors in blocks of at most BLOCK, one matrix of doubles a row. Vectors stay in their partitions."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for at in range(0, len(f), BLOCK):
+                part = f.iloc[at : at + BLOCK]
+                yield pd.DataFrame({"ids": [part["id"].to_numpy()], "data": [np.stack(part["vector"]).astype(np.float64).tobytes()]})
+
+    return vectors.select("id", "vector").mapInPandas(run, f"ids array<{id_type}>, data binary")
+
+
 def search_many(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, score, rank) of the k most similar vectors for each of a stated set of queries.
+    """(query_id, id, score, rank) of the k most similar vectors for each of a stated set of queries, ties by id.
 
-    The queries are read in blocks and scored block by block against each partition; a partition keeps its k best a
-    query, so what is exchanged is queries x partitions x k rows, not vectors.
+    Both sides are packed into blocks, each block of queries meets each block of vectors, and of a meeting only the k best a
+    query go on (with what ties with the last). Nothing is collected: what is exchanged is queries x blocks x k rows. Vectors
+    must be of one length.
     """
-    sizes = queries.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
-    if not sizes["n"]:
-        return vectors.sparkSession.createDataFrame([], "query_id long, id long, score double, rank int")
-    blocks = max(1, -(-int(sizes["n"]) * int(sizes["d"]) // 4_000_000))
-    spark, parts = vectors.sparkSession, []
-    for b in range(blocks):
-        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
-        rows = own.orderBy("id").select("id", "vector").toPandas()
-        shared = spark.sparkContext.broadcast((rows["id"].to_numpy(), np.stack(rows["vector"]).astype(np.float64)))
-
-        def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, q = shared.value
-            for f in frames:
-                if not len(f):
-                    continue
-                s = q @ np.stack(f["vector"]).astype(np.float64).T
-                own = f["id"].to_numpy()
-                top = min(k, len(f))
-                edge = np.partition(s, len(f) - top, axis=1)[:, len(f) - top]
+    kind = vectors.schema["id"].dataType.simpleString()
+    q = packed(queries, kind).withColumnRenamed("ids", "qids").withColumnRenamed("data", "qdata")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for ids, data, qids, qdata in f[["ids", "data", "qids", "qdata"]].itertuples(index=False):
+                own, asked = np.asarray(ids), np.asarray(qids)
+                s = np.frombuffer(qdata).reshape(len(asked), -1) @ np.frombuffer(data).reshape(len(own), -1).T
+                top = min(k, len(own))
+                edge = np.partition(s, len(own) - top, axis=1)[:, len(own) - top]
                 r, c = np.nonzero(s >= edge[:, None])
-                yield pd.DataFrame({"query_id": ids[r], "id": own[c], "score": s[r, c]})
+                yield pd.DataFrame({"query_id": asked[r], "id": own[c], "score": s[r, c]})
 
-        parts.append(vectors.select("id", "vector").mapInPandas(run, "query_id long, id long, score double"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    met = packed(vectors, kind).crossJoin(q).mapInPandas(run, f"query_id {kind}, id {kind}, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def hub_means(vectors: DataFrame, neighbours: int = HUB_NEIGHBOURS) -> DataFrame:
@@ -94,18 +99,24 @@ def bm25(docs: DataFrame, query: str, text: str = "text", id_col: str = "id") ->
     return j.groupBy("id").agg(F.sum(s).alias("score"))
 
 
-def fuse(lanes: DataFrame, k: int = RRF_K) -> DataFrame:
-    """Weighted reciprocal rank fusion of (lane, lane_pos, weight, pos, key, score): (key, score, best_score, found_by).
+def fuse(lanes: DataFrame, k: int = RRF_K, by: tuple[str, ...] = ()) -> DataFrame:
+    """Weighted reciprocal rank fusion of (lane, lane_pos, weight, pos, key, score): (key, score, best_score, found_by). by: the
+    columns that name a query, where lanes of several are fused at once.
 
     Only the first place of a key in a lane counts and later copies do not advance the rank; weights of 0 or less are
     skipped; terms are added in lane order.
     """
-    first = lanes.where("weight > 0 and key is not null").groupBy("lane", "lane_pos", "weight", "key").agg(F.min(F.struct("pos", "score")).alias("m"))
-    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lane").orderBy("m.pos")))
+    first = lanes.where("weight > 0 and key is not null").groupBy(*by, "lane", "lane_pos", "weight", "key").agg(F.min(F.struct("pos", "score")).alias("m"))
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy(*by, "lane").orderBy("m.pos")))
     one = F.struct("lane_pos", "lane", "rank", "weight", F.col("m.score").alias("score"))
-    g = ranked.groupBy("key").agg(F.array_sort(F.collect_list(one)).alias("found_by"))
+    g = ranked.groupBy(*by, "key").agg(F.array_sort(F.collect_list(one)).alias("found_by"))
     total = F.aggregate("found_by", F.lit(0.0), lambda s, x: s + x["weight"] / (k + x["rank"]))
-    return g.select("key", total.alias("score"), F.array_max(F.transform("found_by", lambda x: x["score"])).alias("best_score"), F.transform("found_by", lambda x: x["lane"]).alias("found_by"))
+    return g.select(*by, "key", total.alias("score"), F.array_max(F.transform("found_by", lambda x: x["score"])).alias("best_score"), F.transform("found_by", lambda x: x["lane"]).alias("found_by"))
+
+
+def fused_order() -> list[Column]:
+    """The order of a fused list: score, best score with those that have none last, key."""
+    return [F.desc("score"), F.desc_nulls_last("best_score"), F.asc("key")]
 
 
 def score_trees(rows: DataFrame, features: list[str], trees: list[dict], base: float = 0.0) -> DataFrame:
@@ -130,11 +141,12 @@ def score_trees(rows: DataFrame, features: list[str], trees: list[dict], base: f
     return rows.withColumn("tree_score", run(*[F.col(f).cast("float") for f in features]))
 
 
-def rerank_head(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """``rows`` (rank, tree_score) with ``new_rank``: the first ``depth`` by tree score, ties by rank; the tail untouched."""
+def rerank_head(rows: DataFrame, depth: int = DEPTH, by: list[str] | None = None) -> DataFrame:
+    """``rows`` (rank, tree_score) with ``new_rank``: the first ``depth`` by tree score, ties by rank; the tail untouched.
+    by: the columns that name a query; without them all rows are one query's page."""
     head = F.when(F.col("rank") <= depth, 0).otherwise(1)
     best = F.when(F.col("rank") <= depth, -F.col("tree_score").cast("double")).otherwise(0.0)
-    return rows.withColumn("new_rank", F.row_number().over(Window.orderBy(head, best, "rank")))
+    return rows.withColumn("new_rank", F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(head, best, "rank")))
 
 
 def first_relevant(results: DataFrame, relevant: DataFrame) -> DataFrame:
@@ -151,7 +163,7 @@ def recall_and_mrr(ranks: DataFrame, k: int = 5) -> DataFrame:
     return ranks.agg(F.count("*").alias("queries"), F.avg(hit).alias("recall"), F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))).alias("mrr"), F.count_if(F.col("rank").isNull()).alias("misses"))
 
 
-def nearest_rank(p: float, c: Column) -> Column:
-    """An aggregate: the value at ceil(p n) of the sorted values, at least the first. Never interpolates."""
-    s = F.array_sort(F.collect_list(c))
-    return F.try_element_at(s, F.greatest(F.lit(1), F.least(F.size(s), F.ceil(p * F.size(s)).cast("int"))))
+def nearest_rank(p: float, c: str) -> Column:
+    """An aggregate: the value at ceil(p n) of the sorted values of column ``c``, at least the first. Never interpolates; what
+    is kept of a group is one count a distinct value."""
+    return F.expr(f"percentile_disc({float(p)}) within group (order by `{c}`)")

@@ -92,7 +92,7 @@ def e3_recall_and_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a22_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").groupBy("source").agg(*[ranking.nearest_rank(p, F.col("n_chars")).alias(n) for p, n in ((0.5, "p50"), (0.95, "p95"))])
+    d = table(spark, sf_dir, "documents").groupBy("source").agg(*[ranking.nearest_rank(p, "n_chars").alias(n) for p, n in ((0.5, "p50"), (0.95, "p95"))])
     return d
 
 

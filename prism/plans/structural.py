@@ -87,7 +87,14 @@ def nth_of_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 def signature_clones(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "symbols").where("signature is not null").select("id", F.regexp_replace("signature", r"^[^(]*", "").alias("shape"), (F.col("end_line") - F.col("start_line") + 1).alias("span")).distinct()
     g = maintenance.clone_groups(s, "shape", "span", ["id"])
-    return g.select("shape", "copies", "size", F.element_at("members", 1).alias("first"))
+    return g
+
+
+def clone_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The members of the ten largest groups of clones."""
+    s = table(spark, sf_dir, "symbols").where("signature is not null").select("id", F.regexp_replace("signature", r"^[^(]*", "").alias("shape"), (F.col("end_line") - F.col("start_line") + 1).alias("span")).distinct()
+    top = maintenance.clone_groups(s, "shape", "span", ["id"]).orderBy(*maintenance.clone_order("shape")).limit(10)
+    return maintenance.clone_members(s, top, "shape")
 
 
 def overload_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +126,7 @@ def declaration_above(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.withColumn("last", F.max("d").over(w)).where("o = 1").select("path", "line", F.coalesce("last.id", "first").alias("id"))
 
 
-QUERIES = {f.__name__: f for f in (j1_child_step, j2_descendant_step, structural_nodes, identifier_words, dotted_suffixes, symbol_card_heads, nth_of_name, signature_clones, overload_diff, innermost_symbol, declaration_above, path_negated_test, path_regex_test, path_contains_test, path_in_file)}
+QUERIES = {f.__name__: f for f in (j1_child_step, j2_descendant_step, structural_nodes, identifier_words, dotted_suffixes, symbol_card_heads, nth_of_name, signature_clones, clone_rows, overload_diff, innermost_symbol, declaration_above, path_negated_test, path_regex_test, path_contains_test, path_in_file)}
 
 _WORDS = "array_to_string(list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '(::|->|[_\\-.\\\\#/]+)', ' ', 'g'), '[$@%&?!]+', ' ', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '([a-z\\d])([A-Z])', '\\1 \\2', 'g')), '\\s+'), lambda w: w <> ''), ' ')"
 
@@ -139,6 +146,7 @@ ORACLE = {
  'module ' || {_WORDS.format("regexp_replace(path, '(?i)\\.[a-z0-9]+$', '')")}) as head from (select distinct id, path, name, base_name, kind, parent_id from symbols)""",
     "nth_of_name": "select path, name, seq, case when n > 1 then '~' || n else '' end as suffix from (select *, row_number() over (partition by path, name order by seq) as n from (select distinct path, name, seq from symbols))",
     "signature_clones": "select shape, count(*) as copies, arg_min(span, id) as size, min(id) as first from (select distinct id, regexp_replace(signature, '^[^(]*', '') as shape, end_line - start_line + 1 as span from symbols where signature is not null) group by 1 having count(*) > 1",
+    "clone_rows": "with s as (select distinct id, regexp_replace(signature, '^[^(]*', '') as shape, end_line - start_line + 1 as span from symbols where signature is not null) select * from s where shape in (select shape from s group by 1 having count(*) > 1 order by arg_min(span, id) desc, count(*) desc, shape limit 10)",
     "overload_diff": """with s as (select distinct path, lower(trim(kind)) as kind, base_name, seq, params from symbols),
 a as (select kind, base_name, params, row_number() over (partition by kind, base_name order by path, seq) as n from s where path like '%.py'),
 b as (select kind, base_name, params, row_number() over (partition by kind, base_name order by path, seq) as n from s where path like '%.php')

@@ -85,7 +85,7 @@ def test_rerank_touches_only_the_head(spark):
 
 
 def test_nearest_rank(spark):
-    assert spark.createDataFrame([(1,), (3,), (5,)], "x int").agg(ranking.nearest_rank(0.95, F.col("x"))).first()[0] == 5
+    assert spark.createDataFrame([(1,), (3,), (5,)], "x int").agg(ranking.nearest_rank(0.95, "x")).first()[0] == 5
 
 
 def test_search_of_an_empty_table(spark):
