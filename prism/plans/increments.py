@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prism.operators.incremental import IncrementalTarget, normal_digest
+from prism.operators.incremental import IncrementalTarget, land, normal_digest
 from prism.session import table, work_dir
 
 
 def replay(spark: SparkSession, runs: DataFrame, files: DataFrame, root: str) -> IncrementalTarget:
     """Carry out the history of runs against a fresh target; runs that did not succeed publish nothing.
 
-    The history is one row a run, read in the order of the starts; no row of the source reaches the driver.
+    The source is landed by day of loading once, so that each run reads the days new to it. The history is one row a
+    run, read in the order of the starts; no row of the source reaches the driver.
     """
+    landed = land(files, root, "path", normal_digest("content_hash"), "seen_at", "loaded_at")
     target = IncrementalTarget(spark, root)
     done = runs.where((F.lower(F.trim("status")) == "succeeded") & F.col("started_at").isNotNull())
     history = done.groupBy("run_id").agg(F.min("started_at").alias("at")).orderBy("at", "run_id")
     for r in history.toLocalIterator():
-        target.process(files, r["run_id"], r["at"], "path", normal_digest("content_hash"), "seen_at", "loaded_at")
+        target.process(landed, r["run_id"], r["at"])
     return target
 
 

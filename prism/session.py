@@ -13,10 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a fresh local one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; where that is unset, a fresh local one in local mode (tests), and
+    an error on a cluster, whose machines do not share their disks."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         found = tempfile.mkdtemp(prefix="prism-")
         sc.setCheckpointDir(found)
         found = sc.getCheckpointDir()

@@ -1,9 +1,10 @@
 from datetime import datetime, timedelta
+from threading import Barrier, Thread
 
 import pytest
 from pyspark.sql import functions as F
 
-from prism.operators.incremental import IncrementalTarget, normal_digest
+from prism.operators.incremental import IncrementalTarget, Overtaken, land, normal_digest
 
 T0 = datetime(2025, 1, 1)
 H = lambda n: T0 + timedelta(hours=n)
@@ -67,3 +68,41 @@ def test_empty_source_and_ties(spark, tmp_path):
 def test_digests(spark):
     rows = spark.createDataFrame([("SHA256:Ab",), ("ab",), (" ab ",), ("md5=ab",), ("",), (None,)], "d string")
     assert [r[0] for r in rows.select(normal_digest(F.col("d"))).collect()] == ["ab"] * 4 + [None, None]
+
+
+def test_of_two_runs_that_race_one_begins_again(spark, tmp_path):
+    src = source(spark, [("a", "x", H(0), H(0)), ("b", "y", H(0), H(0))])
+    ends, both = [], Barrier(2)
+
+    def racing(run_id):
+        t = IncrementalTarget(spark, str(tmp_path / "t"))
+        publish = t._publish
+        t._publish = lambda *a: (both.wait(60), publish(*a))  # both have read the same log
+        try:
+            ends.append((run_id, run(t, src, run_id, H(1))))
+        except Overtaken:
+            t._publish = publish
+            ends.append((run_id, None))
+            run(t, src, run_id, H(1))
+
+    threads = [Thread(target=racing, args=(i,)) for i in (1, 2)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert sorted(x for _, x in ends if x) == [True] and [x for _, x in ends].count(None) == 1
+    t = IncrementalTarget(spark, str(tmp_path / "t"))
+    assert [m["run_no"] for m in t.versions()] == [1, 2]
+    winner = next(i for i, x in ends if x)
+    assert changes(t) == [(winner, "a"), (winner, "b")]  # the other published an empty version; nothing is lost or repeated
+    assert t.clean(0.0) == 1
+
+
+def test_landed_sources_are_read_by_day(spark, tmp_path):
+    src = source(spark, [("a", "1", H(0), H(0)), ("a", "2", H(30), H(30)), ("b", "1", H(50), H(50)), ("c", "1", H(50), None), (None, "1", H(0), H(0))])
+    landed = land(src, str(tmp_path), "path", normal_digest("content_hash"), "seen_at", "loaded_at")
+    t = IncrementalTarget(spark, str(tmp_path / "t"))
+    assert t.process(landed, 1, H(1)) and t.process(landed, 2, H(31)) and t.process(landed, 3, H(60))
+    assert changes(t) == [(1, "a"), (2, "a"), (3, "b")]
+    plan = landed.where(F.col("day") >= F.to_date(F.lit(H(31))))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
