@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import ast
-import json
 import re
-import warnings
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -73,24 +71,12 @@ def check(text: str, language: str) -> tuple[str, int] | None:
     return "truncated", len(text)
 
 
-def _no_constant(name: str) -> None:
-    raise ValueError(name)
-
-
-def exactly_valid(text: str, language: str) -> bool | None:
-    """The judgement of the language's own parser where there is one here; else None."""
-    try:
-        if language == "python":
-            with warnings.catch_warnings():
-                warnings.simplefilter("ignore")
-                ast.parse(text.removeprefix("\ufeff"))
-            return True
-        if language == "json":
-            json.loads(text, parse_constant=_no_constant)
-            return True
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return False
-    return None
+@lru_cache(maxsize=1 << 12)
+def _checked(text: str, language: str) -> tuple[str, int] | None:
+    """As check, with what an empty text is: valid except as JSON. Copies of a text are read once a task for the most part."""
+    if not text.strip("\ufeff \t\r\n"):
+        return ("truncated", 0) if language == "json" else None
+    return check(text, language)
 
 
 def language_of(name: str | None, path: str | None) -> str | None:
@@ -106,8 +92,8 @@ def check_files(texts: DataFrame, files: DataFrame) -> DataFrame:
     have a null ``valid``. Of several texts of a path, one that fails counts. Repeated rows count once.
     """
     last = files.where("path is not null").groupBy("path").agg(F.max_by(F.struct("language", "repo"), F.coalesce("seen_at", F.lit(0).cast("timestamp"))).alias("f"))
-    # the texts stay where they are: only (path, language, repo) is joined, and only for a text's own path
-    t = texts.where("path is not null and content is not null").select("path", "content").dropDuplicates(["path", "content"])
+    # one exchange of the texts, by path; repeated rows are judged like any and fall together in the end
+    t = texts.where("path is not null and content is not null").select("path", "content")
     rows = t.join(last, "path", "left").select("path", "content", "f.language", "f.repo")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,9 +104,7 @@ def check_files(texts: DataFrame, files: DataFrame) -> DataFrame:
                 if lang is None:
                     out.append((path, (name or "").strip().lower() or None, repo, None, None, None))
                     continue
-                found = ("truncated", 0) if lang == "json" and not text.strip() else None if not text.strip("\ufeff \t\r\n") else check(text, lang)
-                if found and exactly_valid(text, lang):
-                    found = None
+                found = _checked(text, lang)
                 out.append((path, lang, repo, found is None, *(found or (None, None))))
             yield pd.DataFrame(out, columns=["path", "language", "repo", "valid", "error", "place"]).astype({"valid": "boolean", "place": "Int64"})
 
