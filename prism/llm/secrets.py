@@ -27,32 +27,35 @@ MASK = "REDACTED"
 ISSUED = re.compile(
     r"(?<![A-Za-z0-9_+/.-])(?:"
     r"(?:AKIA|ASIA|AGPA|AIDA|AROA|ANPA)[A-Z0-9]{16}(?![A-Za-z0-9])"
-    r"|gh[pousr]_[A-Za-z0-9]{36,251}(?![A-Za-z0-9])|github_pat_[A-Za-z0-9_]{22,255}"
-    r"|gl(?:pat|ptt|dt|rt|cbt|soat)-[A-Za-z0-9_-]{20,64}"
-    r"|sk-(?:proj-|ant-|live-|svcacct-)?[A-Za-z0-9_-]{20,200}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,128}"
-    r"|npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])|pypi-[A-Za-z0-9_-]{32,255}|hf_[A-Za-z0-9]{30,64}(?![A-Za-z0-9])"
-    r"|xox[abeoprs](?:\.xox[bp])?-[A-Za-z0-9-]{16,250}|xapp-[A-Za-z0-9-]{20,250}"
-    r"|AIza[A-Za-z0-9_-]{35}(?![A-Za-z0-9_-])|ya29\.[A-Za-z0-9_-]{20,250}"
-    r"|SG\.[A-Za-z0-9_-]{16,64}\.[A-Za-z0-9_-]{16,64}|key-[0-9a-f]{32}(?![A-Za-z0-9])"
-    r"|dop_v1_[0-9a-f]{64}|shp(?:at|ss|ca|pa)_[0-9a-fA-F]{32}|SK[0-9a-f]{32}(?![A-Za-z0-9])|(?:lin_api|dckr_pat|sq0csp|rubygems|figd)_?-?[A-Za-z0-9_-]{24,128}"
+    r"|gh[pousr]_[A-Za-z0-9]{36,}(?![A-Za-z0-9])|github_pat_[A-Za-z0-9_]{22,}"
+    r"|gl(?:pat|ptt|dt|rt|cbt|soat)-[A-Za-z0-9_-]{20,}"
+    r"|sk-(?:proj-|ant-|live-|svcacct-)?[A-Za-z0-9_-]{20,}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}"
+    r"|npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])|pypi-[A-Za-z0-9_-]{32,}|hf_[A-Za-z0-9]{30,}(?![A-Za-z0-9])"
+    r"|xox[abeoprs](?:\.xox[bp])?-[A-Za-z0-9-]{16,}|xapp-[A-Za-z0-9-]{20,}"
+    r"|AIza[A-Za-z0-9_-]{35}(?![A-Za-z0-9_-])|ya29\.[A-Za-z0-9_-]{20,}"
+    r"|SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}|key-[0-9a-f]{32}(?![A-Za-z0-9])"
+    r"|dop_v1_[0-9a-f]{64}|shp(?:at|ss|ca|pa)_[0-9a-fA-F]{32}|SK[0-9a-f]{32}(?![A-Za-z0-9])|(?:lin_api|dckr_pat|sq0csp|rubygems|figd)_?-?[A-Za-z0-9_-]{24,}"
     r"|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,}"
     r")"
 )
 PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(.*?)-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----", re.S)
+#: The lines of a key; what is left of it is a note or a placeholder.
+_BODY = re.compile(r"[A-Za-z0-9+/=]{32,}")
 URL = re.compile(r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{1,20}://([^\s:/@'\"<>`]*):([^\s/@'\"<>`]+)@[A-Za-z0-9\[]")
 HEADER = re.compile(r"\bAuthorization\b[\"']?\s*[:=]\s*[\"']?\s*(Bearer|Basic|Token|ApiKey)\s+([^\s\"'`<>,;)\\]+)", re.I)
 _NAMES = r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[ _-]?key|apikey|access[ _-]?key|secret[ _-]?key(?:[ _-]?base)?|auth(?:orization|[ _-]?(?:key|token))?|credentials?|dsn|private[ _-]?key|signing[ _-]?key|encryption[ _-]?key|client[ _-]?secret|master[ _-]?key|webhook[ _-]?secret|login|bearer|connection[ _-]?string)"
+#: A name of a credential with what it is given; what stands before the name in its identifier is looked at afterwards.
 KEYED = re.compile(
-    r"(?<![A-Za-z])((?:[A-Za-z][A-Za-z0-9]*[_.-])*(?-i:[a-z][A-Za-z0-9]*?(?=[A-Z]))?" + _NAMES + r"\d*)(?![A-Za-z-])"
-    r"[\"'`]?[ \t]*(?::[ \t]*[A-Za-z_][\w.\[\]| ]{0,30}=|(?::=|=>|[:=]))[ \t]*"
+    _NAMES + r"\d*(?![A-Za-z-])[\"'`]?[ \t]*(?::[ \t]*[A-Za-z_][\w.\[\]| ]{0,30}=|(?::=|=>|[:=]))[ \t]*"
     r"(?:\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|(?!(?:Bearer|Basic)\b)([^\s\"'`,;(){}\[\]<>]+))",
     re.I,
 )
+_BEFORE_NAME = re.compile(r"(?:[A-Za-z0-9]+[_.-]+)*([A-Za-z0-9]*)$")
 LOGIN = re.compile(r"\b(?:login|credentials?|account|user(?:name)?)\b\s*[:=]\s*[\"']?[\w.@-]+[\"']?\s*(?:/|:|\||,\s*(?:password|pw|pass)\b\s*[:=]?)\s*[\"']?([^\s\"'`<>,;()]+)", re.I)
 PROSE = re.compile(r"\b(?:pass(?:word|phrase|code|wd)|secret|token|api[ -]?key|access key|pin|credentials?)\s+(?:(?:is|was|are|of|to|as|being|set to|currently|now)\s+){0,2}[\"'`]?([^\s\"'`<>,;(){}=:]+)", re.I)
 FLAG = re.compile(r"(?<!\S)(?:--?(?:[A-Za-z0-9]+[-_])*" + _NAMES + r"|-p|-u[ \t]+[\w.-]+:)(?:=|[ \t]+|(?<=:))[\"']?((?!-)[^\s\"'`<>]{6,})", re.I)
-QUOTED = re.compile(r"\"([^\"\\\s]{16,512})\"|'([^'\\\s]{16,512})'|`([^`\\\s]{16,512})`")
-LONG = re.compile(r"(?<![A-Za-z0-9+/_=.@#:-])(?:[A-Za-z_][A-Za-z0-9_]*=)?([A-Za-z0-9+/_-]{20,512}={0,2})(?![A-Za-z0-9+/_=@#-])")
+QUOTED = re.compile(r"\"([^\"\\\s]{16,})\"|'([^'\\\s]{16,})'|`([^`\\\s]{16,})`")
+LONG = re.compile(r"(?<![A-Za-z0-9+/_=.@#:-])(?:[A-Za-z_][A-Za-z0-9_]*=)?([A-Za-z0-9+/_-]{20,}={0,2})(?![A-Za-z0-9+/_=@#-])")
 # Names and calls built of words, each with a number at most behind it; other strings that only look random.
 _NAME = re.compile(r"[$@#./_-]*(?:[A-Za-z]+\d{0,4}|\d{1,4})(?:[_./#:@-]+(?:[A-Za-z]+\d{0,4}|\d{1,4}))*[_./-]*(?:\(.*\)?)?;?|(?:[A-Z]?[a-z]{2,}\d{0,2}){2,}")
 _LOOKALIKE = re.compile(r"://|^[./~#@]|\.[A-Za-z]\w{0,4}$|[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-|[0-9a-fA-F]{24}|\d{4}-\d\d-\d\d|^(?:sha\d+|md5)[-:]|ssh-|data:|^AAAA[A-Z]|\w\(|[=(\[{<][\"']")
@@ -122,7 +125,9 @@ def random_token(s: str) -> bool:
     kinds of characters change as often as chance would have it, which words, names and paths do not reach. Hex is
     never enough, as digests and ids look the same; it takes a name or a form."""
     body = s.rstrip("=")
-    if not 16 <= len(body) <= 512 or alphabet(body) <= 16 or placeholder(s) or not body.isalpha() and _NAME.fullmatch(s) or _LOOKALIKE.search(s):
+    if len(body) < 16 or not re.search(r"\d", body) and (body == body.lower() or body == body.upper()):
+        return False
+    if alphabet(body) <= 16 or placeholder(s) or not body.isalpha() and _NAME.fullmatch(s) or _LOOKALIKE.search(s):
         return False
     if len(body) % 4 != 1 and re.fullmatch(r"[A-Za-z0-9+/]+", body) and all(31 < c < 127 or c in b"\t\r\n" for c in base64.b64decode(body + "=" * (-len(body) % 4))):
         return False  # text in base64: Basic headers and tokens of three parts are judged by what they say
@@ -177,7 +182,7 @@ def _known(text: str) -> list[tuple[int, int, str]]:
     for m in PRIVATE.finditer(text):
         body = re.sub(r"(?:^|\n)[ \t]*(?:\*|//|#)?[ \t]*|\\n|\s|[A-Za-z-]+: .*", "", m[1])
         body = re.sub(r"[^A-Za-z0-9+/=]", "", body)
-        if len(body) >= 40 and not placeholder(m[1][:200].replace("\n", " ")) and random_enough(body.rstrip("=")[:400], 0.7):
+        if len(body) >= 40 and not placeholder(_BODY.sub("", m[1]).replace("\n", " ")) and random_enough(body.rstrip("="), 0.7):
             found.append((m.start(1), m.end(1), "private key"))
     for m in ISSUED.finditer(text):
         v = m[0]
@@ -212,15 +217,23 @@ def _known(text: str) -> list[tuple[int, int, str]]:
         elif not random_enough(v) or _classes(v) < 2:
             continue
         found.append((m.start(2), m.start(2) + len(v), "authorisation"))
-    for m in KEYED.finditer(text):
-        g = next(i for i in (2, 3, 4, 5) if m[i] is not None)
-        v, at = m[g], m.start(g)
-        if g == 5:
+    at = 0
+    while m := KEYED.search(text, at):
+        at = m.start() + 1
+        before = _BEFORE_NAME.search(text, max(0, m.start() - 120), m.start())
+        # within an identifier a name begins at a capital, after a part that does not
+        part = before[1].lstrip("0123456789")
+        if part and not (part[0].islower() and m[0][0].isupper()):
+            continue
+        at = m.end()
+        v = m[m.lastindex]
+        start = m.start(m.lastindex)
+        if m.lastindex == 4:
             v = v.rstrip(".,;:!?")
-        if _DIGEST_NAME.search(m[1]) or "://" in v:
+        if _DIGEST_NAME.search(before[0] + text[m.start() : start]) or "://" in v:
             continue
         if live_password(v):
-            found.append((at, at + len(v), "credential by name"))
+            found.append((start, start + len(v), "credential by name"))
     for pattern, kind in ((LOGIN, "login"), (FLAG, "flag"), (PROSE, "told in prose")):
         for m in pattern.finditer(text):
             v = m[1].rstrip(".,;:!?")
