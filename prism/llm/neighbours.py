@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 
 from prism.session import cut
 
-#: Rows of each model and dims that the partition and the codebook are fitted on, at most.
-SAMPLE = 20_000
+#: Rows of each model and dims that the partition, and of them those that the codebook, is fitted on, at most.
+SAMPLE, CODED = 20_000, 8_000
 #: Rows of a cell aimed at; cells a code goes to; rows of a block of a hot cell.
 CELL, PROBES, BLOCK = 400, 6, 4096
 #: Up to so many cells one list of centres is used, beyond it the product of two lists, with more probes.
@@ -70,10 +70,19 @@ class Quantiser:
             self.lists, self.probes = [_kmeans(sample[:, :half], k, rng), _kmeans(sample[:, half:], k, rng)], PRODUCT_PROBES
         # weight of the parallel error for scores at the threshold
         self.eta = max(1.0, (self.dims - 1) * threshold**2 / max(1e-6, 1 - threshold**2))
-        x = self._split(sample[: min(len(sample), 8000)])
+        x = self._split(sample[:CODED])
         self.books = np.stack([_kmeans(x[:, m], CENTRES, rng) if len(x) >= CENTRES else np.resize(x[:, m], (CENTRES, SUB)) for m in range(x.shape[1])])
         for _ in range(2):
             self._refit(x)
+        self.spread = self._error(sample[:CODED], threshold, rng)
+
+    def _error(self, x: np.ndarray, threshold: float, rng: np.random.Generator) -> float:
+        """How far a table score may lie from the cosine: twice the largest error over a bounded number of near pairs, so that
+        the difference of two scores is covered. Margin where there are none."""
+        some = x[rng.choice(len(x), min(len(x), 512), replace=False)]
+        exact = some @ x.T
+        off = np.abs(some @ self.decode(self.encode(x)).T.astype(np.float32) - exact)[exact >= threshold - MARGIN]
+        return max(2 * MARGIN, 2 * float(off.max())) if len(off) else 2 * MARGIN
 
     def _split(self, x: np.ndarray) -> np.ndarray:
         if self.dims % SUB:
@@ -167,6 +176,10 @@ def similar_pairs(vectors: DataFrame, k: int = 5, threshold: float = 0.85, seed:
     groups = v.groupBy("model", "dims").agg(F.count("*").alias("n")).orderBy("model", "dims").collect()
     if not groups:
         return spark.createDataFrame([], "id_a string, id_b string, similarity double")
+    # repeated rows count once: only those whose id repeats are exchanged, by one small key
+    again = cut(v.groupBy("vid", "copy").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("vid", "copy"))
+    if again.limit(1).count():
+        v = v.join(again, ["vid", "copy"], "left_anti").unionByName(cut(v.join(again, ["vid", "copy"], "left_semi").dropDuplicates(["vid", "copy"])))
     first = rest = None
     hot = v.groupBy("copy").agg(F.approx_count_distinct("vid").alias("c")).where(F.col("c") > k + 1).select("copy")
     if hot.limit(1).count():
@@ -219,7 +232,11 @@ def similar_pairs(vectors: DataFrame, k: int = 5, threshold: float = 0.85, seed:
             queries = np.frombuffer(b"".join(a["data"]), dtype=np.float32).reshape(len(a), -1)
             for s in range(0, len(a), 1024):
                 # the product with the decoded codes is the sum of the entries of each query's tables
-                r, c = np.nonzero(queries[s : s + 1024] @ tables >= threshold - MARGIN)
+                scores = queries[s : s + 1024] @ tables
+                # a query keeps what may be among its k best here by the error of the tables; itself is one of the k + 1
+                kept = min(k + 1, scores.shape[1])
+                edge = np.partition(scores, scores.shape[1] - kept, axis=1)[:, scores.shape[1] - kept]
+                r, c = np.nonzero(scores >= np.maximum(threshold - MARGIN, edge - qz.spread)[:, None])
                 x, y = left[r + s], right[c]
                 ok = x != y
                 out.append(np.unique(np.stack([np.minimum(x, y)[ok], np.maximum(x, y)[ok]], axis=1), axis=0))
@@ -227,11 +244,10 @@ def similar_pairs(vectors: DataFrame, k: int = 5, threshold: float = 0.85, seed:
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     # hot cells, counted from the ids alone: blocks of queries meet blocks of codes
-    sizes = {(r["g"], r["cell"]): r["n"] for r in _hot_cells(v, shared, BLOCK).collect()}
-    if sizes:
-        names = sorted(sizes)
-        pieces = F.create_map(*[x for n in names for x in (F.lit(f"{n[0]}/{n[1]}"), F.lit(-(-sizes[n] // BLOCK)))])
-        m = F.coalesce(F.try_element_at(pieces, F.concat_ws("/", "g", "cell")), F.lit(1))
+    sizes = cut(_hot_cells(v, shared, BLOCK))
+    if sizes.limit(1).count():
+        rows = rows.join(sizes.select("g", "cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("m")), ["g", "cell"], "left")
+        m = F.coalesce("m", F.lit(1))
         mine = F.pmod(F.xxhash64("vid"), m).cast("int")
         blocks = F.transform(F.sequence(F.lit(0), m - 1), lambda o: F.when(F.col("q") == 1, F.struct(mine.alias("i"), o.alias("j"))).otherwise(F.struct(o.alias("i"), mine.alias("j"))))
         near = rows.withColumn("x", F.explode(blocks)).select("g", "cell", "x.i", "x.j", "q", "vid", "data").groupBy("g", "cell", "i", "j").applyInPandas(scan, "a long, b long")
