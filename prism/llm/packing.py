@@ -10,7 +10,7 @@ longest unused piece that fits, so a container closes only when no unused piece
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,8 +25,9 @@ from prism.session import cut
 WORD = re.compile(r"\w+|[^\w\s]")
 #: Bounds of the work of one task.
 SHARD_TOKENS = 600_000
-#: Texts whose terms say how rare a term is, at most; MinHashes that order the pieces; bits of each part of that order.
-SAMPLE, HASHES, BITS = 20_000, 2, 16
+#: Bits of the table of how many pieces hold a term (terms that fall together are counted together); MinHashes that order
+#: the pieces; bits of each part of that order.
+TABLE, HASHES, BITS = 20, 2, 16
 K1, B = 1.2, 0.75
 
 _PIECES = "doc_id long, piece int, pieces int, start int, stop int, n_tokens int, terms array<int>, tfs array<int>"
@@ -107,23 +108,20 @@ def fill(n_tokens: np.ndarray, terms: list, tfs: list, capacity: int) -> np.ndar
     impact = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[owner])
 
     container = np.full(n, -1, dtype=np.int64)
-    by_length = sorted(range(n), key=lambda i: (n_tokens[i], i))
-    keys = [int(n_tokens[i]) for i in by_length]  # unused pieces, ascending
-    ids = list(by_length)
+    # unused pieces, ascending by length and number, each one integer
+    keys = sorted((int(n_tokens[i]) << 32) + i for i in range(n))
+    number = (1 << 32) - 1
 
     def take(i: int, c: int) -> None:
         container[i] = c
-        at = bisect_right(keys, int(n_tokens[i])) - 1
-        while ids[at] != i:
-            at -= 1
-        del keys[at], ids[at]
+        del keys[bisect_left(keys, (int(n_tokens[i]) << 32) + i)]
 
     c = 0
-    while ids:
-        seed = ids[-1]
+    while keys:
+        seed = keys[-1] & number
         room = capacity - int(n_tokens[seed])
         take(seed, c)
-        if room > 0 and ids and keys[0] <= room:
+        if room > 0 and keys and keys[0] >> 32 <= room:
             own = np.searchsorted(vocabulary, np.asarray(terms[seed], dtype=np.int64))
             own = own[df[own] > 1]  # a term of df 1 scores nothing but the seed
             score = np.zeros(n)
@@ -136,10 +134,10 @@ def fill(n_tokens: np.ndarray, terms: list, tfs: list, capacity: int) -> np.ndar
                 if n_tokens[i] <= room:
                     take(int(i), c)
                     room -= int(n_tokens[i])
-                    if room <= 0 or not ids or keys[0] > room:
+                    if room <= 0 or not keys or keys[0] >> 32 > room:
                         break
-            while room > 0 and (at := bisect_right(keys, room)):
-                i = ids[at - 1]
+            while room > 0 and (at := bisect_left(keys, (room + 1) << 32)):
+                i = keys[at - 1] & number
                 if n_tokens[i] == 0 and n_tokens[seed] > 0:
                     break
                 take(i, c)
@@ -148,24 +146,21 @@ def fill(n_tokens: np.ndarray, terms: list, tfs: list, capacity: int) -> np.ndar
     return container
 
 
-def signature(terms: np.ndarray, known: np.ndarray, counts: np.ndarray, total: int) -> list[int]:
+def signature(terms: np.ndarray, table: np.ndarray, total: int) -> list[int]:
     """MinHashes of a set of terms, weighted by idf: pieces that share their rare terms are likely to share them.
 
-    known, counts: terms in order and in how many of the total sampled pieces each stands."""
+    table: how many of the total pieces hold a term, by the low bits of the term."""
     if not len(terms):
         return [0] * HASHES
     t = terms.astype(np.int64)
-    df = np.zeros(len(t))
-    if len(known):
-        at = np.minimum(np.searchsorted(known, t), len(known) - 1)
-        df = np.where(known[at] == t, counts[at], 0)
+    df = table[t & ((1 << TABLE) - 1)].astype(np.float64)
     weight = np.log1p(total / (df + 1.0))
     out = []
     for k in range(HASHES):
         h = (t + (1 << 31)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((k + 1) * 0xBF58476D1CE4E5B9 % (1 << 64))
         h = (h ^ h >> np.uint64(30)) * np.uint64(0x94D049BB133111EB)
         h ^= h >> np.uint64(31)
-        # a term that no other sampled piece has cannot bring two together
+        # a term that no other piece has cannot bring two together
         cost = -np.log(((h >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)) / weight + np.where(df > 1, 0.0, 1e9)
         out.append(int(h[cost.argmin()] * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - BITS)))
     return out
@@ -178,15 +173,16 @@ def by_content(parts: DataFrame, shards: int) -> DataFrame:
     within by the second MinHash and by a hash of the piece, so that no group of like texts makes a large shard."""
     if shards == 1:
         return parts.withColumn("shard", F.lit(0))
-    share = min(1.0, SAMPLE / max(1, parts.count()))
-    picked = parts.where(F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    seen = picked.select(F.explode("terms").alias("t")).groupBy("t").count().where("count > 1").orderBy(F.desc("count"), "t").limit(1_000_000).toPandas().sort_values("t")
-    shared = parts.sparkSession.sparkContext.broadcast((seen["t"].to_numpy(np.int64), seen["count"].to_numpy(np.int64), max(1, picked.count())))
+    # over all pieces; the table is of one size at any number of terms
+    seen = parts.select(F.explode("terms").alias("t")).groupBy(F.col("t").bitwiseAND(F.lit((1 << TABLE) - 1)).alias("t")).count().toPandas()
+    table = np.zeros(1 << TABLE, dtype=np.int64)
+    table[seen["t"].to_numpy(np.int64)] = seen["count"].to_numpy(np.int64)
+    shared = parts.sparkSession.sparkContext.broadcast((table, max(1, parts.count())))
 
     @F.pandas_udf("array<long>")
     def sign(terms: pd.Series) -> pd.Series:
-        known, counts, total = shared.value
-        return terms.map(lambda t: signature(np.asarray(t), known, counts, total))
+        table, total = shared.value
+        return terms.map(lambda t: signature(np.asarray(t), table, total))
 
     signed = cut(parts.withColumn("sign", sign("terms")).withColumn("even", F.xxhash64("doc_id", "piece", "start")))
     signed = signed.select(*parts.columns, F.col("sign")[0].alias("b"), F.shiftright(F.col("sign")[1], 10).cast("int").alias("c"), F.pmod("even", F.lit(1024)).cast("int").alias("e"))
