@@ -174,7 +174,7 @@ def reading_level(docs: DataFrame, share: float = FAMILIAR) -> DataFrame:
 def fit_levels(levels: DataFrame, labels: DataFrame) -> tuple[float, float, float]:
     """Least squares of the mean label of each text on share and sentence length, from sums over all labelled texts."""
     one = labels.where("doc_id is not null and level between 1 and 5").distinct().groupBy("doc_id").agg(F.avg("level").alias("y"))
-    j = levels.where("score is not null").join(one, "doc_id").select(F.col("unfamiliar_share").alias("a"), F.least(F.col("words_per_sentence"), F.lit(60.0)).alias("b"), "y")
+    j = levels.where("score is not null").join(one, "doc_id").select(F.col("unfamiliar_share").alias("a"), F.col("words_per_sentence").alias("b"), "y")
     names = {"n": F.count("*"), **{x: F.sum(x) for x in "aby"}, **{x + y: F.sum(F.col(x) * F.col(y)) for x, y in ("aa", "ab", "bb", "ay", "by")}}
     s = j.agg(*[v.alias(k) for k, v in names.items()]).first()
     if not s["n"]:
@@ -189,6 +189,6 @@ def levels(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """reading_level with ``level`` (1 easy to 5 demanding), fitted to the labels; null where there is no prose."""
     base = cut(reading_level(docs))
     c, a, b = fit_levels(base, labels)
-    raw = F.round(c + a * F.col("unfamiliar_share") + b * F.least(F.col("words_per_sentence"), F.lit(60.0)))
+    raw = F.round(c + a * F.col("unfamiliar_share") + b * F.col("words_per_sentence"))
     return base.withColumn("level", F.when(raw.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(5), raw.cast("int")))))
 
