@@ -50,7 +50,7 @@ KEYED = re.compile(
     r"(?:\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|(?!(?:Bearer|Basic)\b)([^\s\"'`,;(){}\[\]<>]+))",
     re.I,
 )
-_BEFORE_NAME = re.compile(r"(?:[A-Za-z0-9]+[_.-]+)*([A-Za-z0-9]*)$")
+_BEFORE_NAME = re.compile(r"(?:[A-Za-z0-9]+[_.-]+)*([A-Za-z0-9]*)\Z")
 LOGIN = re.compile(r"\b(?:login|credentials?|account|user(?:name)?)\b\s*[:=]\s*[\"']?[\w.@-]+[\"']?\s*(?:/|:|\||,\s*(?:password|pw|pass)\b\s*[:=]?)\s*[\"']?([^\s\"'`<>,;()]+)", re.I)
 PROSE = re.compile(r"\b(?:pass(?:word|phrase|code|wd)|secret|token|api[ -]?key|access key|pin|credentials?)\s+(?:(?:is|was|are|of|to|as|being|set to|currently|now)\s+){0,2}[\"'`]?([^\s\"'`<>,;(){}=:]+)", re.I)
 FLAG = re.compile(r"(?<!\S)(?:--?(?:[A-Za-z0-9]+[-_])*" + _NAMES + r"|-p|-u[ \t]+[\w.-]+:)(?:=|[ \t]+|(?<=:))[\"']?((?!-)[^\s\"'`<>]{6,})", re.I)
