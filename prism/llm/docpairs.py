@@ -2,19 +2,21 @@
 
 A symbol table over all files joins documented declarations with definitions of the same qualified name in the
 same package and language that stand elsewhere without documentation; overloads are told apart by a normalised
-signature. What remains is filtered: a description must say something in words of its own.
+signature. What the join gives is filtered: a description must say something in words of its own.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from prism.session import cut
+
 # Words that add nothing to the name of a callable.
 _FILLERS = frozenset(
     "a an the this that these those it its to of for from in on with and or by as is are be at into "
@@ -112,6 +114,7 @@ def _drop_note(block: str) -> str:
     return "\n".join(out)
 
 
+@lru_cache(maxsize=1 << 14)
 def description(doc: str | None, names: str = "") -> str | None:
     """What a documentation comment says in words of its own, or None.
 
@@ -170,14 +173,9 @@ def description(doc: str | None, names: str = "") -> str | None:
     return whole
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc, names and others) with ``description``, null where the doc says nothing."""
-
-    @F.pandas_udf(T.StringType())
-    def run(doc: pd.Series, names: pd.Series) -> pd.Series:
-        return pd.Series([description(d, n or "") for d, n in zip(doc, names, strict=True)], dtype=object)
-
-    return docs.withColumn("description", run("doc", "names"))
+@F.pandas_udf(T.StringType())
+def _description(doc: pd.Series, names: pd.Series) -> pd.Series:
+    return pd.Series([description(d, n or "") for d, n in zip(doc, names, strict=True)], dtype=object)
 
 
 def normal_kind(c: Column | str) -> Column:
@@ -213,14 +211,16 @@ def symbol_table(symbols: DataFrame) -> DataFrame:
 def doc_pairs(symbols: DataFrame) -> DataFrame:
     """(id, kind, signature, description, doc_id): each callable with its description.
 
-    doc_id is the symbol whose doc it is: the symbol's own, or else, for a definition without any doc, the first
-    (by id) documented declaration of the same overload in its repository. Callables without a telling doc are left out.
-    A hot overload key costs nothing extra: declarations are reduced to one a key before the join.
+    doc_id is the symbol whose doc it is: the symbol's own, or else, for a definition without any doc, a documented
+    declaration of the same overload in its repository (the longest, of equals the last by id). Joined first, filtered after; each
+    comment is read once, however many definitions it goes to. Callables without a telling doc are left out. Null and blank
+    docs, repeated rows and empty tables give no pair of their own. A hot overload key costs nothing extra: declarations are
+    reduced to one a key before the join, and only definitions without a doc look for one.
     """
     t = symbol_table(symbols)
-    own = described(t)
-    declared = own.where("description is not null").groupBy("overload").agg(F.min(F.struct("id", "description")).alias("d"))
-    silent = t.where("doc is null or trim(doc) = ''").select("id", "kind", "signature", "overload")
-    lent = silent.join(declared, "overload").select("id", "kind", "signature", F.col("d.description").alias("description"), F.col("d.id").alias("doc_id"))
-    mine = own.where("description is not null").select("id", "kind", "signature", "description", F.col("id").alias("doc_id"))
-    return mine.unionByName(lent)
+    silent = F.col("doc").isNull() | (F.trim("doc") == "")
+    read = cut(t.where(~silent).select("id", "kind", "signature", "overload", F.length("doc").alias("length"), _description("doc", "names").alias("description")))
+    declared = read.groupBy("overload").agg(F.max_by(F.struct("id", "description"), F.struct("length", "id")).alias("d"))
+    lent = t.where(silent).select("id", "kind", "signature", "overload").join(declared, "overload").select("id", "kind", "signature", "d.description", F.col("d.id").alias("doc_id"))
+    mine = read.select("id", "kind", "signature", "description", F.col("id").alias("doc_id"))
+    return mine.unionByName(lent).where("description is not null")
