@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prism.llm import docpairs, leaks, neighbours, overlap, packing, reading, secrets, splits, syntax
@@ -43,8 +43,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_overlaps_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = overlap.cross_split_overlaps(table(spark, sf_dir, "pairs"))
-    return o.groupBy("held_split", "source").agg(F.count("*").alias("overlaps"), F.countDistinct("held_id").alias("held_records"), F.countDistinct("train_id").alias("train_records"))
+    return overlap.overlap_report(table(spark, sf_dir, "pairs"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +64,9 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Containers of p8_found, in tokens of the built-in tokenizer; of p8_containers, in those of a public one.
 P8_CAPACITY = 1024
-P8_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+P8_TOKENIZER = "byte_bpe_50k.json"
+#: The folder of tokenizers, where the session does not name one in spark.prism.tokenizers.
+TOKENIZERS = "/opt/tokenizers"
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +75,19 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), 2048, P8_TOKENIZER)
+    folder = spark.conf.get("spark.prism.tokenizers", TOKENIZERS)
+    return packing.pack(table(spark, sf_dir, "documents"), 2048, f"{folder}/{P8_TOKENIZER}")
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are."""
+    return packing.fill_report(packing.pack(table(spark, sf_dir, "documents"), P8_CAPACITY), P8_CAPACITY)
+
+
+def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pairs, and which share of them, each new split has."""
+    s = p5_splits(spark, sf_dir).groupBy("new_split").agg(F.count("*").alias("n"))
+    return s.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))), 4))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +99,7 @@ def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "level_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_pairs, p6_found, p6_redacted, p4_found, p4_overlaps_by_split, p5_found, p5_splits, p7_found, p8_found, p8_containers, p9_found, p10_found, p10_levels)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_pairs, p6_found, p6_redacted, p4_found, p4_overlaps_by_split, p5_found, p5_splits, p5_shares, p7_found, p8_found, p8_containers, p8_fill, p9_found, p10_found, p10_levels)}
 
 _SPLIT = """case when regexp_replace(lower({0}), '[^a-z]', '', 'g') in ('train', 'training') then 'train'
  when regexp_replace(lower({0}), '[^a-z]', '', 'g') in ('val', 'valid', 'validation', 'dev') then 'val'

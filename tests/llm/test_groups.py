@@ -159,3 +159,67 @@ def test_a_product_of_lists_indexes_every_row(monkeypatch):
     assert len(q.lists) == 2 and q.cells(x).shape[0] == 2000
     back = q.decode(q.encode(x))
     assert back.shape == x.shape and (np.abs((x * (x - back)).sum(1)) < 0.1).mean() > 0.95
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the test tables")
+@pytest.mark.parametrize("flat", [1024, 1])
+def test_recall_where_most_cells_are_skipped(spark, monkeypatch, flat):
+    monkeypatch.setattr(neighbours, "CELL", 20)
+    monkeypatch.setattr(neighbours, "FLAT", flat)
+    table = spark.read.parquet("/root/testdata/sf0.1/card_vectors.parquet")
+    model = table.groupBy("model").count().orderBy(F.desc("count")).first()["model"]
+    table = table.where(F.col("model") == model)
+    got = {(r["id_a"], r["id_b"]) for r in neighbours.similar_pairs(table).collect()}
+    ok = table.where(neighbours.valid(F.col("model"), F.col("dims"), F.col("vector"))).select("id", "dims", "vector").distinct().toPandas()
+    want = set()
+    for _, part in ok.groupby("dims"):
+        x, ids = neighbours.unit(part["vector"]), part["id"].to_numpy()
+        for a in range(0, len(x), 512):
+            s = np.round(x[a : a + 512] @ x.T, 9)
+            for i, row in enumerate(s, a):
+                near = [j for j in np.flatnonzero(row >= 0.85) if ids[j] != ids[i]]
+                near.sort(key=lambda j: (-row[j], ids[j]))
+                want |= {tuple(sorted((ids[i], ids[j]))) for j in near[:5]}
+    recall = len(got & want) / len(want)
+    print(f"FLAT {flat}: {len(ok)} rows, recall {recall:.4f}, precision {len(got & want) / len(got):.4f}")
+    assert len(ok) / 20 > 6 * 20 and recall >= 0.9
+
+
+def test_repeated_rows_of_one_vector_count_once(spark):
+    rows = [("a", "m", 2, [1.0, 0.0])] * 300 + [("b", "m", 2, [1.0, 0.1]), ("c", "m", 2, [0.9, 0.1])]
+    df = spark.createDataFrame(rows, "id string, model string, dims int, vector array<float>")
+    assert sorted((r["id_a"], r["id_b"]) for r in neighbours.similar_pairs(df).collect()) == [("a", "b"), ("a", "c"), ("b", "c")]
+
+
+def test_shares_of_pairs_are_those_asked_for(spark):
+    repos = spark.createDataFrame([(i, f"https://h.example/o{i}/r", None) for i in range(400)], "repo_id long, url string, mirror_of string")
+    rng = random.Random(3)
+    sizes = [1 + int(400 / (i + 1)) for i in range(400)]
+    pairs, at = [], 0
+    for i, n in enumerate(sizes):
+        for _ in range(n):
+            pairs.append((at, rng.choice([f"O{i}/R", f"git@h.example:o{i}/r.git"]), "train"))
+            at += 1
+    # repositories that only pairs name, once with and once without host, and one of a listed owner
+    pairs += [(at, "new/x", None), (at + 1, "https://g.example/new/x", None), (at + 2, "g.example/new/y", None), (at + 3, "h.example/o7/other", None), (at + 4, None, None)]
+    got = splits.assign_splits(repos, spark.createDataFrame(pairs, "pair_id long, repo string, split string")).collect()
+    split = {r["pair_id"]: r["new_split"] for r in got}
+    assert len(got) == len(pairs)
+    assert len({split[at], split[at + 1], split[at + 2]}) == 1 and next(r for r in got if r["pair_id"] == at + 3)["first_repo_id"] == 7
+    share = {k: sum(v == k for v in split.values()) / len(split) for k in ("train", "val", "test")}
+    assert abs(share["train"] - 0.8) < 0.02 and abs(share["val"] - 0.1) < 0.02 and abs(share["test"] - 0.1) < 0.02
+
+
+def test_the_report_counts_what_the_pairs_are(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(60)]
+    base = [rng.sample(words, 25) for _ in range(6)]
+    rows = []
+    for i in range(120):
+        w = list(rng.choice(base))
+        if rng.random() < 0.5:
+            w[rng.randrange(25)] = rng.choice(words)
+        rows.append((i if rng.random() < 0.9 else max(0, i - 1), rng.choice(["train", "dev", "Test"]), rng.choice("ab"), " ".join(w), None))
+    df = spark.createDataFrame(rows, "pair_id long, split string, source string, query string, positive string").dropDuplicates(["pair_id", "split"])
+    o = overlap.cross_split_overlaps(df).groupBy("held_split", "source").agg(F.count("*").alias("overlaps"), F.countDistinct("held_id").alias("held_records"), F.countDistinct("train_id").alias("train_records"))
+    assert sorted(map(tuple, overlap.overlap_report(df).select(*o.columns).collect())) == sorted(map(tuple, o.collect()))

@@ -199,12 +199,56 @@ def test_holds_against_brute_force():
     assert seen == {True, False}
 
 
-def test_no_fingerprint_within_the_radius_is_missed():
-    rng = np.random.default_rng(4)
-    ix = leaks.ItemIndex([(i, " ".join(f"w{rng.integers(5000)}" for _ in range(60))) for i in range(40)])
-    flips = np.array([sum(1 << int(b) for b in rng.choice(64, leaks.RADIUS, replace=False)) for _ in ix.prints], dtype=np.uint64)
-    d, i = ix.candidates(ix.prints ^ flips)
-    assert set(range(len(ix.prints))) <= set(d[d == i].tolist())
+def test_every_passage_keeps_a_seed():
+    rng = random.Random(4)
+    width = leaks.seed_size()
+    assert width == 6
+    for _ in range(300):
+        item = np.arange(1, 26, dtype=np.uint64)
+        doc = list(item)
+        for _ in range(3):
+            k = rng.randrange(len(doc))
+            how = rng.randrange(3)
+            if how == 0:
+                doc[k] = 999
+            elif how == 1:
+                del doc[k]
+            else:
+                doc.insert(k, 999)
+        assert np.isin(leaks.seeds(np.array(doc, np.uint64), width), leaks.seeds(item, width)).any()
+
+
+def test_alignments_in_batches_are_those_one_by_one():
+    rng = np.random.default_rng(5)
+    pairs = []
+    for _ in range(60):
+        item = rng.integers(0, 40, rng.integers(10, 30)).astype(np.uint64)
+        doc = np.concatenate([rng.integers(0, 40, rng.integers(0, 9)), np.delete(item, rng.integers(len(item))), rng.integers(0, 40, rng.integers(0, 60))]).astype(np.uint64)
+        pairs.append((item, doc))
+    got = leaks.holds_many(pairs, 9, 4)
+    assert list(got) == [leaks.holds(i, d, 9, 4) for i, d in pairs] and 0 < got.sum()
+    assert len(leaks.holds_many([])) == 0
+
+
+def test_bounds_of_a_stretch_lose_no_passage():
+    rng = random.Random(8)
+    for _ in range(400):
+        n = rng.choice([25, 31, 32, 40, 47, 48, 49, 56, 64])
+        item = np.arange(1, n + 1, dtype=np.uint64)
+        doc, spot = list(item), rng.randrange(n)
+        for i in range(n // 8):  # spread out or close together
+            k = rng.randrange(len(doc)) if rng.random() < 0.5 else min(len(doc) - 1, spot + rng.choice([1, 2]) * i)
+            how = rng.randrange(3)
+            if how == 0:
+                doc[k] = 9999
+            elif how == 1:
+                doc.insert(k, 9999)
+            else:
+                del doc[k]
+        doc = np.array(doc, np.uint64)
+        assert leaks.holds(item, doc)
+        at = [j - i for i, a in enumerate(leaks.seeds(item, 6)) for j, b in enumerate(leaks.seeds(doc, 6)) if a == b]
+        assert len(at) >= 2 and leaks.dense(item, leaks.parts_of(item, doc, np.array(at), 8), 25, 8).any()
 
 
 def test_leaks(spark):
