@@ -114,10 +114,15 @@ def screen(cards: DataFrame, text: str = "text", profile: str = "standard") -> D
     block = F.exists("findings", lambda x: (x["action"] == Q) | ((x["action"] == S) & ~x["rule"].isin(*able)))
     change = F.exists("findings", lambda x: x["action"] == S)
     c = c.withColumn("clean", F.when(block, F.lit(None)).when(change, sanitised(own, F.col("findings"))).otherwise(F.col(text)))
-    again = findings(F.coalesce("clean", F.lit("")), profile)
-    left = F.exists(again, lambda x: x["action"].isin(S, Q)) | (F.trim("clean") == "")
-    verdict = F.when(block, Q).when(change, F.when(left, Q).otherwise(S)).otherwise("pass")
-    return c.withColumn("verdict", verdict).withColumn("clean", F.when(F.col("verdict") != Q, F.col("clean")))
+    # only what was changed is scanned again; bound in a lambda, the clean text is worked out once
+    def judged(clean: Column) -> Column:
+        again = findings(F.coalesce(clean, F.lit("")), profile)
+        left = F.exists(again, lambda x: x["action"].isin(S, Q)) | (F.trim(clean) == "")
+        verdict = F.when(block, Q).when(change, F.when(left, Q).otherwise(S)).otherwise("pass")
+        return F.struct(verdict.alias("verdict"), clean.alias("clean"))
+
+    c = c.withColumn("_j", F.transform(F.array("clean"), judged)[0])
+    return c.withColumn("verdict", F.col("_j.verdict")).withColumn("clean", F.when(F.col("verdict") != Q, F.col("_j.clean"))).drop("_j")
 
 
 def report(screened: DataFrame) -> DataFrame:
