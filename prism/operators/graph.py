@@ -104,9 +104,9 @@ def pagerank(edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, r
 
 def repo_map(edges: DataFrame, scores: DataFrame, budget: int, cost: Column | None = None) -> DataFrame:
     """(path, score, importers, used): the highest files until the budget would be exceeded; the first always, and
-    nothing after the first that does not fit. cost: a column over path, in tokens."""
+    nothing after the first that does not fit. cost: a column over path and what else ``scores`` (ref, score, ..) holds, in tokens."""
     cost = F.ceil((F.length("path") + 16) / 4) if cost is None else cost
-    f = scores.select(F.col("ref").alias("path"), "score").join(in_degree(edges).withColumnRenamed("ref", "path"), "path", "left").fillna(0, ["importers"])
+    f = scores.withColumnRenamed("ref", "path").join(in_degree(edges).withColumnRenamed("ref", "path"), "path", "left").fillna(0, ["importers"])
     f = f.withColumn("cost", cost.cast("long"))
     # a file costs at least four tokens, so no more than budget / 4 of the highest can fit
     top = f.orderBy(F.desc("score"), F.desc("importers"), "path").limit(max(1, budget // 4 + 1))
@@ -115,6 +115,117 @@ def repo_map(edges: DataFrame, scores: DataFrame, budget: int, cost: Column | No
     return run.where((F.col("used") <= budget) | (F.col("n") == 1)).select("path", "score", "importers", "used")
 
 
+# Symbols that a file of the map shows; what a caller and an importer are worth where there is no rank.
+SHOWN, CALLER_WORTH, IMPORTER_WORTH = 5, 0.1, 0.2
+
+
+def map_symbols(symbols: DataFrame, call_edges: DataFrame, ranks: DataFrame, shown: int = SHOWN) -> DataFrame:
+    """(path, id, name, kind, line, signature, callers, score, place): the symbols that each file of the map shows, best first.
+
+    Callers and rank are those of the id, or else of the name; without a rank, a tenth for each caller."""
+    calls = call_edges.where(F.col("kind").isin(*CALL_KINDS)).groupBy(F.col("to_ref").alias("ref")).agg(F.count("*").alias("n"))
+    known = calls.join(ranks.select("ref", "score"), "ref", "full_outer")
+    one = lambda key, tag: known.select(F.col("ref").alias(key), F.col("n").alias(f"n_{tag}"), F.col("score").alias(f"s_{tag}"))
+    s = symbols.select("path", "id", "name", "kind", F.col("start_line").alias("line"), "signature").distinct().join(one("id", "i"), "id", "left").join(one("name", "n"), "name", "left")
+    callers = F.coalesce("n_i", "n_n", F.lit(0))
+    s = s.withColumn("callers", callers).withColumn("score", F.coalesce("s_i", "s_n", callers * CALLER_WORTH))
+    place = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("score"), F.desc("callers"), "line", "id"))
+    return s.withColumn("place", place).where(F.col("place") <= shown).select("path", "id", "name", "kind", "line", "signature", "callers", "score", "place")
+
+
+def map_cost(shown: DataFrame) -> DataFrame:
+    """(path, symbols_chars): what the lines of a file's symbols take in the map."""
+    indent = 4 * F.size(F.split("path", "/"))
+    chars = indent + 8 + F.length("kind") + F.length("name") + F.coalesce(F.length("signature"), F.lit(0)) + 14
+    return shown.groupBy("path").agg(F.sum(chars).alias("symbols_chars"))
+
+
+def map_tree(files: DataFrame, depth: int | None = None) -> DataFrame:
+    """(path, is_dir, score): the folders and files of the map; a folder's score is the greatest of what it holds. depth: folders
+    below so many parts, and what they hold, are left out. files: (path, score)."""
+    parts = F.split("path", "/")
+    ups = files.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(F.array_join(F.slice(parts, 1, n), "/").alias("path"), (n < F.size(parts)).alias("is_dir"), n.alias("n"), F.size(parts).alias("of")))).alias("x"), "score")
+    if depth is not None:
+        # the walk stops at the first folder beyond the depth, so files below one do not appear
+        ups = ups.where(F.when(F.col("x.is_dir"), F.col("x.n") <= depth).otherwise(F.col("x.of") - 1 <= depth))
+    return ups.groupBy(F.col("x.path").alias("path"), F.col("x.is_dir").alias("is_dir")).agg(F.max("score").alias("score"))
+
+
+def propagated(vectors: DataFrame, edges: DataFrame, parents: DataFrame, alpha: float) -> DataFrame:
+    """(id, vector): each raw vector with alpha times the mean of its neighbours' added, at length one. From the raw vectors, so
+    again gives the same. vectors: (id, grp, vector); a group's vector is the sum of its cards' at length one.
+
+    Neighbours are groups that share an edge (a, b) either way or are parent (id, parent_id) and member. Groups without any
+    keep their raw vectors. Means are built by place, never as lists of vectors."""
+    from prism.functions.vectors import unit
+
+    at = vectors.select("grp", F.posexplode("vector").alias("i", "x"))
+    gather = lambda df: df.groupBy("grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("v"))
+    group = cut(gather(at.groupBy("grp", "i").agg(F.sum(F.col("x").cast("double")).alias("x"))).select("grp", unit(F.col("v")).alias("v")).where("v is not null"))
+    links = edges.select("a", "b").union(parents.where("parent_id is not null").select(F.col("id").alias("a"), F.col("parent_id").alias("b"))).where("a <> b")
+    both = links.union(links.select("b", "a")).distinct().join(group.select(F.col("grp").alias("a")), "a", "left_semi")
+    near = both.join(group.select(F.col("grp").alias("b"), "v"), "b").select(F.col("a").alias("grp"), F.posexplode("v").alias("i", "x")).groupBy("grp", "i").agg(F.avg("x").alias("x"))
+    mean = gather(near).withColumnRenamed("v", "mean")
+    j = vectors.join(mean, "grp", "left")
+    mixed = unit(F.zip_with("vector", "mean", lambda x, y: x.cast("double") + alpha * y))
+    return j.select("id", F.when(F.col("mean").isNotNull(), mixed).otherwise(F.col("vector").cast("array<double>")).alias("vector"))
+
+
+def smallest_span(points: DataFrame, symbols: DataFrame, by_name: bool = False) -> DataFrame:
+    """``points`` (point, path, line, and name where by_name) with the id of the smallest symbol that spans each, the earliest by
+    seq of equals; null where there is none."""
+    s = symbols.select("path", F.col("id").alias("_id"), "start_line", "end_line", "seq", "base_name").distinct()
+    j = points.join(s, "path").where("line between start_line and end_line")
+    if by_name:
+        j = j.where(F.col("name").isNull() | (F.col("base_name") == F.col("name")))
+    best = j.groupBy("point").agg(F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("n"), "seq", "_id"))["_id"].alias("id"))
+    return points.join(best, "point", "left")
+
+
+def overlay(edges: DataFrame, definitions: DataFrame, references: DataFrame, symbols: DataFrame, import_lines: DataFrame) -> DataFrame:
+    """``edges`` with the calls of the files of ``references`` replaced by what a compiler's index says. definitions and references:
+    (symbol, path, line, name); import_lines: (path, line), which are no uses. A symbol is that of its first definition that some
+    declaration of the name spans; uses within itself are left out; the kind of an edge is that of what it leads to."""
+    point = lambda df: df.withColumn("point", F.xxhash64("symbol", "path", "line"))
+    to = smallest_span(point(definitions.where(~F.col("symbol").startswith("local "))), symbols, by_name=True).where("id is not null").groupBy("symbol").agg(F.min_by("id", F.struct("path", "line")).alias("to_ref"))
+    uses = references.join(import_lines, ["path", "line"], "left_anti").join(to, "symbol")
+    uses = smallest_span(point(uses), symbols).withColumn("source_path", F.coalesce("id", "path")).where("source_path <> to_ref")
+    kinds = symbols.select(F.col("id").alias("to_ref"), F.lower(F.trim("kind")).alias("k")).distinct()
+    kind = F.when(F.col("k").isin("function", "method", "constructor"), "calls").when(F.col("k").isin("class", "interface", "type", "enum", "trait"), "references:type").otherwise("references")
+    new = uses.join(kinds, "to_ref").groupBy("source_path", "to_ref", kind.alias("kind")).agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    files = references.select("path").distinct()
+    owned = symbols.select(F.col("id").alias("source_path"), "path").union(files.select("path", "path")).join(files, "path", "left_semi").select("source_path").distinct()
+    gone = F.col("kind").isin("calls", "calls:name", "calls:external", "calls:unresolved", "references:type", "references")
+    kept = edges.where(~gone).unionByName(edges.where(gone).join(owned, "source_path", "left_anti"))
+    return kept.select("source_path", "to_ref", "kind", "lines").unionByName(new)
+
+
+def federated_dependents(imports: DataFrame, hosts: DataFrame) -> DataFrame:
+    """(host, repo, path): the files of other repositories with an import that names a host's file: by its last part less the
+    extension, or, of an index file, by its folder. imports: (repo, path, specifier); hosts: (host: a path)."""
+    parts = F.filter(F.split(F.regexp_replace("specifier", r"^['\"`]|['\"`]$", ""), "/"), lambda s: ~s.isin("", "."))
+    bare = lambda c: F.regexp_replace(c, r"\.[^.]+$", "")
+    i = imports.select("repo", "path", bare(F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))).alias("last"), F.try_element_at(parts, F.lit(-2)).alias("parent")).distinct()
+    base, folder = bare(F.substring_index("host", "/", -1)), F.substring_index(F.regexp_replace("host", r"/?[^/]*$", ""), "/", -1)
+    h = hosts.select("host", base.alias("stem"), folder.alias("folder")).distinct()
+    plain = i.join(h.where("stem <> 'index'"), F.col("last") == F.col("stem"))
+    index = h.where("stem = 'index'")
+    by_folder, by_index = i.join(index, F.col("last") == F.col("folder")), i.where("last = 'index'").join(index, F.col("parent") == F.col("folder"))
+    rows = [x.select("host", "repo", "path") for x in (plain, by_folder, by_index)]
+    return rows[0].union(rows[1]).union(rows[2]).distinct()
+
+
+def diagnose(paths: DataFrame, states: DataFrame, cards: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(path, lost_at, rank): which stage lost each path: INDEX where it is not indexed or in quarantine, RED_TEAM where all its
+    cards are in quarantine, CARDS where it has none, RANK where no lane shows it; null with its best rank where it is found.
+    states: (path, status); cards: (path, quarantined); ranks: (path, rank)."""
+    c = cards.groupBy("path").agg(F.count_if(~F.col("quarantined")).alias("cards"), F.count_if("quarantined").alias("held"))
+    j = paths.select("path").distinct().join(states.select("path", "status"), "path", "left").join(c, "path", "left").join(ranks.groupBy("path").agg(F.min("rank").alias("rank")), "path", "left")
+    none = F.coalesce("cards", F.lit(0)) == 0
+    lost = F.when(F.coalesce("status", F.lit("missing")) != "indexed", "INDEX").when(none & (F.coalesce("held", F.lit(0)) > 0), "RED_TEAM").when(none, "CARDS").when(F.col("rank").isNull(), "RANK")
+    return j.select("path", lost.alias("lost_at"), F.when(lost.isNull(), F.col("rank")).alias("rank"))
+
+
 # Fixed value: the least gain in modularity that counts as one.
 GAIN = 1e-12
 

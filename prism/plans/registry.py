@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prism.plans import graphs, increments, retrieval, searches, structural, upkeep
+from prism.plans import graphs, increments, indexing, retrieval, searches, structural, upkeep
 
-_MODULES = (increments, structural, retrieval, searches, graphs, upkeep)
+_MODULES = (increments, structural, retrieval, searches, graphs, indexing, upkeep)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
 
