@@ -233,10 +233,11 @@ GAIN = 1e-12
 def communities(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
     """(node, community): communities of high modularity, named by their least node. edges: (a, b, weight), either way round.
 
-    Modularity is raised level by level with rounds of joins. In a round one half of the nodes (by a hash of node and round)
-    each go to the neighbouring community where modularity gains most, the least name on ties; as the other half stays, two
-    nodes never swap. A round that does not raise the modularity of the whole is taken back, and two such rounds end the
-    level; then communities become the nodes of the next. No component is gathered in a task, and the order of the edges
+    Modularity is raised level by level with rounds of joins. In a round nodes go to the neighbouring community where
+    modularity gains most, the least name on ties, in one round only to names below their own and in the next only to names
+    above, so that two nodes never swap; every other pair of rounds moves but half of the nodes (by a hash of node and round).
+    A round that does not raise the modularity of the whole is taken back, and four such rounds in a row end the level; then
+    communities become the nodes of the next. No component is gathered in a task, and the order of the edges
     does not matter. Null ends are left out; loops count to their node; an empty table gives no row.
     """
     e = edges.where("a is not null and b is not null and weight > 0").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("weight").alias("w"))
@@ -248,7 +249,7 @@ def communities(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
         degree = level.select(F.col("a").alias("v"), "w").union(level.select("b", "w")).groupBy("v").agg(F.sum("w").alias("k"))
         of = cut(degree.withColumn("c", F.col("v")))
         best, idle, turn, moved = _modularity(level, of, total, resolution), 0, 0, False
-        while idle < 2:
+        while idle < 4:
             after = cut(_moved(both, of, total, resolution, turn))
             now = _modularity(level, after, total, resolution)
             turn += 1
@@ -275,8 +276,8 @@ def _modularity(level: DataFrame, of: DataFrame, total: float, resolution: float
 
 
 def _moved(both: DataFrame, of: DataFrame, total: float, resolution: float, turn: int) -> DataFrame:
-    """(v, k, c) after the half of the nodes whose turn it is has gone to its best neighbouring community."""
-    mine = of.where(F.pmod(F.xxhash64("v", F.lit(turn // 2)) + turn, F.lit(2)) == 0)
+    """(v, k, c) after the nodes whose turn it is have gone to their best neighbouring community of the turn's direction."""
+    mine = of if turn % 4 < 2 else of.where(F.pmod(F.xxhash64("v", F.lit(turn // 4)), F.lit(2)) == 0)
     near = both.join(mine.select(F.col("v").alias("a")), "a", "left_semi").join(of.select(F.col("v").alias("b"), "c"), "b").groupBy(F.col("a").alias("v"), "c").agg(F.sum("w").alias("w"))
     # the own community is always a choice, be there a link into it or not
     choices = near.union(mine.select("v", "c", F.lit(0.0))).groupBy("v", "c").agg(F.sum("w").alias("w"))
@@ -284,6 +285,7 @@ def _moved(both: DataFrame, of: DataFrame, total: float, resolution: float, turn
     j = choices.join(mass, "c").join(mine.select("v", "k", F.col("c").alias("own")), "v")
     stays = F.col("c") == F.col("own")
     worth = F.col("w") - resolution * (F.col("mass") - F.when(stays, F.col("k")).otherwise(0.0)) * F.col("k") / (2 * total)
-    pick = j.groupBy("v").agg(F.min(F.struct((-worth).alias("u"), "c")).alias("m"), F.max(F.when(stays, worth)).alias("own_worth"))
+    onward = F.col("c") < F.col("own") if turn % 2 == 0 else F.col("c") > F.col("own")
+    pick = j.groupBy("v").agg(F.min(F.when(onward, F.struct((-worth).alias("u"), "c"))).alias("m"), F.max(F.when(stays, worth)).alias("own_worth"))
     go = pick.where(-F.col("m.u") > F.col("own_worth") + GAIN).select("v", F.col("m.c").alias("to"))
     return of.join(go, "v", "left").select("v", "k", F.coalesce("to", "c").alias("c"))

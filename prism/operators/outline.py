@@ -17,7 +17,7 @@ from prism.functions.text import suffixes
 
 # Tags and attributes the language knows.
 TAGS = frozenset("function method class interface enum type variable constant field module constructor property component namespace trait struct import call arrow lambda closure".split())
-ATTRIBUTES = frozenset("name path kind signature exported doc params line endLine callable isMethod alias hasDoc parent".split())
+ATTRIBUTES = frozenset("name path kind signature exported doc params line endLine callable isMethod alias hasDoc parent declaration".split())
 CALLABLE_TAGS = ("function", "method", "arrow", "lambda", "closure", "constructor")
 
 
@@ -189,6 +189,11 @@ def _matches(step: Step) -> Column:
     return c
 
 
+def declares(tag: Column, name: Column) -> Column:
+    """The node declares a name, where an import or a call only mentions it."""
+    return name.isNotNull() & (name != "") & ~tag.isin("import", "call")
+
+
 def select(nodes: DataFrame, query: str) -> DataFrame:
     """The nodes a path query finds, each once."""
     found = None
@@ -209,8 +214,8 @@ def nodes(symbols: DataFrame) -> DataFrame:
     kind = F.lower(F.trim("kind"))
     s = symbols.where("path is not null and id is not null").select("path", "id", "parent_id", "seq", "name", kind.alias("tag"), "start_line", "end_line", "signature", "params", "doc", "exported", "alias_of").distinct()
     w = Window.partitionBy("path").orderBy("start_line", F.desc("end_line"), "seq", "id")
-    s = s.withColumn("pre", F.row_number().over(w))
-    names = {"name": "name", "kind": "tag", "signature": "signature", "params": "params", "doc": "doc", "exported": "exported", "alias": "alias_of", "line": "start_line", "endLine": "end_line", "parent": "parent_id"}
+    s = s.withColumn("pre", F.row_number().over(w)).withColumn("declares", F.when(declares(F.col("tag"), F.col("name")), "true"))
+    names = {"name": "name", "kind": "tag", "signature": "signature", "params": "params", "doc": "doc", "exported": "exported", "alias": "alias_of", "line": "start_line", "endLine": "end_line", "parent": "parent_id", "declaration": "declares"}
     pairs = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), F.col(v).cast("string").alias("value")) for k, v in names.items()]), lambda p: p["value"].isNotNull())
     s = s.withColumn("attrs", F.map_from_entries(pairs))
     ups = s.select(F.col("path").alias("_p"), F.col("id").alias("_i"), F.col("pre").alias("parent_pre"))

@@ -81,10 +81,10 @@ def hits(rule: Rule, text: Column) -> Column:
     return n
 
 
-def findings(text: Column, profile: str = "standard") -> Column:
+def findings(text: Column, profile: str = "standard", rules: tuple[Rule, ...] = RULES) -> Column:
     """array<struct<rule, action, hits, excerpt>> of the rules that fire on a text, in rule order."""
     each = []
-    for r in RULES:
+    for r in rules:
         action = getattr(r, profile)
         if action != O:
             n = hits(r, text)
@@ -92,31 +92,31 @@ def findings(text: Column, profile: str = "standard") -> Column:
     return F.filter(F.array(*each), lambda x: x.isNotNull())
 
 
-def sanitised(text: Column, found: Column) -> Column:
+def sanitised(text: Column, found: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     """The text with what the sanitising rules found replaced, in rule order."""
     asks = F.transform(F.filter(found, lambda x: x["action"] == S), lambda x: x["rule"])
-    for r in RULES:
+    for r in rules:
         if r.replacement is not None:
             asked = F.array_contains(asks, r.id)
             text = F.when(asked, F.regexp_replace(text, r.pattern, r.replacement)).otherwise(text)
     return text
 
 
-def screen(cards: DataFrame, text: str = "text", profile: str = "standard") -> DataFrame:
+def screen(cards: DataFrame, text: str = "text", profile: str = "standard", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``cards`` with findings, verdict (pass, sanitize, quarantine) and clean text.
 
     Any quarantining finding wins, as does one that asks to sanitise by a rule that cannot; otherwise the text is
     sanitised and scanned again, and what is still found, or an empty rest, is quarantined. Null texts pass.
     """
     own = F.coalesce(F.col(text), F.lit(""))
-    able = [r.id for r in RULES if r.replacement is not None]
-    c = cards.withColumn("findings", findings(own, profile))
+    able = [r.id for r in rules if r.replacement is not None]
+    c = cards.withColumn("findings", findings(own, profile, rules))
     block = F.exists("findings", lambda x: (x["action"] == Q) | ((x["action"] == S) & ~x["rule"].isin(*able)))
     change = F.exists("findings", lambda x: x["action"] == S)
-    c = c.withColumn("clean", F.when(block, F.lit(None)).when(change, sanitised(own, F.col("findings"))).otherwise(F.col(text)))
+    c = c.withColumn("clean", F.when(block, F.lit(None)).when(change, sanitised(own, F.col("findings"), rules)).otherwise(F.col(text)))
     # only what was changed is scanned again; bound in a lambda, the clean text is worked out once
     def judged(clean: Column) -> Column:
-        again = findings(F.coalesce(clean, F.lit("")), profile)
+        again = findings(F.coalesce(clean, F.lit("")), profile, rules)
         left = F.exists(again, lambda x: x["action"].isin(S, Q)) | (F.trim(clean) == "")
         verdict = F.when(block, Q).when(change, F.when(left, Q).otherwise(S)).otherwise("pass")
         return F.struct(verdict.alias("verdict"), clean.alias("clean"))
@@ -131,6 +131,12 @@ def report(screened: DataFrame) -> DataFrame:
     return f.groupBy(F.col("f.rule").alias("rule")).agg(*[F.count_if(F.col("f.action") == a).alias(n) for a, n in ((G, "flagged"), (S, "sanitised"), (Q, "quarantined"))])
 
 
+def preview(cards: DataFrame, text: str = "text", profile: str = "standard", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(id, verdict, rules, excerpts) of the cards that anything is found in, nothing being written; rules and excerpts each once."""
+    s = screen(cards, text, profile, rules).where(F.size("findings") > 0)
+    return s.select("id", "verdict", F.array_distinct(F.transform("findings", lambda x: x["rule"])).alias("rules"), F.array_distinct(F.transform("findings", lambda x: x["excerpt"])).alias("excerpts"))
+
+
 def first_of_same(cards: DataFrame, text: str = "text") -> DataFrame:
     """One card of each path and normalised text: the first by id."""
     same = F.lower(F.regexp_replace(F.trim(F.col(text)), r"[\s\x{A0}\x{2000}-\x{200A}\x{3000}]+", " "))

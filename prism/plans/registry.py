@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prism.plans import calls, graphs, increments, indexing, retrieval, searches, structural, upkeep
+from prism.plans import calls, card_texts, graphs, increments, indexing, patterns_and_rules, retrieval, searches, structural, upkeep
 
-_MODULES = (increments, structural, retrieval, searches, graphs, calls, indexing, upkeep)
+_MODULES = (increments, structural, retrieval, searches, card_texts, graphs, calls, indexing, patterns_and_rules, upkeep)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
 
