@@ -157,6 +157,14 @@ class Quantiser:
         return np.take_along_axis(best, np.argsort(-np.take_along_axis(s, best, 1), 1, kind="stable"), 1)
 
 
+#: Rows of a table of keys that may be sent to every task (at 16 bytes each); larger ones are joined by exchange.
+SMALL = 1_000_000
+
+
+def small(keys: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(keys) if rows <= SMALL else keys
+
+
 _ROWS = T.StructType([T.StructField("g", T.IntegerType()), T.StructField("cell", T.LongType()), T.StructField("q", T.IntegerType()), T.StructField("vid", T.LongType()), T.StructField("data", T.BinaryType())])
 
 
@@ -178,7 +186,8 @@ def similar_pairs(vectors: DataFrame, k: int = 5, threshold: float = 0.85, seed:
         return spark.createDataFrame([], "id_a string, id_b string, similarity double")
     # repeated rows count once: only those whose id repeats are exchanged, by one small key
     again = cut(v.groupBy("vid", "copy").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("vid", "copy"))
-    if again.limit(1).count():
+    if repeated := again.count():
+        again = small(again, repeated)
         v = v.join(again, ["vid", "copy"], "left_anti").unionByName(cut(v.join(again, ["vid", "copy"], "left_semi").dropDuplicates(["vid", "copy"])))
     first = rest = None
     hot = v.groupBy("copy").agg(F.approx_count_distinct("vid").alias("c")).where(F.col("c") > k + 1).select("copy")
@@ -187,7 +196,7 @@ def similar_pairs(vectors: DataFrame, k: int = 5, threshold: float = 0.85, seed:
         first = cut(rows.withColumn("r", F.row_number().over(Window.partitionBy("copy").orderBy("id"))).where(F.col("r") <= k + 1))
         stays = first.select("copy", "vid")
         rest = cut(rows.join(stays, ["copy", "vid"], "left_anti"))
-        v = v.join(rest.select("vid"), "vid", "left_anti")
+        v = v.join(small(rest.select("vid"), rest.count()), "vid", "left_anti")
 
     quantisers, number = [], {}
     for g in groups:
@@ -245,8 +254,8 @@ def similar_pairs(vectors: DataFrame, k: int = 5, threshold: float = 0.85, seed:
 
     # hot cells, counted from the ids alone: blocks of queries meet blocks of codes
     sizes = cut(_hot_cells(v, shared, BLOCK))
-    if sizes.limit(1).count():
-        rows = rows.join(sizes.select("g", "cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("m")), ["g", "cell"], "left")
+    if cells := sizes.count():
+        rows = rows.join(small(sizes.select("g", "cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("m")), cells), ["g", "cell"], "left")
         m = F.coalesce("m", F.lit(1))
         mine = F.pmod(F.xxhash64("vid"), m).cast("int")
         blocks = F.transform(F.sequence(F.lit(0), m - 1), lambda o: F.when(F.col("q") == 1, F.struct(mine.alias("i"), o.alias("j"))).otherwise(F.struct(o.alias("i"), mine.alias("j"))))
