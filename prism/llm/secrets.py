@@ -50,6 +50,11 @@ KEYED = re.compile(
     r"(?:\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|(?!(?:Bearer|Basic)\b)([^\s\"'`,;(){}\[\]<>]+))",
     re.I,
 )
+_SIGN = re.compile(r"[:=]")
+# What every text that a pattern finds something in holds, in lower case but for the beginnings of issued tokens.
+_ENDS = ("pass", "password", "passwd", "passphrase", "passcode", "pwd", "secret", "token", "key", "base", "auth", "authorization", "credential", "credentials", "dsn", "login", "bearer", "string")
+_PREFIXES = ("AKIA", "ASIA", "AGPA", "AIDA", "AROA", "ANPA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "glptt-", "gldt-", "glrt-", "glcbt-", "glsoat-", "sk-", "k_live_", "k_test_", "npm_", "pypi-", "hf_", "xox", "xapp-", "AIza", "ya29.", "SG.", "key-", "dop_v1_", "shp", "SK", "lin_api", "dckr_pat", "sq0csp", "rubygems", "figd", "eyJ")
+_LOGIN_WORDS, _PROSE_WORDS = ("login", "credential", "account", "user"), ("pass", "secret", "token", "api", "access key", "pin", "credential")
 _BEFORE_NAME = re.compile(r"(?:[A-Za-z0-9]+[_.-]+)*([A-Za-z0-9]*)\Z")
 LOGIN = re.compile(r"\b(?:login|credentials?|account|user(?:name)?)\b\s*[:=]\s*[\"']?[\w.@-]+[\"']?\s*(?:/|:|\||,\s*(?:password|pw|pass)\b\s*[:=]?)\s*[\"']?([^\s\"'`<>,;()]+)", re.I)
 PROSE = re.compile(r"\b(?:pass(?:word|phrase|code|wd)|secret|token|api[ -]?key|access key|pin|credentials?)\s+(?:(?:is|was|are|of|to|as|being|set to|currently|now)\s+){0,2}[\"'`]?([^\s\"'`<>,;(){}=:]+)", re.I)
@@ -179,12 +184,13 @@ def find(text: str) -> list[tuple[int, int, str]]:
 def _known(text: str) -> list[tuple[int, int, str]]:
     """Credentials told by a form or by what stands beside them; they may overlap."""
     found: list[tuple[int, int, str]] = []
+    low = text.lower()
     for m in PRIVATE.finditer(text):
         body = re.sub(r"(?:^|\n)[ \t]*(?:\*|//|#)?[ \t]*|\\n|\s|[A-Za-z-]+: .*", "", m[1])
         body = re.sub(r"[^A-Za-z0-9+/=]", "", body)
         if len(body) >= 40 and not placeholder(_BODY.sub("", m[1]).replace("\n", " ")) and random_enough(body.rstrip("="), 0.7):
             found.append((m.start(1), m.end(1), "private key"))
-    for m in ISSUED.finditer(text):
+    for m in ISSUED.finditer(text) if any(p in text for p in _PREFIXES) else ():
         v = m[0]
         core = re.sub(r"^(?:AKIA|ASIA|AGPA|AIDA|AROA|ANPA|dop_v1_|[A-Za-z]{2,6}[-_.]|AIza)", "", v)
         if v.startswith("eyJ"):
@@ -198,11 +204,11 @@ def _known(text: str) -> list[tuple[int, int, str]]:
         elif placeholder(v) or not random_enough(core, 0.75) or not (core.isupper() and len(core) == 16 or re.search(r"\d|[A-Z].*[a-z]|[a-z].*[A-Z]", core)):
             continue
         found.append((m.start(), m.end(), "issued token"))
-    for m in URL.finditer(text):
+    for m in URL.finditer(text) if "://" in text and "@" in text else ():
         v = m[2]
         if not placeholder(v) and len(v) >= 4 and (_classes(v) >= 2 and random_enough(v, 0.7) or len(v) >= 12 and random_enough(v)) and not placeholder(m[1]):
             found.append((m.start(2), m.end(2), "password in url"))
-    for m in HEADER.finditer(text):
+    for m in HEADER.finditer(text) if "authorization" in low else ():
         v = m[2].rstrip(".")
         if placeholder(v) or len(v) < 8:
             continue
@@ -217,24 +223,10 @@ def _known(text: str) -> list[tuple[int, int, str]]:
         elif not random_enough(v) or _classes(v) < 2:
             continue
         found.append((m.start(2), m.start(2) + len(v), "authorisation"))
-    at = 0
-    while m := KEYED.search(text, at):
-        at = m.start() + 1
-        before = _BEFORE_NAME.search(text, max(0, m.start() - 120), m.start())
-        # within an identifier a name begins at a capital, after a part that does not
-        part = before[1].lstrip("0123456789")
-        if part and not (part[0].islower() and m[0][0].isupper()):
+    found += _keyed(text, low)
+    for pattern, kind, words in ((LOGIN, "login", _LOGIN_WORDS), (FLAG, "flag", None), (PROSE, "told in prose", _PROSE_WORDS)):
+        if not (any(w in low for w in words) if words else text[:1] == "-" or any(w in text for w in (" -", "\n-", "\t-", "\r-", "\f-", "\v-", "\x1c-", "\x1d-", "\x1e-", "\x1f-")) or not text.isascii()):
             continue
-        at = m.end()
-        v = m[m.lastindex]
-        start = m.start(m.lastindex)
-        if m.lastindex == 4:
-            v = v.rstrip(".,;:!?")
-        if _DIGEST_NAME.search(before[0] + text[m.start() : start]) or "://" in v:
-            continue
-        if live_password(v):
-            found.append((start, start + len(v), "credential by name"))
-    for pattern, kind in ((LOGIN, "login"), (FLAG, "flag"), (PROSE, "told in prose")):
         for m in pattern.finditer(text):
             v = m[1].rstrip(".,;:!?")
             if "://" not in v and live_password(v) and (pattern is not PROSE or _classes(v) >= 3 or alphabet(v) == 16):
@@ -242,6 +234,43 @@ def _known(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
+def _keyed(text: str, low: str) -> list[tuple[int, int, str]]:
+    """What a name of a credential is given. A name is looked for only before a sign that gives it something, where the text
+    ends as some name does; KEYED then reads name and value."""
+    found, at = [], 0
+    low_as_long = len(low) == len(text)  # where lower case takes other places, every sign is looked at
+    for sign in _SIGN.finditer(text):
+        i = sign.start()
+        if i < at:
+            continue
+        j = i
+        while j and text[j - 1] in " \t":
+            j -= 1
+        j -= j > 0 and text[j - 1] in "\"'`"
+        while j and text[j - 1].isdigit():
+            j -= 1
+        if not low.endswith(_ENDS, max(0, j - 32), j) and low_as_long:
+            continue
+        pos = max(at, j - 64)
+        while (m := KEYED.search(text, pos)) and m.start() < i:
+            pos = m.start() + 1
+            if _SIGN.search(text, m.start()).start() != i:
+                continue
+            before = _BEFORE_NAME.search(text, max(0, m.start() - 120), m.start())
+            # within an identifier a name begins at a capital, after a part that does not
+            part = before[1].lstrip("0123456789")
+            if part and not (part[0].islower() and m[0][0].isupper()):
+                continue
+            at = m.end()
+            v, start = m[m.lastindex], m.start(m.lastindex)
+            if m.lastindex == 4:
+                v = v.rstrip(".,;:!?")
+            if not _DIGEST_NAME.search(before[0] + text[m.start() : start]) and "://" not in v and live_password(v):
+                found.append((start, start + len(v), "credential by name"))
+            break
+    return found
+
+
 _ESCAPE = re.compile(r"\\u[0-9a-fA-F]{4}|\\.")
 _PLAIN = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
 
