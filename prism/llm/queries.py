@@ -114,7 +114,29 @@ o as (select a.pair_id as train_id, b.pair_id as held_id, b.sp as held_split, b.
 f as (select distinct train_id, held_id, held_split, source from o where c >= 0.8 * (s - c) - 1e-9)
 """
 
+_CLEAN = "regexp_replace(regexp_replace(lower({0}), '[\\s\ufeff]+', '', 'g'), '[?#].*$', '')"
+_HEAD = "'^(?:(?:git\\+)?[a-z]+://(?:[^/@]*@)?|[^/@:]+@)'"
+_URL = "'^(?:www\\.)?([^/:]+?)\\.?(?::\\d+)?[/:]+([^/]+)/+([^/]+?)(?:\\.git)?(?:/.*)?$'"
+
+
+def _place(column: str) -> str:
+    """(host, owner, name) of a repository as text h/o/n, host blank for owner/name alone; null where it cannot be read."""
+    c = _CLEAN.format(column)
+    hosted = f"(regexp_matches({c}, {_HEAD}) or regexp_matches({c}, '^[^/:]+\\.[^/:]+/[^/]+/[^/]')) and regexp_matches(regexp_replace({c}, {_HEAD}, ''), {_URL})"
+    full = f"regexp_extract(regexp_replace({c}, {_HEAD}, ''), {_URL}, ['h', 'o', 'n'])"
+    bare = f"regexp_extract({c}, '^/*([^/:@]+)/+([^/]+?)(?:\\.git)?(?:/.*)?$', ['o', 'n'])"
+    return f"case when {hosted} then {full}.h || '/' || {full}.o || '/' || {full}.n when {bare}.n <> '' then '/' || {bare}.o || '/' || {bare}.n end"
+
+
+_TORN = f"""with recursive rp as (select distinct repo_id, {_place("url")} as p, {_place("mirror_of")} as m from repos where repo_id is not null),
+k as (select repo_id, 'p/' || p as k from rp where p is not null union select repo_id, 'o/' || regexp_extract(p, '^(.*)/[^/]*$', 1) from rp where p is not null union select repo_id, 'p/' || m from rp where m is not null),
+r as (select distinct repo_id as a, repo_id as b from rp union select r.a, y.repo_id from r join k x on x.repo_id = r.b join k y on y.k = x.k), c as (select a as repo_id, min(b) as first_repo_id from r group by 1),
+w as (select p as n, first_repo_id from rp join c using (repo_id) where p is not null union all select regexp_replace(p, '^[^/]*', ''), first_repo_id from rp join c using (repo_id) where p is not null), kn as (select n, min(first_repo_id) as first_repo_id from w group by 1),
+q as (select distinct pair_id, {_SPLIT.format("split")} as sp, {_place("repo")} as n from pairs where pair_id is not null), j as (select pair_id, sp, first_repo_id from q join kn using (n))
+select distinct first_repo_id, pair_id from j where first_repo_id in (select first_repo_id from j where sp is not null group by 1 having count(distinct sp) > 1)"""
+
 ORACLE = {
+    "p5_found": _TORN,
     "p4_found": _OVERLAPS + "select distinct least(train_id, held_id) as pair_id_a, greatest(train_id, held_id) as pair_id_b from f",
     "p4_overlaps_by_split": _OVERLAPS + "select held_split, source, count(*) as overlaps, count(distinct held_id) as held_records, count(distinct train_id) as train_records from f group by 1, 2",
     "p7_found": """
