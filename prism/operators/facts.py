@@ -8,6 +8,7 @@ expression) is reported as such.
 from __future__ import annotations
 
 import ast
+import hashlib
 import re
 import warnings
 from collections.abc import Iterator
@@ -241,3 +242,142 @@ def exports_of(texts: DataFrame) -> DataFrame:
     named = one.select("path", F.regexp_extract("p", r"([\w$]+)$", 1).alias("name"), F.regexp_extract("p", r"^(?:type )?([\w$]+)", 1).alias("local"))
     default = t.select("path", F.lit("default").alias("name"), F.explode(F.regexp_extract_all("content", F.lit(r"(?m)^[ \t]*export\s+default\s+([A-Za-z_$][\w$]*)\s*;?[ \t]*$"), F.lit(1))).alias("local"))
     return named.unionByName(default).distinct()
+
+
+# ---- outlines of Python: callables, bodies, shapes
+
+
+def _body_kind(body: list[ast.stmt]) -> tuple[str, int]:
+    """(kind, statements) of a body: empty, comment-only, throw-only, return-literal or real; a docstring is no statement."""
+    own = [b for b in body if not (isinstance(b, ast.Expr) and isinstance(b.value, ast.Constant) and isinstance(b.value.value, str))]
+    n = len(own)
+    if not own:
+        return "comment-only" if body else "empty", 0
+    if all(isinstance(b, ast.Pass) or isinstance(b, ast.Expr) and isinstance(b.value, ast.Constant) and b.value.value is ... for b in own):
+        return "empty", n
+    if n == 1 and isinstance(own[0], ast.Raise):
+        return "throw-only", 1
+    if n == 1 and isinstance(own[0], ast.Return) and (own[0].value is None or isinstance(own[0].value, ast.Constant)):
+        return "return-literal", 1
+    return "real", n
+
+
+def _shape(node: ast.AST) -> tuple[str, int]:
+    """(digest, nodes) of a tree in which names and literals count alike, while operators and the build of it do not; bottom-up."""
+    parts, n = [type(node).__name__], 1
+    if isinstance(node, ast.Constant):
+        return hashlib.sha256(b"LIT").hexdigest()[:16], 1
+    if isinstance(node, (ast.Name, ast.arg, ast.alias)):
+        parts = ["ID"]
+    for child in ast.iter_child_nodes(node):
+        if isinstance(child, (ast.expr_context,)):
+            continue
+        digest, k = _shape(child)
+        parts.append(digest)
+        n += k
+    return hashlib.sha256(" ".join(parts).encode()).hexdigest()[:16], n
+
+
+def _outline(path: str, text: str) -> list[tuple] | None:
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            tree = ast.parse(text.removeprefix("﻿"))
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return None
+    rows: list[list] = []
+
+    def add(node: ast.AST, tag: str, name: str, up: int | None, attrs: dict[str, str]) -> int:
+        rows.append([path, len(rows) + 1, 0, up, tag, name, {"name": name, "line": str(node.lineno), "endLine": str(node.end_lineno), **attrs}])
+        return len(rows)
+
+    def walk(node: ast.AST, up: int | None, names: list[str], in_class: bool) -> None:
+        for child in ast.iter_child_nodes(node):
+            if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda)):
+                a = child.args
+                params = ast.unparse(a)
+                base = getattr(child, "name", "")
+                returns = ast.unparse(child.returns) if getattr(child, "returns", None) else ""
+                full = ".".join([*names, base]) if base else ""
+                kind, n = _body_kind(child.body) if base else ("real", 1)
+                shape, size = _shape(child)
+                body = hashlib.sha256(" ".join(_shape(b)[0] for b in (child.body if base else [child.body])).encode()).hexdigest()[:16]
+                attrs = {"params": params, "signature": f"{base}({params})" + (f":{returns}" if returns else ""), "signatureHash": hashlib.sha256(f"({params}):{returns}".encode()).hexdigest()[:16], "bodyKind": kind, "statements": str(n), "shape": shape, "shapeNodes": str(size), "bodyShape": body, "callable": "true"}
+                attrs |= {"returns": returns} if returns else {}
+                attrs |= {"doc": d} if base and (d := ast.get_docstring(child)) else {}
+                own = add(child, "method" if base and in_class else "function" if base else "lambda", full, up, attrs)
+                walk(child, own, [*names, base] if base else names, False)
+                rows[own - 1][2] = len(rows)
+            elif isinstance(child, ast.ClassDef):
+                own = add(child, "class", ".".join([*names, child.name]), up, {"shape": _shape(child)[0]} | ({"doc": d} if (d := ast.get_docstring(child)) else {}))
+                walk(child, own, [*names, child.name], True)
+                rows[own - 1][2] = len(rows)
+            else:
+                walk(child, up, names, in_class and isinstance(child, (ast.If, ast.Try, ast.With)))
+
+    walk(tree, None, [], False)
+    return [tuple(r) for r in rows]
+
+
+def python_outlines(texts: DataFrame) -> DataFrame:
+    """(path, pre, end_pre, parent_pre, tag, name, attrs) of the classes and callables of Python texts: parameters, returns, signature and
+    its digest, the kind of the body with its statements, and digests of shape in which names and literals count alike. Texts
+    that do not parse have none."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [r for path, text in zip(f["path"], f["content"], strict=True) for r in _outline(path, text) or []]
+            yield pd.DataFrame(rows, columns=["path", "pre", "end_pre", "parent_pre", "tag", "name", "attrs"]).astype({"parent_pre": "Int64"})
+
+    t = texts.where("path like '%.py' and content is not null").select("path", "content").distinct()
+    return t.mapInPandas(run, "path string, pre int, end_pre int, parent_pre int, tag string, name string, attrs map<string,string>")
+
+
+def component_of(path: str) -> str:
+    """The name of the symbol that a single-file component stands for: that of its file, in capitals."""
+    base = re.sub(r"\.[^.]*$", "", path.rpartition("/")[2])
+    return "".join(w[:1].upper() + w[1:] for w in re.split(r"[^A-Za-z0-9]+", base) if w)
+
+
+def python_types(texts: DataFrame) -> DataFrame:
+    """(path, scope, name, type, origin) of what annotations say: parameters and variables of a function, fields of a class, returns. One
+    plain class or nothing; an optional counts as what it holds."""
+
+    def one(a: ast.expr | None) -> str | None:
+        if isinstance(a, ast.Constant) and isinstance(a.value, str):
+            try:
+                a = ast.parse(a.value, mode="eval").body
+            except SyntaxError:
+                return None
+        if isinstance(a, ast.BinOp) and isinstance(a.op, ast.BitOr):
+            sides = [x for x in (a.left, a.right) if not (isinstance(x, ast.Constant) and x.value is None)]
+            return one(sides[0]) if len(sides) == 1 else None
+        if isinstance(a, ast.Subscript) and ast.unparse(a.value).split(".")[-1] == "Optional":
+            return one(a.slice)
+        return ast.unparse(a) if isinstance(a, (ast.Name, ast.Attribute)) else None
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for path, text in zip(f["path"], f["content"], strict=True):
+                try:
+                    tree = ast.parse(text.removeprefix("﻿"))
+                except (SyntaxError, ValueError, RecursionError, MemoryError):
+                    continue
+                stack = [(tree, "")]
+                while stack:
+                    node, scope = stack.pop()
+                    if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+                        scope = f"{scope}.{node.name}" if scope else node.name
+                    if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
+                        rows += [(path, scope, x.arg, t, "parameter") for x in (*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs) if (t := one(x.annotation))]
+                        rows += [(path, scope, "", t, "return")] if (t := one(node.returns)) else []
+                    elif isinstance(node, ast.AnnAssign) and (t := one(node.annotation)):
+                        field = isinstance(node.target, ast.Attribute) and isinstance(node.target.value, ast.Name) and node.target.value.id == "self"
+                        name = node.target.attr if field else node.target.id if isinstance(node.target, ast.Name) else None
+                        rows += [(path, scope.rpartition(".")[0] if field else scope, name, t, "property" if field else "variable")] if name else []
+                    stack += [(x, scope) for x in ast.iter_child_nodes(node)]
+            yield pd.DataFrame(rows, columns=["path", "scope", "name", "type", "origin"])
+
+    t = texts.where("path like '%.py' and content is not null").select("path", "content").distinct()
+    return t.mapInPandas(run, "path string, scope string, name string, type string, origin string")

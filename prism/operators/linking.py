@@ -294,3 +294,10 @@ def callees(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     known = symbols.select(F.col("id").alias("to_ref"), "name").dropDuplicates(["to_ref"])
     kind = F.when(F.col("kind") == "calls", "resolved").otherwise(F.substring_index("kind", ":", -1))
     return edges.where(F.col("kind").startswith("calls")).join(known, "to_ref", "left").select("source_path", "to_ref", kind.alias("kind"), "confidence", "lines", "name")
+
+
+def neighbors(edges: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(ref, direction, other, kind): callers and callees of each symbol or file together."""
+    a = callers(edges, symbols).select(F.col("to_ref").alias("ref"), F.lit("caller").alias("direction"), F.col("source_path").alias("other"), F.col("evidence").alias("kind"))
+    b = callees(edges, symbols).select(F.col("source_path").alias("ref"), F.lit("callee").alias("direction"), F.col("to_ref").alias("other"), "kind")
+    return a.unionByName(b)

@@ -7,6 +7,8 @@ the order of the candidates is a number that comes with the match: one equi-join
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -188,13 +190,13 @@ def psr_candidates(names: DataFrame, rules: DataFrame) -> DataFrame:
     return c.withColumn("_n", n).select(*names.columns, normal(F.concat_ws("/", "folder", F.concat("_c", F.lit(".php")))).alias("candidate"), F.col("_n").alias("nth"))
 
 
-def link_imports(found: DataFrame, files: DataFrame, assets: DataFrame | None = None, scope_parts: int = 0, roots: DataFrame | None = None, aliases: DataFrame | None = None, psr: DataFrame | None = None) -> DataFrame:
+def link_imports(found: DataFrame, files: DataFrame, assets: DataFrame | None = None, scope_parts: int = 0, roots: DataFrame | None = None, aliases: DataFrame | None = None, psr: DataFrame | None = None, packages: DataFrame | None = None) -> DataFrame:
     """(path, seq, line, specifier, kind, to, names, members) of every statement of ``imports`` and ``php_uses``.
 
     files: the indexed (path); assets: (path) of other files that exist. scope_parts: how many leading parts of a path
     name its workspace (0: one workspace for all). roots: (root) of packages, whose folder and src folder are roots of Python and PHP
     modules besides those of the workspace. aliases: (config, pattern, nth, target), config being a folder that its rules hold
-    for; psr: (scope, prefix, folder, nth, psr0). members: what of the names are modules of their own.
+    for; psr: (scope, prefix, folder, nth, psr0); packages: (name, root, manifest) of the workspace, which come after aliases. members: what of the names are modules of their own.
 
     Kinds: imports, imports:type, imports:asset, imports:reexport, imports:external, imports:dangling. Nothing is dropped.
     """
@@ -217,6 +219,15 @@ def link_imports(found: DataFrame, files: DataFrame, assets: DataFrame | None =
     else:
         aliased = None
 
+    if packages is not None:
+        bare = js.where("not relative").select(*key, "specifier")
+        if aliases is not None:
+            bare = bare.join(hits[-1].select(*key), key, "left_anti")
+        within = script_asks(package_bases(bare, packages), "base")
+        hits.append(first_match(within, offered, key, F.col("nth") * 100 + script_order()))
+        own = bare.join(packages.select(F.col("name").alias("_p")).distinct(), F.col("specifier").startswith(F.col("_p")) & ((F.length("specifier") == F.length("_p")) | (F.substr(F.col("specifier"), F.length("_p") + 1, F.lit(1)) == "/"))).select(*key).distinct().withColumn("aliased", F.lit(True))
+        aliased = own if aliased is None else aliased.unionByName(own).distinct()
+
     py = rows.where("lang = 'py'")
     dots = F.length(F.regexp_extract("specifier", r"^(\.*)", 1))
     up = F.array_join(F.array_repeat(F.lit(".."), F.greatest(dots - 1, F.lit(0))), "/")
@@ -278,3 +289,59 @@ def link_imports(found: DataFrame, files: DataFrame, assets: DataFrame | None =
 def edges_of(linked: DataFrame) -> DataFrame:
     """(source_path, to_ref, kind, lines): one edge for each source, target and kind, with its distinct lines in order."""
     return linked.groupBy(F.col("path").alias("source_path"), F.col("to").alias("to_ref"), "kind").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+
+
+def _targets(value: object) -> list[str]:
+    """Every path that a value of an exports map stands for, the conditions most useful for finding source first."""
+    if isinstance(value, str):
+        return [value]
+    if isinstance(value, list):
+        return [t for v in value for t in _targets(v)]
+    if isinstance(value, dict):
+        keys = sorted(value, key=lambda k: CONDITIONS.index(k) if k in CONDITIONS else len(CONDITIONS))
+        return [t for k in keys for t in _targets(value[k])]
+    return []
+
+
+def entries_of(manifest: str | None) -> list[tuple[str, str]]:
+    """(key, target) of a package.json in order: "." for the package itself, ./sub or a pattern with one * for what is within."""
+    try:
+        m = json.loads(manifest or "")
+    except ValueError:
+        return []
+    if not isinstance(m, dict):
+        return []
+    exports = m.get("exports")
+    inner = isinstance(exports, dict) and any(k.startswith(".") for k in exports)
+    out = [(k, t) for k, v in exports.items() for t in _targets(v)] if inner else [(".", t) for t in _targets(exports)]
+    return out + [(".", m[k]) for k in ("source", "module", "main", "types", "typings") if isinstance(m.get(k), str)]
+
+
+def package_bases(asked: DataFrame, packages: DataFrame) -> DataFrame:
+    """``asked`` (specifier, ..) with (base, nth) for each path that a workspace package says a bare specifier may be, build output traced
+    back to src. packages: (name, root, manifest: JSON text). An exact entry wins over patterns, of which the longest prefix counts;
+    what no entry names is looked for below the root and its src."""
+    entries = F.udf(entries_of, "array<struct<key:string,target:string>>")
+    scoped = F.col("specifier").startswith("@")
+    name = F.when(scoped, F.substring_index("specifier", "/", 2)).otherwise(F.substring_index("specifier", "/", 1))
+    a = asked.withColumn("_name", name).withColumn("_sub", F.expr("substring(specifier, length(_name) + 2)"))
+    first = packages.groupBy(F.col("name").alias("_name")).agg(F.min(F.struct("root", "manifest")).alias("p"))
+    j = a.join(first, "_name").withColumn("_key", F.when(F.col("_sub") == "", ".").otherwise(F.concat(F.lit("./"), "_sub"))).withColumn("_e", entries("p.manifest"))
+
+    def fits(e: Column) -> Column:
+        pre, post = F.substring_index(e["key"], "*", 1), F.substring_index(e["key"], "*", -1)
+        return F.when(e["key"].contains("*"), (F.length("_key") >= F.length(pre) + F.length(post)) & F.startswith(F.col("_key"), pre) & F.endswith(F.col("_key"), post)).otherwise(e["key"] == F.col("_key"))
+
+    j = j.withColumn("_e", F.filter("_e", fits))
+    rank = lambda e: F.when(e["key"].contains("*"), F.length(F.substring_index(e["key"], "*", 1))).otherwise(1 << 20)
+    j = j.withColumn("_best", F.array_max(F.transform("_e", rank))).withColumn("_e", F.filter("_e", lambda e: rank(e) == F.col("_best")))
+    caught = lambda e: F.substr(F.col("_key"), F.length(F.substring_index(e["key"], "*", 1)) + 1, F.length("_key") - F.length(e["key"]) + 1)
+    filled = F.transform("_e", lambda e: F.when(e["key"].contains("*"), F.replace(e["target"], F.lit("*"), caught(e))).otherwise(e["target"]))
+    own = F.when(F.col("_sub") == "", F.concat(filled, F.array(F.lit("index"), F.lit("src/index")))).when(F.size("_e") > 0, filled).otherwise(F.array(F.col("_sub"), F.concat(F.lit("src/"), "_sub")))
+    j = j.withColumn("_t", F.transform(own, lambda t: F.regexp_replace(t, r"^\./", "")))
+    inside = F.regexp_replace("_x", r"^[^/]+/", "")
+    j = j.select(*asked.columns, F.col("p.root").alias("_root"), F.posexplode("_t").alias("_n", "_x"))
+    built = F.substring_index("_x", "/", 1).isin(*OUTPUT) & F.col("_x").contains("/")
+    forms = F.when(built, F.array(F.concat(F.lit("src/"), inside), inside, F.col("_x"))).otherwise(F.array("_x"))
+    k = j.select(*asked.columns, "_root", "_n", F.posexplode(forms).alias("_m", "_f"))
+    return k.select(*asked.columns, normal(F.concat_ws("/", F.nullif("_root", F.lit("")), "_f")).alias("base"), (F.col("_n") * 3 + F.col("_m")).alias("nth"))

@@ -229,6 +229,32 @@ def lane_of(hits: DataFrame, order: list[Column]) -> DataFrame:
     return hits.select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).alias("pos"), "key", "score")
 
 
+def federated(pages: DataFrame, weights: dict[str, float] | None = None, k: int = ranking.RRF_K) -> DataFrame:
+    """(key, score, best_score, found_by): the fused lists of several repositories fused again, keys told apart by repository.
+    pages: (repo, pos, key, score); weights by repository, 1 where none is named, 0 leaves one out."""
+    w = F.coalesce(F.try_element_at(F.create_map(*[x for r, v in weights.items() for x in (F.lit(r), F.lit(float(v)))]), F.col("repo")), F.lit(1.0)) if weights else F.lit(1.0)
+    order = F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("repo"))
+    names = pages.select("repo").distinct().select("repo", order.alias("lane_pos"))
+    rows = pages.join(F.broadcast(names), "repo")  # one row a repository that answers
+    return ranking.fuse(rows.select(F.col("repo").alias("lane"), "lane_pos", w.alias("weight"), "pos", F.concat_ws(":", "repo", "key").alias("key"), "score"), k)
+
+
+def hub_sync(vectors: DataFrame, root: str, neighbours: int = ranking.HUB_NEIGHBOURS) -> tuple[DataFrame, bool]:
+    """((id, mean), whether it was worked out now): hub means of (id, vector), kept under ``root`` by a fingerprint of the vectors; only
+    other vectors than those of the kept means are measured again. A folder is complete or not there (its _SUCCESS is last)."""
+    from prism.operators.store import fingerprint
+
+    spark = vectors.sparkSession
+    mark = fingerprint(vectors.select("id", "vector"), ["id", "vector"]).first()[0]
+    path = f"{root.rstrip('/')}/hub-{neighbours}-{mark}"
+    jvm = spark.sparkContext._jvm
+    done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        return spark.read.parquet(path), False
+    ranking.hub_means(vectors, neighbours).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path), True
+
+
 # ---- meaning and structure
 
 

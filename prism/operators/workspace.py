@@ -122,7 +122,8 @@ def expand(paths: DataFrame, globs: list[str]) -> DataFrame:
 
 
 def listing(spark: SparkSession, root: str, layers: list[tuple[str, list[Rule]]] | None = None) -> DataFrame:
-    """(path, size, mtime_ms, content) of the files under a folder, by path below it, less what is ignored; read where they lie."""
+    """(path, size, mtime_ms, content) of the files under a folder, by path below it, less what is ignored; read where they lie.
+    Files without a byte have no row: the reader of binary files leaves them out."""
     base = root.rstrip("/")
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     path = F.regexp_replace("path", r"^[a-z]+:/*" + re.escape(base.split(":", 1)[-1].lstrip("/")) + "/", "")

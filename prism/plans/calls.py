@@ -53,5 +53,19 @@ def a13_link_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.link_summary(e)
 
 
-QUERIES = {f.__name__: f for f in (x7_python_symbols, x8_call_sites, h2_call_edges, h4_callers, h5_callees, a13_link_summary)}
+def x1_python_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The callables of the Python texts by the kind of their bodies."""
+    n = facts.python_outlines(table(spark, sf_dir, "file_texts")).where("tag in ('function', 'method')")
+    return n.groupBy(F.col("attrs")["bodyKind"].alias("kind")).agg(F.count("*").alias("n"), F.countDistinct(F.col("attrs")["shape"]).alias("shapes"))
+
+
+def x11_python_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.python_types(table(spark, sf_dir, "file_texts")).groupBy("type", "origin").agg(F.count("*").alias("n"))
+
+
+def h6_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linking.neighbors(call_edges(spark, sf_dir), symbols(spark, sf_dir)).groupBy("ref", "direction").agg(F.count("*").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (x1_python_outlines, x11_python_types, h6_neighbors, x7_python_symbols, x8_call_sites, h2_call_edges, h4_callers, h5_callees, a13_link_summary)}
 ORACLE: dict[str, str] = {}

@@ -140,7 +140,35 @@ def v10_conjunction_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("path", "name", "start_line", F.round("score", 6).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (card_fields, a5_symbol_scores, v2_retrieve_page, v4_ranker_features, v6_symbol_search, a23_stages, v8_fused_search, v9_conjunction_search, v10_conjunction_query)}
+def v11_structural_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third page of twenty of a path query, by path and place."""
+    return paging.page(_structural(spark, sf_dir, "//method[@doc]"), paging.by_place("path", "pre"), paging.window(20, paging.encode_cursor(40))).rows.select("path", "pre", "name")
+
+
+def v13_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the index holds: files by language, the largest packages, symbols by kind, cards by channel."""
+    from prism.operators import maintenance
+
+    f = maintenance.current_files(table(spark, sf_dir, "files"))
+    s = table(spark, sf_dir, "symbols").where("id is not null").select("id", F.lower(F.trim("kind")).alias("kind")).distinct()
+    c = table(spark, sf_dir, "cards").where("id is not null").select("channel", "id").distinct()
+    part = lambda df, what, by: df.groupBy(by.alias("name")).agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "name", "n")
+    packages = part(f.where("package_root is not null"), "package", F.col("package_root")).orderBy(F.desc("n"), "name").limit(12)
+    return part(f, "language", F.lower(F.trim("language"))).unionByName(packages).unionByName(part(s, "kind", F.col("kind"))).unionByName(part(c, "channel", F.col("channel")))
+
+
+def h21_federated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest symbol cards of each owner's repositories, fused over owners; one owner counts double."""
+    from pyspark.sql import Window
+
+    q = F.array(*[F.lit(x) for x in asked_vector(spark, sf_dir)])
+    v = vectors(spark, sf_dir, "symbols").select(F.substring_index("id", "/", 1).alias("repo"), F.col("id").alias("key"), search.dot(F.col("vector"), q).alias("score"))
+    pos = F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("score"), "key"))
+    pages = v.withColumn("pos", pos).where("pos <= 10")
+    return search.federated(pages, {"hetare": 2.0}).select("key", F.round("score", 9).alias("score"), F.round("best_score", 6).alias("best_score"), F.array_join("found_by", ",").alias("found_by"))
+
+
+QUERIES = {f.__name__: f for f in (v11_structural_page, v13_explain, h21_federated, card_fields, a5_symbol_scores, v2_retrieve_page, v4_ranker_features, v6_symbol_search, a23_stages, v8_fused_search, v9_conjunction_search, v10_conjunction_query)}
 
 _OK = "vector is not null and len(vector) = dims and len(list_filter(vector, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(vector, lambda x: x <> 0)) > 0 and id is not null"
 _U = f"""vu as (select channel, id, group_key, list_transform(vector, lambda x: x::double / sqrt(list_dot_product(vector::double[], vector::double[]))) as u from (select distinct channel, id, group_key, vector from card_vectors where model = '{MODEL}' and {_OK})),
@@ -186,6 +214,10 @@ ORACLE = {
  union all select 2, 'structural', 1.0, row_number() over (order by path, pre), path || '#' || name, null from (select * from nodes where tag = 'method' and doc is not null order by path, pre limit 21)),
 o as (select *, row_number() over (partition by lane order by pos) as r from (select i, lane, w, key, min(pos) as pos, arg_min(s, pos) as s from l group by 1, 2, 3, 4))
 select key, round(sum(w / (60 + r)), 9) as score, round(max(s), 6) as best_score, string_agg(lane, ',' order by i) as found_by from o group by 1""",
+    "v11_structural_page": _NODES + "select path, pre, name from nodes where tag = 'method' and doc is not null order by path, pre limit 20 offset 40",
+    "v13_explain": """with f as (select * from (select *, row_number() over (partition by path order by seen_at desc, loaded_at desc) as rn from files where content_hash is not null and path is not null) where rn = 1)
+select 'language' as what, lower(trim(language)) as name, count(*) as n from f group by 2 union all (select 'package', package_root, count(*) from f where package_root is not null group by 2 order by 3 desc, 2 limit 12) union all select 'kind', kind, count(*) from (select distinct id, lower(trim(kind)) as kind from symbols where id is not null) group by 2 union all select 'channel', channel, count(*) from (select distinct channel, id from cards where id is not null) group by 2""",
+    "h21_federated": f"with {_U}, s as (select string_split(id, '/')[1] as repo, id, list_dot_product(u, q) as s from vu, vq where channel = 'symbols'), r as (select *, row_number() over (partition by repo order by s desc, id) as p from s) select repo || ':' || id as key, round(case when repo = 'hetare' then 2.0 else 1.0 end / (60 + p), 9) as score, round(s, 6) as best_score, repo as found_by from r where p <= 10",
     "v9_conjunction_search": _METHODS + f"""{_D}, l as (select channel, s, id, key from k where pos <= 500 and exists (select 1 from m where {_MEET})), o as (select channel, key, row_number() over (partition by channel order by s desc, id) as r from (select channel, key, max(s) as s, arg_min(id, (-s, id)) as id from l where channel in ('symbols', 'docs') group by 1, 2))
 select key, round(sum(1 / (60 + r)), 9) as score, string_agg(channel, ',' order by channel desc) as found_by from o group by 1""",
     "v10_conjunction_query": _METHODS + f"{_D} select m.path, m.name, m.start_line, round(max(s), 6) as score from m join k on {_MEET} where channel = 'symbols' and pos <= 500 group by m.path, m.pre, m.name, m.start_line",

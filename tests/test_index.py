@@ -318,3 +318,96 @@ def test_only_allowed_fields_pass(spark):
     got = {r["i"]: (r["n"], r["t"], r["f"]) for r in telemetry.scrubbed(df, {"n": 100, "t": "token", "f": "flag"}).collect()}
     none = (None, None, None)
     assert got == {0: (3.0, "ok.token", True), 1: none, 2: none, 3: none, 9: none, 10: none}
+
+
+# ---- what is around them
+
+
+def test_outlines_of_python(spark):
+    from prism.operators import facts
+
+    a = "class K:\n    def one(self, x: int, *a) -> str:\n        '''Doc.'''\n        return x + 1\n    def two(self): ...\n    def three(self): raise E\n    def four(self): return 3\ndef five(y, *a):\n    return y + 2\n"
+    b = "class L:\n    def uno(self, zed: int, *q) -> str:\n        '''Other.'''\n        return zed + 9\n"
+    t = spark.createDataFrame([("a.py", a), ("b.py", b), ("c.py", "def ("), ("d.ts", a)], "path string, content string")
+    got = {r["name"]: r for r in facts.python_outlines(t).collect()}
+    assert [got[n]["attrs"]["bodyKind"] for n in ("K.one", "K.two", "K.three", "K.four")] == ["real", "empty", "throw-only", "return-literal"]
+    assert got["K.one"]["attrs"]["signature"] == "one(self, x: int, *a):str" and got["K.one"]["attrs"]["shape"] == got["L.uno"]["attrs"]["shape"] != got["five"]["attrs"]["shape"]
+    assert (got["K"]["pre"], got["K"]["end_pre"], got["K.two"]["parent_pre"], got["K.one"]["tag"], got["five"]["tag"]) == (1, 5, 1, "method", "function")
+    types = spark.createDataFrame([("t.py", "class A:\n    x: B\n    def f(self, p: 'C', q: D | None, r: Optional[E], s: list[F], u: G | H) -> I.J:\n        self.y: K = 1\n        z: L = 2\n")], "path string, content string")
+    assert rows(facts.python_types(types).select("scope", "name", "type", "origin")) == sorted([("A", "x", "B", "variable"), ("A.f", "p", "C", "parameter"), ("A.f", "q", "D", "parameter"), ("A.f", "r", "E", "parameter"), ("A.f", "", "I.J", "return"), ("A", "y", "K", "property"), ("A.f", "z", "L", "variable")], key=repr)
+    assert facts.component_of("src/my-card.vue") == "MyCard"
+
+
+def test_packages_by_their_manifests(spark):
+    from prism.operators import resolve
+
+    m = json.dumps({"exports": {".": {"default": "./dist/main.js", "source": "./src/main.ts"}, "./utils/*": "./dist/utils/*.js", "./utils/deep/*": "./lib/deep/*.js", "./exact": "./exact.ts"}, "main": "old.js"})
+    packages = spark.createDataFrame([("@w/a", "pkgs/a", m), ("b", "pkgs/b", "not json"), ("ab", "pkgs/ab", "{}")], "name string, root string, manifest string")
+    t = spark.createDataFrame([("u.ts", "\n".join(f"import x from '{s}'" for s in ("@w/a", "@w/a/utils/one", "@w/a/utils/deep/two", "@w/a/exact", "@w/a/none", "b", "b/sub", "bc")))], "path string, content string")
+    known = [("pkgs/a/src/main.ts",), ("pkgs/a/src/utils/one.ts",), ("pkgs/a/src/deep/two.ts",), ("pkgs/a/exact.ts",), ("pkgs/b/index.js",), ("pkgs/b/src/sub.ts",)]
+    out = resolve.link_imports(resolve.imports(t), spark.createDataFrame(known, "path string"), packages=packages)
+    assert {r["specifier"]: (r["kind"], r["to"]) for r in out.collect()} == {
+        "@w/a": ("imports", "pkgs/a/src/main.ts"), "@w/a/utils/one": ("imports", "pkgs/a/src/utils/one.ts"), "@w/a/utils/deep/two": ("imports", "pkgs/a/src/deep/two.ts"), "@w/a/exact": ("imports", "pkgs/a/exact.ts"),
+        "@w/a/none": ("imports:dangling", "@w/a/none"), "b": ("imports", "pkgs/b/index.js"), "b/sub": ("imports", "pkgs/b/src/sub.ts"), "bc": ("imports:external", "bc"),
+    }
+
+
+def test_hub_means_are_kept(spark, tmp_path):
+    v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.6, 0.8]), ("c", [0.0, 1.0])], "id string, vector array<double>")
+    one, fresh = search.hub_sync(v, str(tmp_path))
+    assert fresh and {r["id"]: round(r["mean"], 6) for r in one.collect()} == {"a": 0.3, "b": 0.7, "c": 0.4}
+    again, fresh = search.hub_sync(v.orderBy(F.desc("id")), str(tmp_path))
+    assert not fresh and rows(again) == rows(one)
+    assert search.hub_sync(v.limit(2), str(tmp_path))[1]
+
+
+def test_a_listing_leaves_out_what_is_ignored(spark, tmp_path):
+    for p, t in (("a.py", "x"), ("node/b.py", "y"), ("c.log", "z"), ("d/e.py", "12"), ("d/empty.py", "")):
+        (tmp_path / p).parent.mkdir(exist_ok=True)
+        (tmp_path / p).write_text(t)
+    got = workspace.listing(spark, str(tmp_path), [("", workspace.ignore_rules("node/\n*.log"))])
+    assert rows(got.select("path", "size")) == [("a.py", 1), ("d/e.py", 2)]
+
+
+def test_streams_are_applied_once(spark, tmp_path):
+    from prism.operators.incremental import IncrementalTarget
+    from prism.streaming.ingest import ingest
+
+    schema = "path string, digest string, seen timestamp"
+    put = lambda n, *r: spark.createDataFrame([(p, d, f"2025-01-0{s} 00:00:00") for p, d, s in r], "path string, digest string, s string").select("path", "digest", F.to_timestamp("s").alias("seen")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / n))
+    target = IncrementalTarget(spark, str(tmp_path / "t"))
+    go = lambda: ingest(spark.readStream.schema(schema).parquet(str(tmp_path / "in" / "*")), target, str(tmp_path / "cp"), "path", F.col("digest"), "seen").awaitTermination(120)
+    put("1", ("a", "x", 1), ("b", "y", 1))
+    go()
+    put("2", ("a", "x", 2), ("b", "z", 2), ("b", "z", 2), ("b", "late", 1))
+    go()
+    go()
+    assert rows(target.changes()) == [(0, "a", "x"), (0, "b", "y"), (1, "b", "z")]
+
+
+def test_deadlines_and_configuration(spark):
+    import time
+
+    from prism.session import ConfigError, DeadlineError, deadline, read_config
+
+    slow = F.udf(lambda x: time.sleep(3) or x, "long")
+    with pytest.raises(DeadlineError), deadline(spark, 0.5):
+        spark.range(40).select(slow("id")).collect()
+    with deadline(spark, 60):
+        assert spark.range(3).count() == 3
+    assert read_config('{"fusionK": 30, "channels": {"docs": {"weight": 0.5}}, "search": {"minScore": 0.2}}')["fusionK"] == 30
+    for bad in ("[", "[]", '{"x": 1}', '{"fusionK": -1}', '{"channels": {"a": {"weight": "1"}}}', '{"channels": {"a": 1}}', '{"search": {"other": 1}}', '{"include": [1]}'):
+        with pytest.raises(ConfigError):
+            read_config(bad)
+
+
+def test_tokens(spark):
+    import os
+
+    from prism.functions.tokens import token_count
+
+    file = "/opt/tokenizers/byte_bpe_50k.json"
+    if not os.path.exists(file):
+        pytest.skip("needs a tokenizer")
+    got = [r[0] for r in spark.createDataFrame([("hello world",), ("",), (None,)], "t string").select(token_count(F.col("t"), file)).collect()]
+    assert got[0] >= 2 and got[1] == 0 and got[2] in (None, -1)
