@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prism.functions.text import in_scope, words
-from prism.operators import graph, maintenance, outline, ranking, screen
+from prism.operators import graph, maintenance, outline, ranking, resolve, screen
 from prism.plans.graphs import QUERIES
 from prism.streaming.usage import fold
 
@@ -135,7 +135,7 @@ def test_relink_goes_on_through_reexports(spark):
 def test_imports_are_resolved_in_order(spark):
     t = spark.createDataFrame([("p/a.ts", "import { x } from './b.js';\nexport * from '../q/c';\nimport y from 'lib';\nimport './gone.js';\n"), ("p/m.py", "from .n import z\nfrom os import path\n")], "path string, content string")
     f = spark.createDataFrame([("p/b.ts",), ("p/b.js",), ("q/c/index.ts",), ("p/n.py",)], "path string")
-    got = {(r["source_path"], r["to_ref"]): r["kind"] for r in graph.link_imports(graph.imports(t), f).collect()}
+    got = {(r["source_path"], r["to_ref"]): r["kind"] for r in resolve.edges_of(resolve.link_imports(resolve.imports(t), f)).collect()}
     assert got == {
         ("p/a.ts", "p/b.ts"): "imports", ("p/a.ts", "q/c/index.ts"): "imports:reexport", ("p/a.ts", "lib"): "imports:external",
         ("p/a.ts", "./gone.js"): "imports:dangling", ("p/m.py", "p/n.py"): "imports", ("p/m.py", "os"): "imports:external",
