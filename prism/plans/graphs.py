@@ -69,12 +69,12 @@ def _file_ranks(spark: SparkSession, sf_dir: str, edges: DataFrame) -> DataFrame
 
 
 def h11_import_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _file_ranks(spark, sf_dir, _links(spark, sf_dir))
+    return _file_ranks(spark, sf_dir, _links(spark, sf_dir)).select("ref", F.round("score", 6).alias("score"))
 
 
 def h12_import_repo_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _links(spark, sf_dir)
-    return graph.repo_map(e, _file_ranks(spark, sf_dir, e), 1000)
+    return graph.repo_map(e, _file_ranks(spark, sf_dir, e), 1000).withColumn("score", F.round("score", 6))
 
 
 def _same_name(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +150,13 @@ _RANK = "\n".join(
     f"r{i + 1} as materialized (select n.ref, 0.15 / (select count(*) from n) + 0.85 * coalesce(sum(r.score / d.d), 0) as score from n left join e on e.to_ref = n.ref left join r{i} r on r.ref = e.source_path left join d on d.source_path = e.source_path group by 1),"
     for i in range(20)
 )
+_LINK = _E1 + ", e as (select source_path, to_ref from e1 where kind in ('imports', 'imports:type', 'imports:reexport', 'imports:asset')), n as (select source_path as ref from e union select to_ref from e union select path from files where path is not null), d as (select source_path, count(*) as d from e group by 1), r0 as materialized (select ref, 1.0 / (select count(*) from n) as score from n), " + _RANK + " z as (select max(score) as top from r20), rk as (select ref, score / top as score from r20, z)"
 ORACLE = {
+    "h10_import_relink_set": _E1.replace("with ", "with recursive ", 1) + """, ch as (select distinct path from files where has_syntax_errors = 1), v as (select path from ch union select e1.source_path from v join e1 on e1.to_ref = v.path and e1.kind = 'imports:reexport')
+select distinct source_path as path from e1 where (kind = 'imports:dangling' or kind in ('imports', 'imports:type', 'imports:reexport', 'imports:asset') and to_ref in (select path from v)) and source_path not in (select path from ch)""",
+    "h11_import_pagerank": _LINK + " select ref, round(score, 6) as score from rk",
+    "h12_import_repo_map": _LINK + """, i as (select to_ref as path, count(distinct source_path) as importers from e group by 1), x as (select ref as path, round(score, 6) as score, coalesce(importers, 0) as importers, row_number() over (order by score desc, coalesce(importers, 0) desc, ref) as k from rk left join i on i.path = rk.ref),
+y as (select *, sum(ceil((length(path) + 16) / 4)) over (order by k)::long as used from x) select path, score, importers, used from y where used <= 1000 or k = 1""",
     "import_statements": f"with {_STATEMENTS} select path, line, spec as specifier, re as reexport, ty as type_only from js where spec like '.%'",
     "h1_import_edges": _E1 + "select * from e1",
     "h8_dependencies": _E1 + "select source_path, to_ref, kind from e1 where kind in ('imports', 'imports:type', 'imports:reexport', 'imports:asset') and source_path in (select path from files)",

@@ -128,6 +128,7 @@ ORACLE = {
     "g9_preview": "select doc_id as id, case when trim(regexp_replace(text, '(?i)\\bstale (parser|graph)s?\\b', '[gone]', 'g')) = '' then 'quarantine' else 'sanitize' end as verdict, 'word-of-the-day' as rules, regexp_extract(text, '(?i)\\bstale (parser|graph)s?\\b') as excerpts from documents where regexp_matches(text, '(?i)\\bstale (parser|graph)s?\\b')",
     "a25_topology": _TY + f" select type, n as count, files, {_TOLD('pa')} as parents, {_TOLD('an')} as ancestors, {_TOLD('fi')} as fields from b",
     "m5_verify": _NODES + "select t as tag, (select count(*) from nodes where tag = t) as expected, (select count(*) from nodes where tag = t) as found from (values ('class'), ('function'), ('method'), ('constant')) v(t)",
+    "m7_audit": _NODES + "select tag as type, count(*) as count, null::varchar as candidate from nodes where tag not in ('class', 'function', 'method', 'constant') group by 1",
     "m6_golden": _NODES + ", x as (select tag, name, count(*) filter (where path like '%.py') as before, count(*) filter (where path like '%.php') as after from nodes group by 1, 2) select * from x where before <> after",
     "i13_emitted": """with recursive e as (select event_type as key, epoch_us(ts) // 1000 as t from events), r as (select key, min(t) as sent, null::bigint as prev from e group by 1 union all select r.key, (select min(e.t) from e where e.key = r.key and e.t - r.sent >= 86400000), r.sent from r where exists (select 1 from e where e.key = r.key and e.t - r.sent >= 86400000))
 select key, sent, (select count(*) from e where e.key = r.key and e.t <= r.sent and (r.prev is null or e.t > r.prev)) as events from r""",
