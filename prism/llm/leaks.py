@@ -146,6 +146,9 @@ def holds(item: np.ndarray, doc: np.ndarray, passage: int = PASSAGE, errors: int
 def parts_of(item: np.ndarray, doc: np.ndarray, shifts: np.ndarray, errors: int) -> list[np.ndarray]:
     """The parts of a document about the diagonals of its seeds; near ones are one part."""
     slack = len(item) // errors
+    low, high = int(shifts.min()), int(shifts.max())
+    if high - low <= len(item) + 2 * slack:
+        return [doc[max(0, low - slack) : high + len(item) + slack]]
     shifts = np.unique(shifts)
     breaks = np.flatnonzero(np.diff(shifts) > len(item) + 2 * slack) + 1
     return [doc[max(0, g[0] - slack) : g[-1] + len(item) + slack] for g in np.split(shifts, breaks)]
@@ -206,9 +209,10 @@ def find_leaks(items: DataFrame, docs: DataFrame, passage: int = PASSAGE, errors
     def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             pairs, owner = [], []
+            items, docs, shifts = (f[c].to_numpy() for c in ("item", "doc", "shifts"))
             for _, rows in f.groupby(["item_id", "item_mark"], sort=False).indices.items():
-                item = np.frombuffer(f["item"].iat[rows[0]], np.uint64)
-                parts = [(k, p) for k in rows for p in parts_of(item, np.frombuffer(f["doc"].iat[k], np.uint64), np.asarray(f["shifts"].iat[k]), errors)]
+                item = np.frombuffer(items[rows[0]], np.uint64)
+                parts = [(k, p) for k in rows for p in parts_of(item, np.frombuffer(docs[k], np.uint64), np.asarray(shifts[k]), errors)]
                 for (k, part), good in zip(parts, dense(item, [p for _, p in parts], passage, errors), strict=True):
                     if good:
                         pairs.append((item, part))
