@@ -13,6 +13,18 @@ from pyspark.sql import functions as F
 
 from prism.session import cut
 
+# Why a call stays unresolved.
+EXPRESSION = "receiver is an expression"
+PARAMETER = "a parameter of the enclosing function"
+LOST_IMPORT = "the import does not resolve"
+MODULE = "a module is not callable"
+NOT_DEFINED = "the imported name is not defined in the module"
+NOT_DECLARED = "not declared here or imported"
+NO_CLASS = "self used outside a class"
+NOT_MEMBER = "not a member of the class (inherited or dynamic)"
+NOT_IMPORTED_MEMBER = "not a member of the imported class (inherited or dynamic)"
+NOT_EXPORTED = "not exported by the imported module"
+NOT_REACHABLE = "receiver type unknown, no method of that name reachable by imports"
 # Kinds that hold members; names that the runtime of a language provides.
 CONTAINERS = ("class", "interface", "trait", "enum")
 SCRIPT_GLOBALS = (
@@ -98,7 +110,7 @@ def link_calls(calls: DataFrame, symbols: DataFrame, linked: DataFrame, exports:
     key = ["path", "seq"]
     calls = cut(calls)
     none = calls.where("receiver_kind is null")
-    done = [_settled(calls.where("receiver_kind = 'complex' or name is null"), "unresolved", F.col("name"), F.lit("receiver is an expression"))]
+    done = [_settled(calls.where("receiver_kind = 'complex' or name is null"), "unresolved", F.col("name"), F.lit(EXPRESSION))]
 
     # the class around a caller
     held = s.parents.join(s.all.where("container").select(F.col("id").alias("up"), F.col("name").alias("class_name")), "up").groupBy("id").agg(F.min(F.struct("depth", F.col("up").alias("class_id"), "class_name")).alias("c"))
@@ -115,7 +127,7 @@ def link_calls(calls: DataFrame, symbols: DataFrame, linked: DataFrame, exports:
     hidden = scopes.where(F.array_contains(F.regexp_extract_all("params", F.lit(r"([\p{L}_$][\p{L}\p{N}_$]*)"), F.lit(1)), F.col("name"))).select(*key, "depth", F.lit(None).cast("string").alias("found"), F.lit(1).alias("p"))
     lexical = cut(declared.unionByName(hidden).groupBy(*key).agg(F.min(F.struct("depth", "p", "found")).alias("m")).select(*key, "m.p", "m.found"))
     done.append(_settled(lexical.where("p = 0"), "symbol", F.col("found")))
-    done.append(_settled(calls.join(lexical.where("p = 1"), key, "left_semi"), "unresolved", F.col("name"), F.lit("a parameter of the enclosing function")))
+    done.append(_settled(calls.join(lexical.where("p = 1"), key, "left_semi"), "unresolved", F.col("name"), F.lit(PARAMETER)))
     none = none.join(lexical, key, "left_anti")
 
     # names that an import binds; the last statement that binds one counts
@@ -128,12 +140,12 @@ def link_calls(calls: DataFrame, symbols: DataFrame, linked: DataFrame, exports:
 
     got = cut(none.join(bound.withColumnRenamed("local", "name"), ["path", "name"]))
     done.append(_settled(got.where(outside), "external", F.concat_ws("#", "file", "imported")))
-    done.append(_settled(got.where(lost), "unresolved", F.col("name"), F.lit("the import does not resolve")))
+    done.append(_settled(got.where(lost), "unresolved", F.col("name"), F.lit(LOST_IMPORT)))
     here = got.where(~outside & ~lost)
-    done.append(_settled(here.where("imported = '*'"), "unresolved", F.col("name"), F.lit("a module is not callable")))
+    done.append(_settled(here.where("imported = '*'"), "unresolved", F.col("name"), F.lit(MODULE)))
     meant = _imported(here.where("imported <> '*'").select(*key, "name", "file", "imported", F.col("name").alias("local")), s)
     done.append(_settled(meant.where("target is not null"), "symbol", F.col("target")))
-    done.append(_settled(meant.where("target is null"), "unresolved", F.col("name"), F.lit("the imported name is not defined in the module")))
+    done.append(_settled(meant.where("target is null"), "unresolved", F.col("name"), F.lit(NOT_DEFINED)))
     none = none.join(got, key, "left_anti")
     built = is_builtin(F.col("path"), F.col("name"))
     done.append(_settled(none.where(built), "external", F.concat(F.lit("global#"), "name")))
@@ -143,14 +155,14 @@ def link_calls(calls: DataFrame, symbols: DataFrame, linked: DataFrame, exports:
     only = s.all.where("container and parent_id is null").groupBy(F.col("base_name").alias("name")).agg(F.count("*").alias("n"), F.min("id").alias("target")).where("n = 1")
     single = cut(fresh.join(only, "name").select(*key, "target"))
     done.append(_settled(single, "name", F.col("target")))
-    done.append(_settled(none.join(single, key, "left_anti"), "unresolved", F.col("name"), F.lit("not declared here or imported")))
+    done.append(_settled(none.join(single, key, "left_anti"), "unresolved", F.col("name"), F.lit(NOT_DECLARED)))
 
     # self
     me = calls.where("receiver_kind = 'self' and name is not null").join(classes, "caller", "left")
-    done.append(_settled(me.where("class_id is null"), "unresolved", F.col("name"), F.lit("self used outside a class")))
+    done.append(_settled(me.where("class_id is null"), "unresolved", F.col("name"), F.lit(NO_CLASS)))
     mine = me.where("class_id is not null").withColumn("full", F.concat_ws(".", "class_name", F.col("name"))).join(s.by_name.select("path", F.col("name").alias("full"), F.col("id").alias("target")), ["path", "full"], "left")
     done.append(_settled(mine.where("target is not null"), "symbol", F.col("target")))
-    done.append(_settled(mine.where("target is null"), "unresolved", F.col("name"), F.lit("not a member of the class (inherited or dynamic)")))
+    done.append(_settled(mine.where("target is null"), "unresolved", F.col("name"), F.lit(NOT_MEMBER)))
 
     # a named receiver: a module by its full name, what an import binds, the runtime, a class of the file, a guess
     named = calls.where("receiver_kind = 'name' and name is not null").withColumn("first", F.substring_index("receiver", ".", 1)).withColumn("rest", F.when(F.instr("receiver", ".") > 0, F.expr("substring(receiver, instr(receiver, '.') + 1)")))
@@ -161,17 +173,17 @@ def link_calls(calls: DataFrame, symbols: DataFrame, linked: DataFrame, exports:
     named = named.join(by_first, key, "left_anti")
     via = cut(whole.select(*key, "caller", "name", "first", "rest", "i_kind", "file", "imported", "members").unionByName(by_first.select(*key, "caller", "name", "first", "rest", "i_kind", "file", "imported", "members")))
     done.append(_settled(via.where(outside), "external", F.concat(F.col("file"), F.lit("#"), F.concat_ws(".", F.nullif("imported", F.lit("*")), "rest", "name"))))
-    done.append(_settled(via.where(lost), "unresolved", F.col("name"), F.lit("the import does not resolve")))
+    done.append(_settled(via.where(lost), "unresolved", F.col("name"), F.lit(LOST_IMPORT)))
     here = via.where(~outside & ~lost)
     stars = here.where("imported = '*'").select(*key, "name", "file", "rest")
     meant = _imported(here.where("imported <> '*'").select(*key, "name", "file", "imported", F.col("first").alias("local"), "rest", "members", "caller"), s)
     sub = meant.where("target is null").withColumn("sub", F.try_element_at("members", F.col("imported")))
-    done.append(_settled(sub.where("sub is null"), "unresolved", F.col("name"), F.lit("the imported name is not defined in the module")))
+    done.append(_settled(sub.where("sub is null"), "unresolved", F.col("name"), F.lit(NOT_DEFINED)))
     done.append(_in_file(stars.unionByName(sub.where("sub is not null").select(*key, "name", F.col("sub").alias("file"), "rest")), s))
     known = meant.where("target is not null").join(s.all.select(F.col("id").alias("target"), F.col("path").alias("t_path"), F.col("name").alias("t_name"), "container"), "target")
     members = known.where("container").withColumn("full", F.concat_ws(".", "t_name", "rest", "name")).join(s.by_name.select(F.col("path").alias("t_path"), F.col("name").alias("full"), F.col("id").alias("member")), ["t_path", "full"], "left")
     done.append(_settled(members.where("member is not null"), "symbol", F.col("member")))
-    done.append(_settled(members.where("member is null"), "unresolved", F.col("name"), F.lit("not a member of the imported class (inherited or dynamic)")))
+    done.append(_settled(members.where("member is null"), "unresolved", F.col("name"), F.lit(NOT_IMPORTED_MEMBER)))
     guesses = [known.where("not container").select(*key, "name", F.lit(None).cast("string").alias("not_in"))]
 
     runtime = is_builtin(F.col("path"), F.col("first"))
@@ -209,10 +221,10 @@ def _in_file(rows: DataFrame, s: Symbols) -> DataFrame:
     deep = rows.where("rest is not null").withColumn("want", F.substring_index("rest", ".", 1)).withColumn("tail", F.when(F.instr("rest", ".") > 0, F.expr("substring(rest, instr(rest, '.') + 1)"))).join(e, ["file", "want"], "left")
     owner = deep.where("target is not null").join(s.all.select(F.col("id").alias("target"), F.col("path").alias("t_path"), F.col("name").alias("t_name")), "target").withColumn("full", F.concat_ws(".", "t_name", "tail", "name"))
     owner = owner.join(s.by_name.select(F.col("path").alias("t_path"), F.col("name").alias("full"), F.col("id").alias("member")), ["t_path", "full"], "left")
-    missing = F.lit("not exported by the imported module")
+    missing = F.lit(NOT_EXPORTED)
     return reduce(DataFrame.unionByName, [
         _settled(plain.where("target is not null"), "symbol", F.col("target")), _settled(plain.where("target is null"), "unresolved", F.col("name"), missing), _settled(deep.where("target is null"), "unresolved", F.col("name"), missing),
-        _settled(owner.where("member is not null"), "symbol", F.col("member")), _settled(owner.where("member is null"), "unresolved", F.col("name"), F.lit("not a member of the imported class (inherited or dynamic)")),
+        _settled(owner.where("member is not null"), "symbol", F.col("member")), _settled(owner.where("member is null"), "unresolved", F.col("name"), F.lit(NOT_IMPORTED_MEMBER)),
     ])
 
 
@@ -244,7 +256,7 @@ def _guessed(rows: DataFrame, s: Symbols) -> DataFrame:
     near = rest.join(reduce(DataFrame.unionByName, hits), ["path", "name"]).where(other).select("path", "seq", "target") if hits else own.limit(0)
     near = cut(near)
     lost = rest.join(near, ["path", "seq"], "left_anti")
-    return _settled(own.unionByName(near), "name", F.col("target")).unionByName(_settled(lost, "unresolved", F.col("name"), F.lit("receiver type unknown, no method of that name reachable by imports")))
+    return _settled(own.unionByName(near), "name", F.col("target")).unionByName(_settled(lost, "unresolved", F.col("name"), F.lit(NOT_REACHABLE)))
 
 
 def _followed(found: DataFrame, s: Symbols) -> DataFrame:

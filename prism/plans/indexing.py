@@ -176,7 +176,7 @@ def s5_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workspace.decoded(t).select("path", "digest", "binary", "lossy", F.length("text").alias("n"))
 
 
-def p15_claimed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def channel_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = workspace.claimed(_paths(spark, sf_dir), {"scripts": r"\.[jt]s$", "tests": r"(^|/)tests?/", "config": r"\.json$"})
     return c.groupBy("channel").agg(F.count("*").alias("n"))
 
@@ -290,7 +290,7 @@ def a30_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "cards").where("id is not null and model is not null").select("channel", "id", "model").distinct().groupBy("model").agg(F.count("*").alias("cards")).orderBy(F.desc("cards"), "model")
 
 
-QUERIES = {f.__name__: f for f in (a20_precision_recall, j30_multiset_diff, a24_confusion, e1_own_queries, e1_relevant, e5_answers, w10_spread, e7_structure, s8_find_symbols, s11_find_like, s9_replace_units, u1_with_quarantined, u7_shadowed, i8_channel_sync, i10_to_refresh, j33_stale, h19_resolve_target, j26_package_of, a28_walk_summary, s3_kept, s4_expand, s5_decoded, p15_claimed, h20_closure, j27_assign, h14_by_folder, h15_by_imports, a31_dominant_directory, h16_misplaced, h12_map_symbols, h12_map_cost, h12_map_tree, j7_smallest_span, h18_propagated, j32_federated, v12_diagnose, a30_models)}
+QUERIES = {f.__name__: f for f in (a20_precision_recall, j30_multiset_diff, a24_confusion, e1_own_queries, e1_relevant, e5_answers, w10_spread, e7_structure, s8_find_symbols, s11_find_like, s9_replace_units, u1_with_quarantined, u7_shadowed, i8_channel_sync, i10_to_refresh, j33_stale, h19_resolve_target, j26_package_of, a28_walk_summary, s3_kept, s4_expand, s5_decoded, channel_claims, h20_closure, j27_assign, h14_by_folder, h15_by_imports, a31_dominant_directory, h16_misplaced, h12_map_symbols, h12_map_cost, h12_map_tree, j7_smallest_span, h18_propagated, j32_federated, v12_diagnose, a30_models)}
 
 _SY = "sy as (select distinct * replace (lower(trim(kind)) as kind) from symbols where path is not null and id is not null)"
 _GRP = "case {0} " + " ".join(f"when '{k}' then '{g}'" for k, g in evaluation.GROUPS.items()) + " end"
@@ -345,7 +345,7 @@ select tt.target, coalesce(how, 'none') as how, coalesce(found, 0) as found, cas
  and not (path like '%.json' and path not like '%/rank.json') and not regexp_matches(path, '^lib/(.*/)?card[^/]*\\.ts$') and not (path like 'hetare/core-base/%.js')""",
     "s4_expand": "select distinct path from files where (regexp_matches(path, '^(.*/)?src/[^/]*\\.ts$') or regexp_matches(path, '^[^/]+/[^/]+/lib/.+')) and not regexp_matches(path, '^(.*/)?[^/]*_test\\.[^/]*$') and not regexp_matches(path, '^(.*/)?c[^/]*\\.py$')",
     "s5_decoded": "select distinct path, sha256(content) as digest, contains(content[1:8000], chr(0)) as binary, false as lossy, length(regexp_replace(content, '^﻿', '')) as n from file_texts where path is not null and content is not null",
-    "p15_claimed": "select channel, count(distinct path) as n from (select 'scripts' as channel, path from files where regexp_matches(path, '\\.[jt]s$') union all select 'tests', path from files where regexp_matches(path, '(^|/)tests?/') union all select 'config', path from files where path like '%.json') group by 1",
+    "channel_claims": "select channel, count(distinct path) as n from (select 'scripts' as channel, path from files where regexp_matches(path, '\\.[jt]s$') union all select 'tests', path from files where regexp_matches(path, '(^|/)tests?/') union all select 'config', path from files where path like '%.json') group by 1",
     "h20_closure": f"with recursive {_SY}, e as (select distinct id, parent_id from sy where parent_id is not null), r as (select id as name, parent_id as reached from e union select r.name, e.parent_id from r join e on e.id = r.reached) select distinct name, reached from r where name <> reached",
     "j27_assign": f"with {_ASS} select path, fragment from sg",
     "a31_dominant_directory": f"""with {_SY}, m as (select distinct base_name as g, path from sy where base_name is not null), s as (select g, count(*) as files from m group by 1), u as (select g, d, count(*) as n from (select g, {_UPS.format("path")} as d from m) where d <> '' group by 1, 2),

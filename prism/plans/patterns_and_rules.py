@@ -21,7 +21,7 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outline.nodes(table(spark, sf_dir, "symbols"))
 
 
-def p21_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pattern_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pattern with a parameter, in the files of a corpus."""
     broken = table(spark, sf_dir, "files").where("has_syntax_errors = 1").select("path")
     p = patterns.compile_pattern(PATTERN)
@@ -88,7 +88,7 @@ def i14_scrubbed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.scrubbed(table(spark, sf_dir, "events").select("event_id", "props"), {"k": 50, "name": "token", "on": "flag"})
 
 
-def p17_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+def recent_use(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users by decayed use, less those that have as good as stopped."""
     from prism.operators import maintenance
 
@@ -96,9 +96,7 @@ def p17_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.recent(d, 1.0).select("user_id", F.round("score", 6).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (p21_pattern, query_builder, g7_merged_policy, g9_preview, a25_topology, m5_verify, m7_audit, m6_golden, i13_emitted, i14_scrubbed, p17_recent)}
-QUERIES["pattern_run"] = QUERIES.pop("p21_pattern")
-QUERIES["recent_use"] = QUERIES.pop("p17_recent")
+QUERIES = {f.__name__: f for f in (pattern_run, query_builder, g7_merged_policy, g9_preview, a25_topology, m5_verify, m7_audit, m6_golden, i13_emitted, i14_scrubbed, recent_use)}
 
 _SUF = "list_transform(range(1, len(string_split({0}, '.')) + 1), lambda i: array_to_string(list_slice(string_split({0}, '.'), i, 99), '.'))"
 _TY = _NODES.rstrip() + """, ty as (select path, pre, end_pre, parent_pre, tag as type from nodes), pa as (select c.type, p.type as k, count(*) as n from ty c join ty p on p.path = c.path and p.pre = c.parent_pre group by 1, 2),
