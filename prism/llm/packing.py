@@ -13,9 +13,11 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +53,8 @@ def spans(text: str, tokenizer: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 def cuts(text: str, tokenizer: str | None, capacity: int) -> list[tuple[int, int, int]]:
     """(start, stop, tokens) of the pieces of a text; together they are the whole text. One piece, unless too long."""
+    if tokenizer is None and (n := len(WORD.findall(text))) <= capacity:
+        return [(0, len(text), n)]  # places are not needed
     starts, _ = spans(text, tokenizer)
     n = len(starts)
     if n <= capacity:
@@ -75,21 +79,24 @@ def pieces(docs: DataFrame, capacity: int, tokenizer: str | None = None, id_col:
             rows = []
             for doc, text in zip(f["doc_id"], f["text"], strict=True):
                 text = text or ""
-                parts = cuts(text, tokenizer, capacity)
+                found = WORD.findall(text.lower()) if tokenizer is None and text.isascii() else None
+                # letter case changes no token of an ASCII text
+                parts = [(0, len(text), len(found))] if found is not None and len(found) <= capacity else cuts(text, tokenizer, capacity)
                 for k, (a, b, n) in enumerate(parts):
-                    tf = Counter(w for w in WORD.findall(text[a:b].lower()) if w[0].isalpha())
-                    hashed = Counter()
+                    tf = Counter(found if found is not None and len(parts) == 1 else WORD.findall(text[a:b].lower()))
+                    hashed: dict[int, int] = {}
                     for w, c in tf.items():
-                        hashed[_hash(w)] += c
+                        if w[0].isalpha():
+                            h = _hash(w)
+                            hashed[h] = hashed.get(h, 0) + c
                     rows.append((doc, k, len(parts), a, b, n, list(hashed), list(hashed.values())))
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "pieces", "start", "stop", "n_tokens", "terms", "tfs"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, _PIECES)
 
 
+@lru_cache(maxsize=1 << 18)
 def _hash(w: str) -> int:
-    import xxhash
-
     return xxhash.xxh32_intdigest(w) - (1 << 31)
 
 
