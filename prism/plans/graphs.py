@@ -69,12 +69,21 @@ def _file_ranks(spark: SparkSession, sf_dir: str, edges: DataFrame) -> DataFrame
 
 
 def h11_import_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _file_ranks(spark, sf_dir, _links(spark, sf_dir)).select("ref", F.round("score", 6).alias("score"))
+    return _file_ranks(spark, sf_dir, _links(spark, sf_dir))
+
+
+def h11_import_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ranks, rounded as the SQL beside it rounds."""
+    return h11_import_pagerank(spark, sf_dir).select("ref", F.round("score", 6).alias("score"))
 
 
 def h12_import_repo_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _links(spark, sf_dir)
-    return graph.repo_map(e, _file_ranks(spark, sf_dir, e), 1000).withColumn("score", F.round("score", 6))
+    return graph.repo_map(e, _file_ranks(spark, sf_dir, e), 1000)
+
+
+def h12_import_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return h12_import_repo_map(spark, sf_dir).withColumn("score", F.round("score", 6))
 
 
 def _same_name(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +122,7 @@ def h12_repo_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.repo_map(e, graph.in_degree(e).select("ref", F.col("importers").cast("double").alias("score")), 1000).select("path", "score", "importers", "used")
 
 
-QUERIES = {f.__name__: f for f in (import_statements, h1_import_edges, h8_dependencies, h9_dangling, a14_in_degree, a15_hub_modules, h13_communities, h7_dependents, h10_relink_set, h11_pagerank, h12_repo_map, h7_import_dependents, h10_import_relink_set, h11_import_pagerank, h12_import_repo_map)}
+QUERIES = {f.__name__: f for f in (import_statements, h1_import_edges, h8_dependencies, h9_dangling, a14_in_degree, a15_hub_modules, h13_communities, h7_dependents, h10_relink_set, h11_pagerank, h12_repo_map, h7_import_dependents, h10_import_relink_set, h11_import_pagerank, h11_import_ranks, h12_import_repo_map, h12_import_map)}
 
 # the statements of each language line by line, every candidate written out, the least that exists
 _NORM = "list_reduce(list_filter(string_split({0}, '/'), lambda x: x not in ('', '.')), lambda a, x: case when x = '..' then a[:-2] else list_append(a, x) end, []::varchar[])"
@@ -154,8 +163,8 @@ _LINK = _E1 + ", e as (select source_path, to_ref from e1 where kind in ('import
 ORACLE = {
     "h10_import_relink_set": _E1.replace("with ", "with recursive ", 1) + """, ch as (select distinct path from files where has_syntax_errors = 1), v as (select path from ch union select e1.source_path from v join e1 on e1.to_ref = v.path and e1.kind = 'imports:reexport')
 select distinct source_path as path from e1 where (kind = 'imports:dangling' or kind in ('imports', 'imports:type', 'imports:reexport', 'imports:asset') and to_ref in (select path from v)) and source_path not in (select path from ch)""",
-    "h11_import_pagerank": _LINK + " select ref, round(score, 6) as score from rk",
-    "h12_import_repo_map": _LINK + """, i as (select to_ref as path, count(distinct source_path) as importers from e group by 1), x as (select ref as path, round(score, 6) as score, coalesce(importers, 0) as importers, row_number() over (order by score desc, coalesce(importers, 0) desc, ref) as k from rk left join i on i.path = rk.ref),
+    "h11_import_ranks": _LINK + " select ref, round(score, 6) as score from rk",
+    "h12_import_map": _LINK + """, i as (select to_ref as path, count(distinct source_path) as importers from e group by 1), x as (select ref as path, round(score, 6) as score, coalesce(importers, 0) as importers, row_number() over (order by score desc, coalesce(importers, 0) desc, ref) as k from rk left join i on i.path = rk.ref),
 y as (select *, sum(ceil((length(path) + 16) / 4)) over (order by k)::long as used from x) select path, score, importers, used from y where used <= 1000 or k = 1""",
     "import_statements": f"with {_STATEMENTS} select path, line, spec as specifier, re as reexport, ty as type_only from js where spec like '.%'",
     "h1_import_edges": _E1 + "select * from e1",
