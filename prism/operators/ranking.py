@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from prism.functions.text import words
 from prism.functions.vectors import dot
+from prism.session import cut
 
 RRF_K, HUB_WEIGHT, HUB_NEIGHBOURS, DEPTH = 60, 0.3, 10, 30
 K1, B = 1.2, 0.75
@@ -71,10 +72,93 @@ def search_many(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+#: Rows and columns of a product that stays in the caches; bytes of vectors that a task holds of the other side.
+TILE, HELD = (1024, 2048), 1 << 26
+
+
+def _raised(top: np.ndarray, q: np.ndarray, data: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """``top``, the best scores of each row of q in falling order (-inf where there is none yet), after it has met the rows of data,
+    each of which counts ``times``. Products in float32 find what may be among the best, by the largest error of such a sum; the
+    scores themselves are sums of doubles."""
+    k = top.shape[1]
+    q32, d32 = q.astype(np.float32), data.astype(np.float32)
+    length = lambda m: np.sqrt(np.einsum("ij,ij->i", m, m).max(initial=0.0))
+    slack = (q.shape[1] + 4) * 2.0**-23 * length(q) * length(data)
+    found = []
+    for i in range(0, len(q), TILE[0]):
+        least = top[i : i + TILE[0], -1] - slack
+        for j in range(0, len(data), TILE[1]):
+            s = q32[i : i + TILE[0]] @ d32[j : j + TILE[1]].T
+            if s.shape[1] >= k and np.isneginf(least).any():
+                least = np.maximum(least, np.partition(s, -k, axis=1)[:, -k] - 2 * slack)
+            hit = np.flatnonzero(s >= np.nextafter(least.astype(np.float32), np.float32(-np.inf))[:, None])
+            found.append((hit // s.shape[1] + i, hit % s.shape[1] + j))
+    r, c = (np.concatenate(x) for x in zip(*found, strict=True))
+    if not len(r):
+        return top
+    score = np.concatenate([np.einsum("ij,ij->i", q[r[a : a + 32768]], data[c[a : a + 32768]]) for a in range(0, len(r), 32768)])
+    more = np.minimum(times[c], k)
+    changed = np.unique(r)
+    row = np.concatenate([np.repeat(changed, k), np.repeat(r, more)])
+    score = np.concatenate([top[changed].ravel(), np.repeat(score, more)])
+    order = np.lexsort((-score, row))
+    row, score = row[order], score[order]
+    top = top.copy()
+    top[changed] = score[(np.searchsorted(row, changed)[:, None] + np.arange(k)).ravel()].reshape(-1, k)
+    return top
+
+
+def nearest_scores(vectors: DataFrame, k: int) -> DataFrame:
+    """(vector, top): the k highest similarities of each distinct vector to all rows, itself among them, in falling order.
+
+    Equal vectors have equal scores, so they are compared once and counted. Each block of vectors meets all others in the
+    order they come, and only what beats the k best so far is looked at again; of a block and the blocks that a task holds k scores a
+    vector are exchanged."""
+    spark = vectors.sparkSession
+    each = cut(vectors.groupBy("vector").agg(F.count("*").alias("n")).withColumn("key", F.monotonically_increasing_id()))
+    rows, width = each.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
+    parts = max(1, -(-rows // (BLOCK - 96)), min(spark.sparkContext.defaultParallelism, rows // 512))
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        whole = [f for f in frames if len(f)]
+        f = pd.concat(whole) if whole else pd.DataFrame()
+        for at in range(0, len(f), BLOCK):
+            part = f.iloc[at : at + BLOCK]
+            yield pd.DataFrame({"block": [int(part["key"].iloc[0])], "keys": [part["key"].to_numpy().tobytes()], "times": [part["n"].to_numpy().tobytes()], "data": [np.stack(part["vector"]).astype(np.float64).tobytes()]})
+
+    blocks = cut(each.repartition(parts).mapInPandas(pack, "block long, keys binary, times binary, data binary"))
+    others = blocks.coalesce(max(1, -(-rows * width * 8 // HELD))).select("times", "data")
+    asked = blocks.select("block", "keys", F.col("data").alias("asked"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, keys, q, top = None, None, None, None
+        for f in frames:
+            for block, own, raw, times, data in f[["block", "keys", "asked", "times", "data"]].itertuples(index=False):
+                if block != at:
+                    if at is not None:
+                        yield pd.DataFrame({"block": [at], "keys": [keys], "top": [top.tobytes()]})
+                    at, keys, q = block, own, np.frombuffer(raw).reshape(len(own) // 8, -1)
+                    top = np.full((len(q), k), -np.inf)
+                top = _raised(top, q, np.frombuffer(data).reshape(-1, q.shape[1]), np.frombuffer(times, np.int64))
+        if at is not None:
+            yield pd.DataFrame({"block": [at], "keys": [keys], "top": [top.tobytes()]})
+
+    def merge(f: pd.DataFrame) -> pd.DataFrame:
+        key = np.frombuffer(f["keys"].iloc[0], np.int64)
+        top = -np.sort(-np.concatenate([np.frombuffer(t).reshape(len(key), -1) for t in f["top"]], axis=1), axis=1)[:, :k]
+        return pd.DataFrame({"key": key, "top": list(top)})
+
+    met = asked.crossJoin(others).mapInPandas(run, "block long, keys binary, top binary").groupBy("block").applyInPandas(merge, "key long, top array<double>")
+    return each.join(met, "key").select("vector", F.filter("top", lambda s: s > float("-inf")).alias("top"))
+
+
 def hub_means(vectors: DataFrame, neighbours: int = HUB_NEIGHBOURS) -> DataFrame:
     """(id, mean): the mean similarity of each unit vector to its nearest, the largest (itself) dropped; 0 for a lone one."""
-    top = search_many(vectors, vectors, neighbours + 1)
-    own = top.where("rank > 1").groupBy(F.col("query_id").alias("id")).agg(F.avg("score").alias("mean"))
+    near = cut(nearest_scores(vectors, neighbours + 1))
+    mark = F.xxhash64("vector").alias("mark")  # told apart by a number first, as arrays are slow to sort
+    scores = vectors.select("id", "vector", mark).join(near.select("*", mark), ["mark", "vector"]).select("id", F.explode("top").alias("score"))
+    top = scores.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score")))).where(F.col("rank") <= neighbours + 1)
+    own = top.where("rank > 1").groupBy("id").agg(F.avg("score").alias("mean"))
     return vectors.select("id").join(own, "id", "left").select("id", F.coalesce("mean", F.lit(0.0)).alias("mean"))
 
 

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +94,25 @@ def test_search_of_an_empty_table(spark):
     assert ranking.search_many(none, none, 3).count() == 0
 
 
+def test_hub_means_of_copies_and_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "HELD", 1 << 15)
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(1300, 8))
+    v[:400], v[400:430, 0] = v[0], -0.0
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id int, vector array<double>")
+    want = -np.sort(-(v @ v.T), axis=1)[:, :11]
+    near = ranking.nearest_scores(table, 11).collect()
+    assert len(near) == 901  # copies are compared once
+    at = {tuple(np.abs(x) * np.sign(x)): i for i, x in enumerate(v)}
+    assert all(np.allclose(r["top"], want[at[tuple(r["vector"])]], atol=1e-12) for r in near)
+    got = {r["id"]: r["mean"] for r in ranking.hub_means(table).collect()}
+    assert np.allclose([got[i] for i in range(1300)], want[:, 1:].mean(axis=1), atol=1e-12)
+    few = {r["id"]: round(r["mean"], 9) for r in ranking.hub_means(table.where("id in (0, 1, 500)")).collect()}
+    assert few[0] == round((1 + v[0] @ v[500]) / 2, 9) and ranking.hub_means(table.where("id = 7")).first()["mean"] == 0
+    assert ranking.hub_means(table.limit(0)).count() == 0
+
+
 def test_communities_do_not_depend_on_order(spark):
     cliques = [(a, b, 1.0) for g in ((0, 1, 2, 3), (4, 5, 6, 7)) for i, a in enumerate(g) for b in g[i + 1 :]] + [(3, 4, 1.0)]
     for s in range(2):
