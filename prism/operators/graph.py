@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -226,22 +230,173 @@ def diagnose(paths: DataFrame, states: DataFrame, cards: DataFrame, ranks: DataF
     return j.select("path", lost.alias("lost_at"), F.when(lost.isNull(), F.col("rank")).alias("rank"))
 
 
-# Fixed value: the least gain in modularity that counts as one.
-GAIN = 1e-12
+# The least gain in modularity that counts as one; ends of links that one task takes (above that, rounds are joins);
+# choices that are weighed at once there.
+GAIN, IN_ONE, AT_ONCE = 1e-12, 4_000_000, 4_000_000
 
 
 def communities(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
     """(node, community): communities of high modularity, named by their least node. edges: (a, b, weight), either way round.
 
-    Modularity is raised level by level with rounds of joins. In a round nodes go to the neighbouring community where
+    Modularity is raised level by level in rounds. In a round nodes go to the neighbouring community where
     modularity gains most, the least name on ties, in one round only to names below their own and in the next only to names
     above, so that two nodes never swap; every other pair of rounds moves but half of the nodes (by a hash of node and round).
     A round that does not raise the modularity of the whole is taken back, and four such rounds in a row end the level; then
-    communities become the nodes of the next. No component is gathered in a task, and the order of the edges
-    does not matter. Null ends are left out; loops count to their node; an empty table gives no row.
+    communities become the nodes of the next. The order of the edges does not matter. A graph of up to IN_ONE ends goes through its
+    rounds as numbers in one task, a larger one by joins, with the same result. Null ends are left out; loops count to their node; an empty table gives no row.
     """
     e = edges.where("a is not null and b is not null and weight > 0").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("weight").alias("w"))
-    level = cut(e)
+    e = cut(e)
+    if 2 * e.count() > IN_ONE:
+        return _by_joins(e, resolution)
+    e = e.withColumn("link", F.monotonically_increasing_id())
+    ends = e.select(F.explode(F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))).alias("node"), "link", F.col("w").cast("double").alias("w"))
+    return _in_one_task(ends, resolution)
+
+
+def shared_communities(members: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """``communities`` of the graph where two nodes are linked as often as they are in a group together, each pair of them.
+    members: (node, grp), each pair once; a node that shares no group has no row.
+
+    Pairs are not written out where memberships fit IN_ONE: what links a node to a community is counted by group."""
+    m = members.where("node is not null and grp is not null").distinct()
+    m = cut(m.join(m.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp"), "grp"))
+    if m.count() > IN_ONE:
+        pairs = m.select(F.col("node").alias("a"), "grp").join(m.select(F.col("node").alias("b"), "grp"), "grp").where("a < b")
+        return _by_joins(cut(pairs.groupBy("a", "b").agg(F.count("*").cast("double").alias("w"))), resolution)
+    number = cut(m.select("grp").distinct()).withColumn("link", F.monotonically_increasing_id())
+    return _in_one_task(m.join(number, "grp").select("node", "link", F.lit(1.0).alias("w")), resolution)
+
+
+def _in_one_task(ends: DataFrame, resolution: float) -> DataFrame:
+    """(node, community) of links (node, link, w): all nodes of a link are linked to each other by its weight; of one node, a loop."""
+    nodes = cut(ends.select("node").distinct().withColumn("i", F.row_number().over(Window.orderBy("node")) - 1))
+    rows = ends.join(nodes, "node").select("i", "link", "w").union(nodes.select("i", F.xxhash64("node"), F.lit(None).cast("double")))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        whole = list(frames)
+        if not whole:
+            return
+        f = pd.concat(whole, ignore_index=True)
+        mark, f = f[f["w"].isna()].sort_values("i"), f[f["w"].notna()]
+        _, first, link = np.unique(f["link"].to_numpy(), return_index=True, return_inverse=True)
+        weights, v = f["w"].to_numpy()[first], f["i"].to_numpy().astype(np.int64)
+        yield pd.DataFrame({"i": np.arange(len(mark)), "c": _communities(v, link, weights, mark["link"].to_numpy().view(np.uint64), resolution)})
+
+    found = cut(rows.repartition(1).mapInPandas(run, "i int, c int"))
+    names = nodes.select(F.col("i").alias("c"), F.col("node").alias("community"))
+    return nodes.join(found, "i").join(names, "c").select("node", "community")
+
+
+def _half(mark: np.ndarray, turn: int) -> np.ndarray:
+    """Whether xxhash64 of node and turn, as Spark has it, is even. mark: xxhash64 of the nodes."""
+    p1, p2, p3, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+    with np.errstate(over="ignore"):
+        h = mark + p5 + np.uint64(4)
+        h = h ^ (np.uint64(turn) * p1)
+        h = (h << np.uint64(23) | h >> np.uint64(41)) * p2 + p3
+        h = (h ^ h >> np.uint64(33)) * p2
+        h = (h ^ h >> np.uint64(29)) * p3
+    return (h ^ h >> np.uint64(32)) & np.uint64(1) == 0
+
+
+def _summed(major: np.ndarray, minor: np.ndarray, x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(major, minor, sum of x) of each pair that is there, in order. minor lies below n."""
+    key = major * n + minor
+    span = (int(major.max(initial=-1)) + 1) * n
+    if span <= 4 * len(key) + 1024:
+        total, there = np.bincount(key, x, span), np.bincount(key, minlength=span)
+        at = np.flatnonzero(there)
+        return at // n, at % n, total[at]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[start] // n, key[start] % n, np.add.reduceat(x[order], start)
+
+
+def _communities(v: np.ndarray, link: np.ndarray, weight: np.ndarray, mark: np.ndarray, resolution: float) -> np.ndarray:
+    """The least node of the community of each node 0.. in the order of their names, by the rounds of ``communities``.
+    (v, link): ends; weight by link; mark: the hashes of the nodes."""
+    size = np.bincount(link, minlength=len(weight))
+    k = np.bincount(v, weight[link] * np.maximum(size[link] - 1, 2 * (size[link] == 1)), len(mark))
+    total = k.sum() / 2
+    # the weight within communities is this and half the squares of how many ends of a link each has
+    base = weight[size == 1].sum() - (weight * size)[size > 1].sum() / 2
+    v, link = v[size[link] > 1], link[size[link] > 1]
+    ends, name, member = np.ones(len(v)), np.arange(len(mark)), np.arange(len(mark))
+    while True:
+        n = len(name)
+        v, link, ends = _summed(v, link, ends, len(weight))
+        alone = np.bincount(link, minlength=len(weight))[link] == 1
+        base += (weight[link] * ends * ends)[alone].sum() / 2
+        v, link, ends = v[~alone], link[~alone], ends[~alone]
+
+        def state(c: np.ndarray) -> tuple[float, tuple]:
+            held = _summed(link, c[v], ends, n)  # noqa: B023
+            inside = base + (weight[held[0]] * held[2] * held[2]).sum() / 2  # noqa: B023
+            return inside / total - resolution * np.square(np.bincount(c, k) / (2 * total)).sum(), held  # noqa: B023
+
+        c = np.arange(n)
+        (best, held), idle, turn, moved = state(c), 0, 0, False
+        while idle < 4:
+            mine = np.ones(n, bool) if turn % 4 < 2 else _half(mark[name], turn // 4)
+            after = _round(v, link, ends, weight, k, c, held, mine, total, resolution, turn)
+            now, then = state(after) if (after != c).any() else (best, held)
+            turn += 1
+            if now > best + GAIN:
+                c, best, held, idle, moved = after, now, then, 0, True
+            else:
+                idle += 1
+        if not moved:
+            return name[member]
+        _, first, at = np.unique(c, return_index=True, return_inverse=True)
+        order = np.argsort(first)  # communities by their least node
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        at = place[at]
+        name, member, k, v = name[first[order]], at[member], np.bincount(at, k), at[v]
+
+
+def _round(v: np.ndarray, link: np.ndarray, ends: np.ndarray, weight: np.ndarray, k: np.ndarray, c: np.ndarray, held: tuple, mine: np.ndarray, total: float, resolution: float, turn: int) -> np.ndarray:
+    """The communities after the nodes whose turn it is have gone to the best one of the turn's direction; ``_moved`` over ends in order of v."""
+    after, mass, n = c.copy(), np.bincount(c, k, len(c)), len(c)
+    begin = np.searchsorted(held[0], np.arange(len(weight) + 1))
+    keep = mine[v]
+    v, link, ends = v[keep], link[keep], ends[keep]
+    many = begin[link + 1] - begin[link]
+    upto = np.cumsum(many)
+    at = 0
+    while at < len(v):
+        # whole nodes of about AT_ONCE choices
+        to = np.searchsorted(v, v[min(np.searchsorted(upto, (upto[at - 1] if at else 0) + AT_ONCE), len(v) - 1)], "right")
+        here, m = slice(at, to), many[at:to]
+        which = np.arange(m.sum()) + np.repeat(begin[link[here]] - np.cumsum(m) + m, m)
+        one, nodes = np.repeat(ends[here], m), np.repeat(v[here], m)
+        to_c = held[1][which]
+        w = np.repeat(weight[link[here]], m) * one * (held[2][which] - np.where(to_c == c[nodes], one, 0.0))
+        low = v[at]
+        x, y, w = _summed(nodes - low, to_c, w, n)
+        x = x + low
+        stays = y == c[x]
+        worth = w - resolution * (mass[y] - np.where(stays, k[x], 0.0)) * k[x] / (2 * total)
+        own = -(resolution * (mass[c] - k) * k / (2 * total))
+        own[x[stays]] = worth[stays]
+        onward = y < c[x] if turn % 2 == 0 else y > c[x]
+        x, y, worth = x[onward], y[onward], worth[onward]
+        if len(x):
+            start = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+            top = np.repeat(np.maximum.reduceat(worth, start), np.diff(np.append(start, len(x))))
+            x, y, worth = x[worth == top], y[worth == top], worth[worth == top]
+            x, first = np.unique(x, return_index=True)
+            go = worth[first] > own[x] + GAIN
+            after[x[go]] = y[first][go]
+        at = to
+    return after
+
+
+def _by_joins(e: DataFrame, resolution: float) -> DataFrame:
+    """``communities`` of (a, b, w), each pair once, by rounds of joins; no component is gathered in a task."""
+    level = e
     total = level.agg(F.sum("w")).first()[0]
     member = cut(level.select(F.col("a").alias("node")).union(level.select("b")).distinct().withColumn("community", F.col("node")))
     while total:

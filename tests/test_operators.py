@@ -123,6 +123,17 @@ def test_communities_do_not_depend_on_order(spark):
     assert graph.communities(spark.createDataFrame([], "a int, b int, weight double")).count() == 0
 
 
+def test_communities_in_one_task_are_those_of_joins(spark, monkeypatch):
+    r = random.Random(5)
+    e = [(f"n{a}", f"n{b}", float(r.randint(1, 3))) for a in range(40) for b in range(a, 40) if r.random() < (0.5 if a % 4 == b % 4 else 0.05)]
+    df = spark.createDataFrame(e, "a string, b string, weight double")
+    one = sorted(map(tuple, graph.communities(df).collect()))
+    monkeypatch.setattr(graph, "AT_ONCE", 30)
+    assert sorted(map(tuple, graph.communities(df).collect())) == one and len({c for _, c in one}) > 1
+    monkeypatch.setattr(graph, "IN_ONE", 0)
+    assert sorted(map(tuple, graph.communities(df).collect())) == one
+
+
 def test_dependents_of_a_cycle(spark):
     e = spark.createDataFrame([("b", "a", "imports"), ("a", "b", "imports"), ("c", "b", "imports"), ("d", "c", "imports:dangling")], "source_path string, to_ref string, kind string")
     seeds = spark.createDataFrame([("a",)], "path string")
