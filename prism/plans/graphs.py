@@ -101,11 +101,9 @@ def h7_dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def h13_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Communities of repositories by the base names they share, as sizes."""
-    s = table(spark, sf_dir, "symbols").select(F.substring_index("path", "/", 2).alias("repo"), "base_name").distinct()
-    first = s.groupBy("base_name").agg(F.min("repo").alias("a"))
-    e = s.join(first, "base_name").where("a <> repo").groupBy("a", F.col("repo").alias("b")).agg(F.count("*").cast("double").alias("weight"))
-    return graph.communities(e)
+    """Communities of repositories by the base names that any two of them share."""
+    s = table(spark, sf_dir, "symbols").select(F.substring_index("path", "/", 2).alias("node"), F.col("base_name").alias("grp"))
+    return graph.shared_communities(s)
 
 
 def h10_relink_set(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -134,6 +134,26 @@ def test_communities_in_one_task_are_those_of_joins(spark, monkeypatch):
     assert sorted(map(tuple, graph.communities(df).collect())) == one
 
 
+def test_every_pair_that_shares_a_group_is_linked(spark, monkeypatch):
+    # d, e and f share what a, the least, has too, and more among themselves
+    groups = {"g1": "abdef", "g2": "def", "g3": "def", "g4": "def", "g5": "abc", "g6": "abc", "g7": "abc", "g8": "z"}
+    m = spark.createDataFrame([(n, g) for g, ns in groups.items() for n in ns], "node string, grp string")
+    pairs = [(a, b, 1.0) for ns in groups.values() for i, a in enumerate(ns) for b in ns[i + 1 :]]
+    want = sorted(map(tuple, graph.communities(spark.createDataFrame(pairs, "a string, b string, weight double")).collect()))
+    assert want == [(n, "a") for n in "abc"] + [(n, "d") for n in "def"]
+    assert sorted(map(tuple, graph.shared_communities(m).collect())) == want
+    monkeypatch.setattr(graph, "IN_ONE", 0)
+    assert sorted(map(tuple, graph.shared_communities(m).collect())) == want
+
+
+def test_repositories_are_linked_by_all_names_they_share(spark, tmp_path):
+    # the names of r2 and r3 are also those of r0, which once took every link of theirs
+    names = {"o/r0": "abcpq", "o/r1": "pqst", "o/r2": "abcxyz", "o/r3": "abcxyz"}
+    spark.createDataFrame([(f"{r}/f.py", n) for r, ns in names.items() for n in ns], "path string, base_name string").write.parquet(f"{tmp_path}/symbols.parquet")
+    got = dict(map(tuple, QUERIES["h13_communities"](spark, str(tmp_path)).collect()))
+    assert got == {"o/r0": "o/r0", "o/r1": "o/r0", "o/r2": "o/r2", "o/r3": "o/r2"}
+
+
 def test_dependents_of_a_cycle(spark):
     e = spark.createDataFrame([("b", "a", "imports"), ("a", "b", "imports"), ("c", "b", "imports"), ("d", "c", "imports:dangling")], "source_path string, to_ref string, kind string")
     seeds = spark.createDataFrame([("a",)], "path string")
