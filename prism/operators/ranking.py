@@ -85,13 +85,15 @@ def _raised(top: np.ndarray, q: np.ndarray, data: np.ndarray, times: np.ndarray)
     length = lambda m: np.sqrt(np.einsum("ij,ij->i", m, m).max(initial=0.0))
     slack = (q.shape[1] + 4) * 2.0**-23 * length(q) * length(data)
     found = []
+    room, over = np.empty(TILE, np.float32), np.empty(TILE, bool)  # used again by each tile
     for i in range(0, len(q), TILE[0]):
         least = top[i : i + TILE[0], -1] - slack
         for j in range(0, len(data), TILE[1]):
-            s = q32[i : i + TILE[0]] @ d32[j : j + TILE[1]].T
+            a, b = q32[i : i + TILE[0]], d32[j : j + TILE[1]]
+            s = np.matmul(a, b.T, out=room.ravel()[: len(a) * len(b)].reshape(len(a), len(b)))
             if s.shape[1] >= k and np.isneginf(least).any():
                 least = np.maximum(least, np.partition(s, -k, axis=1)[:, -k] - 2 * slack)
-            hit = np.flatnonzero(s >= np.nextafter(least.astype(np.float32), np.float32(-np.inf))[:, None])
+            hit = np.flatnonzero(np.greater_equal(s, np.nextafter(least.astype(np.float32), np.float32(-np.inf))[:, None], out=over.ravel()[: s.size].reshape(s.shape)))
             found.append((hit // s.shape[1] + i, hit % s.shape[1] + j))
     r, c = (np.concatenate(x) for x in zip(*found, strict=True))
     if not len(r):
